@@ -30,5 +30,31 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe}
-ORACLES: dict[str, str] = {}
+def op5_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from braidlog.llm import shard
+
+    return shard.shard(table(spark, sf_dir, "documents"), 40)
+
+
+def op10_cdc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from braidlog.llm import cdc
+
+    return cdc.dedup(table(spark, sf_dir, "documents"))
+
+
+#: Equal texts of the exact deduplication, kept rows by code points and id.
+OP10_SQL = r"""
+WITH n AS (
+  SELECT doc_id, length(coalesce(text, '')) AS points, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS bare FROM documents
+)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY bare) AS group_size,
+       doc_id = first_value(doc_id) OVER w AS kept, sha256(bare) AS text_sha256
+FROM n WINDOW w AS (PARTITION BY bare ORDER BY points DESC, doc_id)
+"""
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bpe": op1_bpe,
+    "op5_shard": op5_shard,
+    "op10_cdc": op10_cdc,
+}
+ORACLES: dict[str, str] = {"op10_cdc": OP10_SQL}
