@@ -36,12 +36,28 @@ def op5_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard.shard(table(spark, sf_dir, "documents"), 40)
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from braidlog.llm import warc
+
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op10_cdc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from braidlog.llm import cdc
 
     return cdc.dedup(table(spark, sf_dir, "documents"))
 
 
+#: Equal payloads of at least 100 bytes revisit the smallest page.
+OP9_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+q AS (SELECT page_id, strlen(h) AS payload_bytes, sha256(h) AS payload_digest, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
+FROM q
+"""
+
 #: Equal texts of the exact deduplication, kept rows by code points and id.
 OP10_SQL = r"""
 WITH n AS (
@@ -55,6 +71,7 @@ FROM n WINDOW w AS (PARTITION BY bare ORDER BY points DESC, doc_id)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op5_shard": op5_shard,
+    "op9_warc": op9_warc,
     "op10_cdc": op10_cdc,
 }
-ORACLES: dict[str, str] = {"op10_cdc": OP10_SQL}
+ORACLES: dict[str, str] = {"op9_warc": OP9_SQL, "op10_cdc": OP10_SQL}
