@@ -36,6 +36,15 @@ def op5_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard.shard(table(spark, sf_dir, "documents"), 40)
 
 
+def op7_nnls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from braidlog.llm import packing
+
+    with open(public_tokenizers.path(TOKENIZER_FILE), encoding="utf-8") as source:
+        return packing.pack(table(spark, sf_dir, "documents"), source.read())
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from braidlog.llm import warc
 
@@ -71,6 +80,7 @@ FROM n WINDOW w AS (PARTITION BY bare ORDER BY points DESC, doc_id)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op5_shard": op5_shard,
+    "op7_nnls": op7_nnls,
     "op9_warc": op9_warc,
     "op10_cdc": op10_cdc,
 }
