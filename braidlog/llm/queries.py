@@ -30,12 +30,41 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from braidlog.llm import license as licences
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = licences.scan(docs, licences.train(licences.sample_lines(docs, "text")))
+    return found.select("doc_id", F.array_join("license_families", ",").alias("license_families"), "license_paragraphs", "license_unknown")
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from braidlog.llm import pii
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymise(docs, count_col="n_replaced")
+
+
 def op5_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from braidlog.llm import shard
 
     return shard.shard(table(spark, sf_dir, "documents"), 40)
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from braidlog.llm import quality
+
+    judged = quality.clean(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    names = {"n_words": "q_n_words", "word_chars": "q_chars", "n_symbols": "q_symbols", "n_dup_lines": "q_dup_lines", "n_repeat_words": "q_repeat_words"}
+    return judged.select(
+        "doc_id",
+        *[F.col(c).cast("long").alias(n) for n, c in names.items()],
+        F.col("q_base_failed").alias("base_failed"),
+        F.col("q_kept").alias("kept"),
+        F.col("q_left").cast("long").alias("n_kept_words"),
+    )
+
+
 def op7_nnls(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -79,7 +108,10 @@ FROM n WINDOW w AS (PARTITION BY bare ORDER BY points DESC, doc_id)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op3_license": op3_license,
+    "op4_pii": op4_pii,
     "op5_shard": op5_shard,
+    "op6_quality": op6_quality,
     "op7_nnls": op7_nnls,
     "op9_warc": op9_warc,
     "op10_cdc": op10_cdc,
