@@ -14,12 +14,14 @@ frequent, is gathered in one task.
 
 from __future__ import annotations
 
-import os
+import json
+from array import array
 from collections.abc import Iterator
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,10 +29,47 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
 from braidlog.functions.runtime import shuffle_partitions, written
+from braidlog.llm.bpe import splitter
 
 WINDOW, END = 1024, 0
-#: Rounds over the combinations that violate optimality, and texts encoded at once.
-SWEEPS, TEXT_BATCH = 12, 256
+#: Rounds over the combinations that violate optimality; rows in an output batch; words that a task remembers.
+SWEEPS, TEXT_BATCH, MOST_WORDS = 12, 256, 400_000
+#: The pre-token pattern of byte-level tokenizer files.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def read_tokenizer(tokenizer_json: str) -> dict[bytes, int]:
+    """Ranks of a byte-level BPE tokenizer file, after proof that they merge as the file does.
+
+    Merging the adjacent pair of lowest rank equals the file's merge list exactly if the
+    n-th merge makes the n-th token after the 256 bytes. Other tokenizers raise.
+    """
+    model = json.loads(tokenizer_json)
+    merges, vocabulary, added = model["model"]["merges"], model["model"]["vocab"], {t["content"] for t in model["added_tokens"]}
+    splits = model.get("pre_tokenizer") or {}
+    if splits.get("type") != "ByteLevel" or splits.get("add_prefix_space") or model.get("normalizer"):
+        raise ValueError("not a plain byte-level tokenizer")
+    for i, merge in enumerate(merges):
+        if vocabulary["".join(merge.split(" ") if isinstance(merge, str) else merge)] != 256 + i:
+            raise ValueError(f"merge {i} does not make token {256 + i}")
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    letters = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+    return {bytes(letters[c] for c in token): i for token, i in vocabulary.items() if token not in added}
+
+
+class Words(dict):
+    """Ids of pre-tokens as little-endian bytes, made when first asked for."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        super().__init__()
+        self._piece = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})._encode_single_piece
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= MOST_WORDS:
+            self.clear()
+        ids = self[word] = array("I", self._piece(word.encode())).tobytes()
+        return ids
 
 
 def combinations(window: int, present: np.ndarray) -> np.ndarray:
@@ -110,22 +149,18 @@ def tokenised(docs: DataFrame, tokenizer_json: str, window: int, id_col: str, te
     kind = docs.schema[id_col].dataType
     fields = [("part", LongType()), ("nth", LongType()), ("id", kind), ("doc_tokens", LongType()), ("first_full", LongType()), ("full_crc", BinaryType()), ("rest", IntegerType()), ("rank", LongType()), ("ids", BinaryType())]
     schema = StructType([StructField(n, t) for n, t in fields])
+    ranks = read_tokenizer(tokenizer_json)
     arrow = [(n, to_arrow_type(t)) for n, t in fields]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        machine = Tokenizer.from_str(tokenizer_json)
-        machine.encode_special_tokens = True
+        words, find = Words(ranks).__getitem__, splitter(PATTERN).findall
         part, seen, n, full = TaskContext.get().partitionId(), np.zeros(window, np.int64).tolist(), 0, 0
         for batch in batches:
             for at in range(0, batch.num_rows, TEXT_BATCH):
                 own = batch.slice(at, TEXT_BATCH)
-                texts = [t or "" for t in own.column(1).to_pylist()]
                 out = []
-                for key, code in zip(own.column(0).to_pylist(), machine.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-                    ids = np.array([*code.ids, END], "<u4")
+                for key, text in zip(own.column(0).to_pylist(), own.column(1).to_pylist(), strict=True):
+                    ids = np.frombuffer(b"".join(map(words, find(text or ""))) + bytes([END, 0, 0, 0]), "<u4")
                     whole = len(ids) // window
                     checks = np.array([crc32(ids[i * window : (i + 1) * window]) for i in range(whole)], "<u4")
                     rest = len(ids) - whole * window
