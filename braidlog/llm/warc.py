@@ -114,7 +114,13 @@ def assign(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payl
     )
 
 
-def write_monolithic(records: DataFrame, folder: str, when: datetime = datetime(2020, 1, 1, tzinfo=UTC)) -> DataFrame:
+def writers_for(pages: DataFrame, payload_col: str = "html") -> int:
+    """Tasks that fill whole archives, one for each core at least."""
+    size = pages.agg(F.sum(F.octet_length(payload_col).cast("long"))).first()[0] or 0
+    return max(pages.sparkSession.sparkContext.defaultParallelism, -(-size // ARCHIVE_BYTES))
+
+
+def write_monolithic(records: DataFrame, folder: str, writers: int | None = None, when: datetime = datetime(2020, 1, 1, tzinfo=UTC)) -> DataFrame:
     """Write records as archives that are each one gzip stream; gives ``(path, n_records)`` of each archive."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,6 +152,7 @@ def write_monolithic(records: DataFrame, folder: str, when: datetime = datetime(
 
     store, root = fs.FileSystem.from_uri(folder)
     store.create_dir(root, recursive=True)
+    records = records.coalesce(writers) if writers else records
     return written(records.mapInArrow(write, "path string, n_records long"), "archives")
 
 
@@ -222,4 +229,5 @@ def round_trip(pages: DataFrame, folder: str | None = None) -> DataFrame:
     An empty table gives no archive and no rows. Other columns are not read.
     """
     folder = folder or f"{shared_dir(pages.sparkSession)}/braidlog-warc-{uuid.uuid4().hex}"
-    return read(normalise(write_monolithic(assign(pages), folder), folder), folder)
+    archives = write_monolithic(assign(pages), folder, writers_for(pages))
+    return read(normalise(archives, folder), folder)
