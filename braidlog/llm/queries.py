@@ -30,6 +30,12 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from braidlog.llm import ngram_join
+
+    return ngram_join.components(table(spark, sf_dir, "documents"), 3, (90, 100))
+
+
 def op3_license(spark: SparkSession, sf_dir: str) -> DataFrame:
     from braidlog.llm import license as licences
 
@@ -108,6 +114,7 @@ FROM n WINDOW w AS (PARTITION BY bare ORDER BY points DESC, doc_id)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_ngram_join": op2_ngram_join,
     "op3_license": op3_license,
     "op4_pii": op4_pii,
     "op5_shard": op5_shard,
