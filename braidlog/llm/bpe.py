@@ -11,7 +11,8 @@ to every task.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from zlib import crc32
 
 import numpy as np
@@ -44,6 +45,23 @@ def splitter(pattern: str) -> regex.Pattern:
     return regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
 
 
+#: The pattern of byte-level tokenizers, and its form for texts of only these characters, in which letters,
+#: digits and white space can be listed; the plain engine is then faster and finds the same.
+BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+_OTHER = re.compile(r"[^\t-\r\x20-\x7E\u00C0-\u024F\u2010-\u2027\u2030-\u205E]")
+_LETTER = r"A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F"
+_LATIN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[0-9]+| ?[^\t-\r\x20{_LETTER}0-9]+|[\t-\r\x20]+(?![^\t-\r\x20])|[\t-\r\x20]+")
+
+
+def finder(pattern: str) -> Callable[[str], list[str]]:
+    """All pre-tokens of a text."""
+    any_text = splitter(pattern).findall
+    if pattern != BYTE_LEVEL:
+        return any_text
+    other, latin = _OTHER.search, _LATIN.findall
+    return lambda text: any_text(text) if other(text) else latin(text)
+
+
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, ids array<int>)`` of every row of ``docs``.
 
@@ -55,7 +73,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
     width = shuffle_partitions(docs.sparkSession)
 
     def to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = splitter(pattern).findall
+        find = finder(pattern)
         for block, ids, texts in B.gather(batches):
             local: dict[str, int] = {}
             number, sizes, codes = local.setdefault, [], []

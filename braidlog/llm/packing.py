@@ -29,13 +29,11 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
 from braidlog.functions.runtime import shuffle_partitions, written
-from braidlog.llm.bpe import splitter
+from braidlog.llm.bpe import BYTE_LEVEL, finder
 
 WINDOW, END = 1024, 0
 #: Rounds over the combinations that violate optimality; rows in an output batch; words that a task remembers.
 SWEEPS, TEXT_BATCH, MOST_WORDS = 12, 256, 400_000
-#: The pre-token pattern of byte-level tokenizer files.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 def read_tokenizer(tokenizer_json: str) -> dict[bytes, int]:
@@ -63,7 +61,7 @@ class Words(dict):
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
         super().__init__()
-        self._piece = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})._encode_single_piece
+        self._piece = tiktoken.Encoding("words", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})._encode_single_piece
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= MOST_WORDS:
@@ -153,7 +151,7 @@ def tokenised(docs: DataFrame, tokenizer_json: str, window: int, id_col: str, te
     arrow = [(n, to_arrow_type(t)) for n, t in fields]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, find = Words(ranks).__getitem__, splitter(PATTERN).findall
+        words, find = Words(ranks).__getitem__, finder(BYTE_LEVEL)
         part, seen, n, full = TaskContext.get().partitionId(), np.zeros(window, np.int64).tolist(), 0, 0
         for batch in batches:
             for at in range(0, batch.num_rows, TEXT_BATCH):

@@ -80,6 +80,13 @@ def op7_nnls(spark: SparkSession, sf_dir: str) -> DataFrame:
         return packing.pack(table(spark, sf_dir, "documents"), source.read())
 
 
+def op8_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from braidlog.llm import substrings
+
+    cut = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from braidlog.llm import warc
 
@@ -120,6 +127,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_shard": op5_shard,
     "op6_quality": op6_quality,
     "op7_nnls": op7_nnls,
+    "op8_suffix": op8_suffix,
     "op9_warc": op9_warc,
     "op10_cdc": op10_cdc,
 }
