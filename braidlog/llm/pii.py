@@ -199,8 +199,10 @@ def pseudonym(found: Column, key: str) -> Column:
     return F.coalesce(new, found)
 
 
-def pseudonymise(docs: DataFrame, key: str = DEFAULT_KEY, text_col: str = "text", count_col: str | None = None) -> DataFrame:
-    """``docs`` with personal values in ``text_col`` replaced; ``count_col`` gets the number replaced.
+def pseudonymise(docs: DataFrame, key: str = DEFAULT_KEY, text_col: str = "text", count_col: str | None = None, length_col: str | None = None) -> DataFrame:
+    """``docs`` with personal values in ``text_col`` replaced.
+
+    ``count_col`` gets the number replaced, ``length_col`` the new length in code points.
 
     A null text stays null, an empty one empty; numbers that fail their check (card
     checksum, address range, calendar, social security areas) are left as they are. Rows
@@ -213,6 +215,8 @@ def pseudonymise(docs: DataFrame, key: str = DEFAULT_KEY, text_col: str = "text"
     parts = F.zip_with(gaps, F.col("__new"), lambda g, v: F.concat(g, F.coalesce(v, F.lit(""))))
     changed = F.when(F.size("__found") > 0, F.array_join(parts, "")).otherwise(F.col(text_col))
     out = {text_col: changed}
+    if length_col:
+        out[length_col] = F.length(changed).cast("long")
     if count_col:
         pairs = F.arrays_zip(F.col("__found").alias("a"), F.col("__new").alias("b"))
         out[count_col] = F.when(F.size("__found") > 0, F.size(F.filter(pairs, lambda p: p["a"] != p["b"]))).otherwise(0).cast("long")
