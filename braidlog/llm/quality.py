@@ -99,7 +99,12 @@ def clean(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, text_col: str = "text", length_col: str | None = None) -> DataFrame:
-    """Rows that are kept, their text without the failing lines; ``length_col`` is brought up to date."""
-    kept = clean(docs, text_col).where("q_kept")
-    changed = {text_col: F.col("q_text")} | ({length_col: F.length("q_text").cast("long")} if length_col else {})
-    return kept.withColumns(changed).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Rows that are kept, their text without the failing lines; ``length_col`` is brought up to date.
+
+    The verdict passes through a generator of one row, so that the filter is not pushed
+    down and the rules are not evaluated twice.
+    """
+    verdict = F.explode(F.array(F.struct("q_kept", "q_text"))).alias("__q")
+    kept = clean(docs, text_col).select(*[F.col(f"`{c}`") for c in docs.columns], verdict).where("__q.q_kept")
+    changed = {text_col: F.col("__q.q_text")} | ({length_col: F.length("__q.q_text").cast("long")} if length_col else {})
+    return kept.withColumns(changed).drop("__q")
