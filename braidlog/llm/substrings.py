@@ -12,8 +12,8 @@ covered bytes.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -142,20 +142,24 @@ def smallest(rests: list[bytes], owners: list[int], length: int) -> list[list[in
     return [least[s : s + len(r) - length + 1] for s, r in zip(starts, rests, strict=True)]
 
 
-def first_owners(found: list[tuple[int, int, bytes, int]], length: int) -> list[list[int]]:
-    """For each ``(anchor hash, anchor offset, segment, owner)``, the smallest owner of each of its windows."""
+def first_owners(found: list, length: int) -> list[list[tuple[int, int]]]:
+    """For each ``(anchor hash, anchor offset, segment, owner)``, runs ``(windows, smallest owner)`` over its windows."""
     by_anchor: dict[int, list[int]] = {}
     for i, (h, _, _, _) in enumerate(found):
         by_anchor.setdefault(h, []).append(i)
-    out = [[owner] * (len(text) - length + 1) for _, _, text, owner in found]
+    out = [[(len(text) - length + 1, owner)] for _, _, text, owner in found]
     rests: dict[bytes, int] = {}
     uses: list[tuple[int, int, bytes]] = []
 
+    def apply(i: int, at: int, runs: list[tuple[int, int]], size: int) -> None:
+        [(windows, owner)] = out[i]
+        out[i] = [*([(at, owner)] if at else []), *runs, *([(windows - at - size, owner)] if windows > at + size else [])]
+
     def settle() -> None:
         keys = list(rests)
-        answers = dict(zip(keys, smallest(keys, [rests[k] for k in keys], length), strict=True))
+        runs = {k: [(len(list(same)), m) for m, same in groupby(row)] for k, row in zip(keys, smallest(keys, [rests[k] for k in keys], length), strict=True)}
         for i, at, rest in uses:
-            out[i][at : at + len(rest) - length + 1] = answers[rest]
+            apply(i, at, runs[rest], len(rest) - length + 1)
         rests.clear()
         uses.clear()
 
@@ -164,15 +168,22 @@ def first_owners(found: list[tuple[int, int, bytes, int]], length: int) -> list[
         if len(together) < 2:
             continue
         before, after = shared_context([found[i][2][: found[i][1]][::-1] for i in together], [found[i][2][found[i][1] :] for i in together])
+        own: dict[bytes, int] = {}
+        mine = []
         for i, left, right in zip(together, before, after, strict=True):
-            if left + right < length:
-                continue
-            _, anchor, text, owner = found[i]
-            rest = text[anchor - left : anchor + right]
-            if rest not in rests:
-                size += len(rest) + 1
+            if left + right >= length:
+                _, anchor, text, owner = found[i]
+                rest = text[anchor - left : anchor + right]
+                own[rest] = min(own.get(rest, owner), owner)
+                mine.append((i, anchor - left, rest))
+        if len(own) == 1:  # one string in all segments: its windows occur nowhere else
+            for i, at, rest in mine:
+                apply(i, at, [(len(rest) - length + 1, own[rest])], len(rest) - length + 1)
+            continue
+        for rest, owner in own.items():
+            size += len(rest) + 1
             rests[rest] = min(rests.get(rest, owner), owner)
-            uses.append((i, anchor - left, rest))
+        uses += mine
         if size >= ARRAY_BYTES:
             settle()
             size = 0
@@ -296,9 +307,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
         number.clear()
         answers = first_owners(found, length)
         for (block, at, *_), mine in zip(held, spots, strict=True):
-            counts = np.array([len(answers[k]) for k in mine], np.uint32)
-            flat = np.array([m for k in mine for m in answers[k]], np.int64)
-            yield B.rows([(f"{block.decode()}", B.pack(b"m", at, counts, flat))])
+            runs = [answers[k] for k in mine]
+            counts = np.fromiter(map(len, runs), np.uint32, len(runs))
+            flat = np.array([run for own in runs for run in own], np.int64).reshape(-1, 2)
+            yield B.rows([(block.decode(), B.pack(b"m", at, counts, flat[:, 0].astype(np.uint16), flat[:, 1]))])
 
     schema = StructType([StructField("id", kind), *[StructField(n, LongType()) for n in ("n_bytes", "n_removed", "n_spans")], StructField("kept", BinaryType())])
     arrow_kind = to_arrow_type(kind)
@@ -306,32 +318,36 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
         keys, totals, removed, spans, kept = [], [], [], [], []
         parts = [B.unpack(p) for p in B.payloads(right, "b")]
-        minima: dict[int, np.ndarray] = {}
-        for tag, at, *rest in parts:
-            if bytes(tag) == b"m":
-                flat = np.split(np.frombuffer(rest[1], np.int64), np.cumsum(np.frombuffer(rest[0], np.uint32).astype(np.int64))[:-1])
-                minima.update(zip(np.frombuffer(at, np.uint32).tolist(), flat, strict=True))
+        runs = [x[1:] for x in parts if bytes(x[0]) == b"m"]
+        places = [np.frombuffer(x[1], np.int32).reshape(3, -1) for x in parts if bytes(x[0]) == b"o"]
         for payload in B.payloads(left, "b"):
             ids, sizes, blob = B.unpack(payload)
             texts, ids = B.unpack_strings(sizes, blob), B.unpack_ids(ids)
-            owners = ranks(ids).tolist()
-            places: dict[int, list[tuple[int, int]]] = {}
-            for tag, at, *_ in parts:
-                if bytes(tag) == b"o":
-                    for i, a, k in np.frombuffer(at, np.int32).reshape(3, -1).T.tolist():
-                        places.setdefault(i, []).append((a, k))
-            for i, (key, text) in enumerate(zip(ids, texts, strict=True)):
+            base = np.cumsum([0, *(len(t) + 1 for t in texts)])  # a place between texts takes the ends of spans
+            gone = np.zeros(int(base[-1]), bool)
+            if places and runs:
+                at, counts, windows, owner = (np.concatenate([np.frombuffer(r[k], t) for r in runs]) for k, t in enumerate((np.uint32, np.uint32, np.uint16, np.int64)))
+                counts, windows = counts.astype(np.int64), windows.astype(np.int64)
+                first_run, n_runs = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+                first_run[at], n_runs[at] = np.cumsum(counts) - counts, counts
+                begin = np.cumsum(windows) - windows
+                begin -= np.repeat(begin[np.cumsum(counts) - counts], counts)  # windows before a run within its segment
+                doc, start, segment = (x.astype(np.int64) for x in np.concatenate(places, axis=1))
+                times = n_runs[segment]
+                run = np.repeat(first_run[segment] - np.cumsum(times) + times, times) + np.arange(int(times.sum()))
+                doc, start = np.repeat(doc, times), np.repeat(start, times)
+                hit = owner[run] < ranks(ids)[doc]
+                run, at_byte = run[hit], (base[doc] + start)[hit]
+                at_byte = at_byte + begin[run]
+                edge = np.bincount(at_byte, minlength=len(gone)) - np.bincount(at_byte + windows[run] + length - 1, minlength=len(gone))
+                gone = np.cumsum(edge) > 0
+            for key, text, a in zip(ids, texts, base.tolist(), strict=False):
+                mask = gone[a : a + len(text)]
                 keys.append(key)
                 totals.append(len(text))
-                edge = np.zeros(len(text) + 1, np.int32)
-                for a, k in places.get(i, ()):
-                    hit = np.flatnonzero(minima[k] < owners[i]) + a
-                    edge[hit] += 1
-                    edge[hit + length] -= 1
-                gone = np.cumsum(edge[:-1]) > 0
-                removed.append(int(gone.sum()))
-                spans.append(int((gone & ~np.concatenate([[False], gone[:-1]])).sum()) if len(gone) else 0)
-                kept.append(np.frombuffer(text, np.uint8)[~gone].tobytes() if removed[-1] else text)
+                removed.append(int(np.count_nonzero(mask)))
+                spans.append(int(np.count_nonzero(mask[1:] & ~mask[:-1])) + int(mask[0]) if removed[-1] else 0)
+                kept.append(np.frombuffer(text, np.uint8)[~mask].tobytes() if removed[-1] else text)
         return pa.table({"id": pa.array(keys, arrow_kind), "n_bytes": pa.array(totals, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept": pa.array(kept, pa.binary())})
 
     sent = B.exchange(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(to_blocks, B.SCHEMA))
