@@ -157,5 +157,5 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns. Ids must be unique; rows without id stay."""
-    gone = dedup(docs.where(F.col(id_col).isNotNull()), id_col, text_col).where("not kept").select(F.col(id_col).alias("__id"))
-    return docs.join(gone, docs[id_col] == gone["__id"], "left_anti")
+    gone = dedup(docs.where(F.col(id_col).isNotNull()), id_col, text_col).where("not kept")
+    return B.without(docs, gone.select(id_col), id_col)

@@ -426,5 +426,5 @@ def components(docs: DataFrame, n: int = 5, share: tuple[int, int] = (80, 100),
 def keep_one(docs: DataFrame, n: int = 5, share: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that are the smallest id of their component, with all columns; rows without id stay."""
     found = components(docs.where(F.col(id_col).isNotNull()), n, share, id_col, text_col)
-    drop = found.where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("__id"))
-    return docs.join(drop, docs[id_col] == drop["__id"], "left_anti")
+    drop = found.where(F.col("component_id") != F.col(id_col)).select(id_col)
+    return B.without(docs, drop, id_col)

@@ -99,6 +99,36 @@ def op10_cdc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cdc.dedup(table(spark, sf_dir, "documents"))
 
 
+#: Links of three-word shingle sets at a Jaccard similarity of 0.9, and what each document reaches through them.
+OP2_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 1), lambda i: array_to_string(list_slice(ws, i, i + 2), ' ')) END) AS s FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM g a JOIN g b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 90 * (x.n + y.n - k)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, (SELECT min(b) FROM r WHERE r.a = d.doc_id) AS component_id FROM documents d LEFT JOIN n USING (doc_id)
+"""
+#: Base counts, and the line rules with their fixed thresholds.
+OP6_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+g AS (SELECT doc_id, unnest(range(1, len(ws) - 3)) AS i, ws FROM w WHERE len(ws) > 5),
+k AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, list_slice(ws, i, i + 4)) AS c FROM g),
+v AS (SELECT doc_id, least(5, i - coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -5)) AS more FROM k WHERE c > 1),
+r AS (SELECT doc_id, CAST(sum(more) AS BIGINT) AS n FROM v GROUP BY 1),
+l AS (SELECT doc_id, unnest(list_distinct(ls)) AS l FROM w),
+m AS (SELECT doc_id, l, len(list_filter(regexp_split_to_array(l, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS n, length(l) - length(replace(l, '|', '')) AS bars, length(l) - length(replace(l, '!!', '!')) AS shouts, len(regexp_extract_all(l, '[#*$%&<>]')) AS symbols FROM l),
+q AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS kept FROM m WHERE NOT ((bars >= 3 AND 100 * bars >= 20 * n) OR 100 * symbols >= 30 * n OR (shouts > 0 AND 100 * shouts >= 30 * n)
+  OR (n <= 20 AND regexp_matches(l, '(?i)\b(cookies?|javascript|privacy policy|terms of (use|service)|click here|read more|log ?in|sign (in|up)|subscribe|lorem ipsum|skip to content|share this|back to top)\b'))) GROUP BY 1),
+o AS (
+  SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+    CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, coalesce(q.kept, 0) AS n_kept_words
+  FROM w LEFT JOIN r USING (doc_id) LEFT JOIN q USING (doc_id)
+)
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND 100 * n_kept_words >= 50 * n_words AS kept FROM o
+"""
 #: Equal payloads of at least 100 bytes revisit the smallest page.
 OP9_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
@@ -131,4 +161,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc": op9_warc,
     "op10_cdc": op10_cdc,
 }
-ORACLES: dict[str, str] = {"op9_warc": OP9_SQL, "op10_cdc": OP10_SQL}
+ORACLES: dict[str, str] = {"op2_ngram_join": OP2_SQL, "op6_quality": OP6_SQL, "op9_warc": OP9_SQL, "op10_cdc": OP10_SQL}
