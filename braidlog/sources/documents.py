@@ -72,7 +72,7 @@ def read_json(spark: SparkSession, path: str) -> Log:
 
 
 _XML_ATTR = "attributes struct<attribute:array<struct<_name:string,_time:string,_VALUE:string>>>"
-_XML_REL = "objects struct<relationship:array<struct<`_object-id`:string,_qualifier:string>>, relationship array<struct<`_object-id`:string,_qualifier:string>>"
+_XML_REL = "objects struct<relationship:array<struct<`_object-id`:string,_qualifier:string>>>, relationship array<struct<`_object-id`:string,_qualifier:string>>"
 _FLAT_ATTR = "attribute array<struct<_name:string,_value:string,_time:string,_VALUE:string>>"
 
 
