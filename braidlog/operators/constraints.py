@@ -93,3 +93,31 @@ def monitor(metrics: DataFrame, constraints: DataFrame) -> DataFrame:
     for name, test in OPERATORS.items():
         held = F.when(F.col("operator") == name, test(F.col("value"), F.col("threshold"))).otherwise(held)
     return joined.withColumn("violated", F.coalesce(~held, F.lit(False)))
+
+
+def metric_table(log: Log, object_type: str, pairs: list[tuple[str, str]]) -> DataFrame:
+    """All metrics of one type as ``(kind, object_type, source, target, value)``: what ``monitor`` compares.
+
+    Trace constraints and strengths of every pair, and for every activity its involvement
+    and mean times.
+    """
+    from braidlog.operators import performance
+
+    row = lambda df, kind, source, target, value: df.select(kind.alias("kind"), F.lit(object_type).alias("object_type"), source.alias("source"), target.alias("target"), value.cast("double").alias("value"))
+    none = F.lit(None).cast("string")
+    parts = []
+    for a, b in pairs:
+        parts.append(row(trace_metrics(log, object_type, a, b), F.col("metric"), F.lit(a), F.lit(b), F.col("share")))
+        own = strengths(log, object_type, a, b).select(F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(k).alias("v")) for k in ("causal", "concurrency", "choice")])).alias("m"))
+        parts.append(row(own, F.concat(F.lit("strength_"), F.col("m.k")), F.lit(a), F.lit(b), F.col("m.v")))
+    kinds = ("absence", "singular", "multiple", "presence")
+    own = involvement(log, object_type).select("activity", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(k).alias("v")) for k in kinds])).alias("m"))
+    parts.append(row(own, F.col("m.k"), F.col("activity"), none, F.col("m.v")))
+    times = performance.event_times(log, object_type)
+    kinds = ("flow", "sojourn", "synchronization", "pooling", "lagging", "readiness", "elapsed")
+    own = times.groupBy("activity").agg(*[F.avg(k).alias(k) for k in kinds]).select("activity", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(k).alias("v")) for k in kinds])).alias("m"))
+    parts.append(row(own.where("m.v is not null"), F.col("m.k"), F.col("activity"), none, F.col("m.v")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out

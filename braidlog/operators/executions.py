@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,3 +88,32 @@ def sizes(log: Log, pe_events: DataFrame) -> DataFrame:
 def representatives(classes: DataFrame) -> DataFrame:
     """The smallest execution of every class of ``(pe_id, class_id)``."""
     return classes.groupBy("class_id").agg(F.min("pe_id").alias("pe_id"), F.count(F.lit(1)).alias("n"))
+
+
+def correlated_graphs(log: Log) -> DataFrame:
+    """``(pe_id, src, dst)``: the transitive reduction of each weakly connected event graph.
+
+    An edge goes if a longer path joins its ends. Each graph is reduced by itself.
+    """
+    own = graph_executions(log)
+    placed = event_graph(log).join(own.withColumnRenamed("event_id", "src"), "src")
+    packed = placed.groupBy("pe_id").agg(F.to_json(F.collect_list(F.struct("src", "dst"))).alias("edges"))
+
+    def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for pe_id, text in zip(batch["pe_id"], batch["edges"], strict=True):
+                follow: dict[str, set[str]] = {}
+                for e in json.loads(text):
+                    follow.setdefault(e["src"], set()).add(e["dst"])
+                for src, ends in follow.items():
+                    longer, queue = set(), [x for d in ends for x in follow.get(d, ())]
+                    while queue:
+                        x = queue.pop()
+                        if x not in longer:
+                            longer.add(x)
+                            queue += follow.get(x, ())
+                    out += [(pe_id, src, d) for d in sorted(ends - longer)]
+            yield pd.DataFrame(out, columns=["pe_id", "src", "dst"])
+
+    return packed.mapInPandas(kernel, "pe_id string, src string, dst string")

@@ -110,3 +110,19 @@ def path_sequences(log: Log, k: int) -> DataFrame:
     w = _trace_window().rowsBetween(-(k - 1), 0)
     runs = log.timed().select("object_type", "object_id", "event_id", F.collect_list("activity").over(w).alias("run"))
     return runs.where(F.size("run") == k)
+
+
+def subprocess_edges(log: Log, activities: list[str]) -> DataFrame:
+    """The event graph's edges between events of the given activities."""
+    own = log.events.where(F.col("activity").isin(activities)).select("event_id")
+    edges = event_graph(log)
+    edges = edges.join(own, edges["src"] == own["event_id"], "left_semi")
+    return edges.join(own, edges["dst"] == own["event_id"], "left_semi")
+
+
+def type_edges(log: Log, types: list[str]) -> DataFrame:
+    """The event graph's edges between events that have an object of the given types."""
+    own = log.e2o.where(F.col("object_type").isin(types)).select("event_id").distinct()
+    edges = event_graph(log)
+    edges = edges.join(own, edges["src"] == own["event_id"], "left_semi")
+    return edges.join(own, edges["dst"] == own["event_id"], "left_semi")

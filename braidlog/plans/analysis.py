@@ -580,3 +580,37 @@ def interval_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     few = log.events.where("activity in ('signup', 'error') and cast(event_id as bigint) < 300")
     instances = few.select(F.col("activity").alias("name"), us.alias("start"), (us + 60_000_000).alias("end"))
     return impact.matches(instances, ("before", "signup", "error")).agg(F.count(F.lit(1)).alias("n"), F.min("start").alias("first"))
+
+
+@query("workflow")
+def workflow_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Configurations of a whole run over the orders' attributes, with their patterns and best differences."""
+    from braidlog.operators import explorer
+    from braidlog.plans import workflow
+
+    log = order_log(spark, sf_dir).without_types(["customer", "item"])
+    bundle, _ = workflow.run(log, "order", ["order"], ["duration"], 0.02, 0.9, 2)
+    return explorer.lattice(bundle)
+
+
+@query("metric_table")
+def metric_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from braidlog.operators import constraints
+
+    return constraints.metric_table(stream_log(spark, sf_dir), "key", [("view", "click")])
+
+
+@query("correlated_graphs")
+def correlated_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = order_log(spark, sf_dir)
+    return executions.correlated_graphs(log.with_relations(log.e2o.where("object_type = 'order'")))
+
+
+@query("subprocess_edges", f"WITH {B} SELECT src, dst FROM eog JOIN ev a ON a.event_id = src JOIN ev b ON b.event_id = dst WHERE a.activity = 'ship_item' AND b.activity = 'ship_item'")
+def subprocess_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return traces.subprocess_edges(commerce_log(spark, sf_dir), ["ship_item"])
+
+
+@query("type_edges", f"WITH {B}, h AS (SELECT DISTINCT event_id FROM e2o WHERE object_type = 'customer') SELECT src, dst FROM eog WHERE src IN (SELECT event_id FROM h) AND dst IN (SELECT event_id FROM h)")
+def type_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return traces.type_edges(commerce_log(spark, sf_dir), ["customer"])
