@@ -123,7 +123,7 @@ def by_bucket(keys: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def payloads(table: pa.Table, kind: str) -> list[bytes]:
-    """Payloads of a co-group's side whose keys are of one kind."""
+    """Payloads of a co-group's side whose keys are of one kind (any, if it is empty)."""
     if not table.num_rows or not (table.column("key")[0].as_py() or " ").startswith(kind):
         return []
     return table.column("payload").to_pylist()
