@@ -1,12 +1,14 @@
 """Self-join of documents by the Jaccard similarity of their word n-gram sets.
 
-The plan is a prefix-filter join. A document's n-grams are ordered rare first: the most
-frequent n-grams of the whole corpus, found by mergeable counters of a fixed size, go last
-and the rest go by hash. Two documents that are similar enough share an n-gram among the
-first few of each, the prefix. So
+The plan is a prefix-filter join. A document's n-grams are ordered rare first. A fixed share
+of all n-grams, chosen by hash and a little larger than a prefix needs, is counted exactly
+over the corpus and comes first, by count; of the others the most frequent, found by
+mergeable counters of a fixed size, go last and the rest by hash. Two documents that are
+similar enough share an n-gram among the first few of each, the prefix. So
 
 1. equal sets are collapsed to one representative by a digest;
-2. prefix n-grams meet by bucket; those of a single document go no further;
+2. the counted n-grams meet by bucket, and the counts of those in several blocks go back;
+   a prefix that consists of n-grams of one document alone needs no further step;
 3. representatives that share a prefix n-gram are compared by length, by position in the
    order and by a suffix filter (a bound of the symmetric difference from 64 partial counts);
    each task passes on only a spanning forest of the pairs that survive;
@@ -15,8 +17,12 @@ first few of each, the prefix. So
 5. components of the verified links are the result.
 
 Links between documents that are connected anyway are not listed, so no group of copies
-ever makes a quadratic number of rows. An n-gram or cluster too large for one task is cut
-into salted parts whose pairs of parts are compared in tasks of their own.
+ever makes a quadratic number of rows. An n-gram in very many prefixes puts all its
+documents into one cluster without comparing them: clusters may be too large, never too
+small. A cluster too large for one task is dealt out by hash, a few pilots are added to
+every part, and each part is verified; whoever is still outside the cluster's largest
+component is then compared with every part. Copies are connected after the first pass, so
+only the few others travel again.
 """
 
 from __future__ import annotations
@@ -35,9 +41,9 @@ from braidlog.llm import blocks as B
 
 #: Counters for the most frequent n-grams (any n-gram in more than 1/TOP of the rows is among them), and their parts.
 TOP, TOP_PARTS = 1 << 16, 16
-#: Postings of one n-gram, and n-grams of one cluster, that a task compares at once; beyond it parts are paired.
-CELL_POSTINGS, CELL_GRAMS = 8192, 4_000_000
-PARTIAL_COUNTS, MOST_WORDS, MATRIX_BYTES = 64, 400_000, 64 << 20
+#: Postings of one n-gram that are compared; n-grams of one part of a cluster.
+COMPARED_POSTINGS, PART_GRAMS = 8192, 1_000_000
+PARTIAL_COUNTS, MOST_WORDS, MATRIX_BYTES = 64, 400_000, 32 << 20
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -117,19 +123,41 @@ def frequent(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     return grams, rank
 
 
-def prefix(grams: np.ndarray, heavy: np.ndarray, rank: np.ndarray, share: tuple[int, int]) -> np.ndarray:
-    """The rarest n-grams, in order, of which a similar document must have one."""
+def counted_below(share: tuple[int, int]) -> np.uint64:
+    """Hashes below this are counted: 1.6 times the share of a set that a prefix takes."""
+    num, den = share
+    return np.uint64(min(1.0, 1.6 * (den - num) / den) * (2**64 - 2**12))
+
+
+def prefix(grams: np.ndarray, limit: np.uint64, several: np.ndarray, counts: np.ndarray, heavy: np.ndarray, rank: np.ndarray, share: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """N-grams of the prefix that others may have, their places in the order, and their counts (1 if not counted).
+
+    ``several`` are counted n-grams of several blocks, sorted, with their ``counts``.
+    """
     num, den = share
     size = len(grams) - -(-num * len(grams) // den) + 1
-    if not len(heavy):
-        return grams[:size]
-    at = np.minimum(np.searchsorted(heavy, grams), len(heavy) - 1)
-    common = heavy[at] == grams
-    rare = grams[~common][:size]
-    if len(rare) == size:
-        return rare
-    late = grams[common][np.argsort(rank[at[common]], kind="stable")]
-    return np.concatenate([rare, late[: size - len(rare)]])
+    k = int(np.searchsorted(grams, limit))
+    low, high = grams[:k], grams[k:]
+    if len(several) and k:
+        at = np.minimum(np.searchsorted(several, low), len(several) - 1)
+        times = np.where(several[at] == low, counts[at], 0)
+    else:
+        times = np.zeros(k, np.int64)
+    alone = k - int(np.count_nonzero(times))
+    if alone >= size:
+        return grams[:0], np.zeros(0, np.int64), np.zeros(0, np.int64)
+    order = np.flatnonzero(times)
+    order = order[np.argsort(times[order], kind="stable")][: size - alone]
+    chosen, times = low[order], times[order]
+    missing = size - alone - len(chosen)
+    if missing > 0:
+        if len(heavy):
+            at = np.minimum(np.searchsorted(heavy, high), len(heavy) - 1)
+            common = heavy[at] == high
+            high = np.concatenate([high[~common], high[common][np.argsort(rank[at[common]], kind="stable")]])
+        chosen = np.concatenate([chosen, high[:missing]])
+        times = np.concatenate([times, np.ones(len(chosen) - len(times), np.int64)])
+    return chosen, alone + np.arange(len(chosen)), times
 
 
 def signature(grams: np.ndarray) -> np.ndarray:
@@ -171,28 +199,27 @@ class Forest:
             self.edges.append((a, b))
 
 
-def connect(m: int, test) -> list[tuple[int, int]]:
-    """A spanning forest of the graph over ``range(m)`` whose edges ``test(i, js)`` finds; connected pairs are skipped."""
-    label, out = np.arange(m), []
+def connect(m: int, test, label: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Edges, found by ``test(i, js)``, that connect ``range(m)`` as far as all its edges would; connected pairs are skipped."""
+    label, out = np.arange(m) if label is None else label.copy(), []
     for i in range(1, m):
-        js = np.flatnonzero(label[:i] != i)  # i is alone so far
+        js = np.flatnonzero(label[:i] != label[i])
         hit = js[test(i, js)] if len(js) else js
-        seen = np.unique(label[hit], return_index=True)[1] if len(hit) else ()
-        for k in seen:
+        for k in np.unique(label[hit], return_index=True)[1] if len(hit) else ():
             j = int(hit[k])
             out.append((i, j))
-            label[label == label[j]] = i
-            label[i] = i
+            label[label == label[j]] = label[i]
     return out
 
 
-def classes(docs: DataFrame, n: int, share: tuple[int, int]) -> DataFrame:
-    """Steps 1 and 2 as one table of three kinds of rows.
+def classes(docs: DataFrame, n: int, share: tuple[int, int], compared: int) -> DataFrame:
+    """Steps 1 and 2 as one table of four kinds of rows.
 
-    ``c`` (every row: id, rep, size, block, idx), ``p`` (packed postings by bucket) and
-    ``t`` (texts of representatives with postings, by block).
+    ``c`` (every row: id, rep, size, block, idx), ``p`` (packed postings by bucket), ``e``
+    (id and rep in one cluster) and ``t`` (texts of representatives with postings, by block).
     """
     heavy, rank = frequent(docs, n)
+    limit = counted_below(share)
     width = shuffle_partitions(docs.sparkSession)
 
     def prepare(texts: list[bytes], ids: list, known: WordHashes) -> tuple[list[np.ndarray], list[bytes]]:
@@ -212,7 +239,7 @@ def classes(docs: DataFrame, n: int, share: tuple[int, int]) -> DataFrame:
             own = np.array([ids[i] for i in rows.tolist()], np.int64)
             for bucket, at in B.by_bucket(keys[:, 0], width):
                 out.append((f"w{bucket}", B.pack(b"d", block.encode(), keys[at], rows[at], own[at])))
-            grams = [prefix(sets[i], heavy, rank, share) for i in rows.tolist()]
+            grams = [sets[i][: np.searchsorted(sets[i], limit)] for i in rows.tolist()]
             grams, counts = np.unique(np.concatenate([*grams, np.zeros(0, np.uint64)]), return_counts=True)
             for bucket, at in B.by_bucket(grams, width):
                 out.append((f"w{bucket}", B.pack(b"g", block.encode(), grams[at], counts[at].astype(np.int64))))
@@ -247,6 +274,8 @@ def classes(docs: DataFrame, n: int, share: tuple[int, int]) -> DataFrame:
 
     def post(left: pa.Table, right: pa.Table) -> pa.Table:
         kinds, keys, loads, numbers = [], [], [], [[], [], [], []]
+        edges: list[tuple[int, int]] = []
+        firsts_of: dict[int, int] = {}
         answers = [B.unpack(p) for p in B.payloads(right, "b")]
         many = [(np.frombuffer(a[1], np.uint64), np.frombuffer(a[2], np.int64)) for a in answers if bytes(a[0]) == b"g"]
         grams, times = (np.concatenate(x) for x in zip(*many, strict=True)) if many else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
@@ -268,43 +297,46 @@ def classes(docs: DataFrame, n: int, share: tuple[int, int]) -> DataFrame:
                     column.append(value)
             kinds, keys, loads = ["c"] * len(ids), [block] * len(ids), [None] * len(ids)
             reps = [i for i, (_, mine) in rep_of.items() if mine]
-            firsts = [prefix(sets[i], heavy, rank, share) for i in reps]
-            if not reps or not len(grams):
+            firsts = [prefix(sets[i], limit, grams, times, heavy, rank, share) for i in reps if len(sets[i])]
+            if not firsts:
                 continue
-            sizes = np.array([len(p) for p in firsts])
-            flat, doc = np.concatenate(firsts), np.repeat(np.arange(len(reps)), sizes)
-            pos = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            spot = np.minimum(np.searchsorted(grams, flat), len(grams) - 1)
-            hit = grams[spot] == flat
-            flat, doc, pos, times_hit = flat[hit], doc[hit], pos[hit], times[spot[hit]]
+            flat, pos, times_hit = (np.concatenate(x) for x in zip(*firsts, strict=True))
+            doc = np.repeat(np.arange(len(reps)), [len(x) for x, _, _ in firsts])
             own = np.array([ids[i] for i in reps], np.int64)
-            parts = -(-times_hit // CELL_POSTINGS)
-            if (parts > 1).any():
-                salt = (mix(own.view(np.uint64))[doc] % parts.astype(np.uint64)).astype(np.int64)
-                again = np.repeat(np.arange(len(flat)), parts)
-                other = np.arange(len(again)) - np.repeat(np.cumsum(parts) - parts, parts)
-                low, high = np.minimum(salt[again], other), np.maximum(salt[again], other)
-                cell = mix(flat[again] + mix(low.astype(np.uint64) * _MIX[2] + high.astype(np.uint64)) * (parts[again] > 1))
-                flat, doc, pos = cell, doc[again], pos[again]
-            else:
-                flat = mix(flat)
+            hot = times_hit > compared
+            for gram in np.unique(flat[hot]):
+                together = np.sort(own[doc[hot & (flat == gram)]])
+                edges += [(int(i), int(together[0])) for i in together[1:]]
+                firsts_of[int(mix(np.array([gram], np.uint64))[0])] = int(together[0])
             used = np.unique(doc).tolist()
+            flat, doc, pos = mix(flat[~hot]), doc[~hot], pos[~hot]
             signatures = np.zeros((len(reps), PARTIAL_COUNTS), np.uint8)
-            for k in used:
+            for k in np.unique(doc).tolist():
                 signatures[k] = signature(sets[reps[k]])
             lengths = np.array([len(sets[i]) for i in reps], np.int64)
             for bucket, at in B.by_bucket(flat, width):
                 kinds.append("p")
                 keys.append(f"p{bucket}")
                 loads.append(B.pack(flat[at], own[doc[at]], lengths[doc[at]].astype(np.uint32), pos[at].astype(np.uint32), signatures[doc[at]]))
+            cells = np.fromiter(firsts_of, np.uint64, len(firsts_of))
+            leaders = np.fromiter(firsts_of.values(), np.int64, len(firsts_of))
+            for bucket, at in B.by_bucket(cells, width):  # size 0: members of a cluster whatever they are
+                kinds.append("p")
+                keys.append(f"p{bucket}")
+                loads.append(B.pack(cells[at], leaders[at], np.zeros(len(at), np.uint32), np.zeros(len(at), np.uint32), np.zeros((len(at), PARTIAL_COUNTS), np.uint8)))
             if used:
                 picked = [reps[k] for k in used]
                 kinds.append("t")
                 keys.append(block)
                 loads.append(B.pack(np.array(picked, np.uint32), own[used], *B.pack_strings([texts[i] for i in picked])))
-        rest = len(kinds) - len(numbers[0])
-        longs = [pa.array(c + [None] * rest, pa.int64()) for c in numbers[:3]]
-        return pa.table({"kind": pa.array(kinds, pa.string()), "key": pa.array(keys, pa.string()), "payload": pa.array(loads, pa.binary()), "id": longs[0], "rep": longs[1], "size": longs[2], "idx": pa.array(numbers[3] + [None] * rest, pa.int32())})
+        rest = [None] * (len(kinds) - len(numbers[0]))
+        none = [None] * len(edges)
+        a, b = zip(*edges, strict=True) if edges else ((), ())
+        columns = (
+            (kinds + ["e"] * len(edges), pa.string()), (keys + none, pa.string()), (loads + none, pa.binary()), (numbers[0] + rest + list(a), pa.int64()),
+            (numbers[1] + rest + list(b), pa.int64()), (numbers[2] + rest + none, pa.int64()), (numbers[3] + rest + none, pa.int32()),
+        )
+        return pa.table({name: pa.array(values, t) for name, (values, t) in zip(("kind", "key", "payload", "id", "rep", "size", "idx"), columns, strict=True)})
 
     sent = B.exchange(docs.mapInArrow(to_blocks, B.SCHEMA))
     return written(B.cogroup(sent, sent.mapInArrow(answer, B.SCHEMA), post, schema), "grams")
@@ -324,6 +356,11 @@ def candidates(table: DataFrame, share: tuple[int, int]) -> DataFrame:
             cell, own, n, pos, sig = cell[order], own[order], n[order].astype(np.int64), pos[order].astype(np.int64), sig.reshape(-1, PARTIAL_COUNTS)[order]
             first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
             sizes = np.diff(np.append(first, len(cell)))
+            given = n[first] == 0
+            for at, m in zip(first[given].tolist(), sizes[given].tolist(), strict=True):
+                for k in range(at + 1, at + m):
+                    forest.join(int(own[k]), int(own[at]))
+            first, sizes = first[~given], sizes[~given]
             twos = first[sizes == 2]
             for a in twos[plausible(n, pos, sig, twos, twos + 1, share)].tolist():
                 forest.join(int(own[a]), int(own[a + 1]))
@@ -333,41 +370,39 @@ def candidates(table: DataFrame, share: tuple[int, int]) -> DataFrame:
         a, b = zip(*forest.edges, strict=True) if forest.edges else ((), ())
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return B.exchange(table.where("kind = 'p'").select("key", "payload")).mapInArrow(span, "a long, b long")
+    compared = B.exchange(table.where("kind = 'p'").select("key", "payload")).mapInArrow(span, "a long, b long")
+    return compared.union(table.where("kind = 'e'").select("id", "rep"))
+
 
+def _cells(table: DataFrame, members: DataFrame, n: int, share: tuple[int, int]) -> DataFrame:
+    """Verify the cells of ``members(key, idx, label, cells array<string>)``: ``(a, b)`` edges that connect them.
 
-def verified(table: DataFrame, clusters: DataFrame, n: int, share: tuple[int, int]) -> DataFrame:
-    """Step 4: ``(a, b)`` edges of spanning forests of the true links within each cluster."""
+    Documents of equal label count as connected.
+    """
     num, den = share
-    rows = table.where("kind = 'c' and id = rep").select("id", "size", F.col("key").alias("block"), "idx")
-    members = rows.join(clusters, rows["id"] == clusters["node"]).select("block", "idx", "size", "component")
-    weights = members.groupBy("component").agg(F.sum("size").alias("weight"))
-    members = members.join(weights, "component").select(F.col("block").alias("key"), "idx", "component", "weight")
 
     def sets(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: tuple[list, list, list] = ([], [], [])
+        out: tuple[list, list, list, list] = ([], [], [], [])
         wanted = {r["idx"]: r for r in right.to_pylist()}
         known = WordHashes()
-        for payload in B.payloads(left, "b") if wanted else ():
+        for payload in B.payloads(left, "") if wanted else ():
             rows, own, sizes, blob = B.unpack(payload)
             texts = B.unpack_strings(sizes, blob)
             for row, key, text in zip(np.frombuffer(rows, np.uint32).tolist(), np.frombuffer(own, np.int64).tolist(), texts, strict=True):
                 if (member := wanted.get(row)) is None:
                     continue
                 grams = gram_sets([text], n, known)[0].tobytes()
-                parts = -(-member["weight"] // CELL_GRAMS)
-                salt = xxhash.xxh3_64_intdigest(str(key)) % parts
-                for other in range(parts):
-                    out[0].append(f"{member['component']}-{min(salt, other)}-{max(salt, other)}")
-                    out[1].append(key)
-                    out[2].append(grams)
-        return pa.table({"cell": pa.array(out[0], pa.string()), "id": pa.array(out[1], pa.int64()), "grams": pa.array(out[2], pa.binary())})
+                for cell in member["cells"]:
+                    for column, value in zip(out, (cell, key, member["label"], grams), strict=True):
+                        column.append(value)
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.binary())
+        return pa.table({name: pa.array(c, k) for name, c, k in zip(("cell", "id", "label", "grams"), out, kinds, strict=True)})
 
     def verify(group: pa.Table) -> pa.Table:
-        own = group.column("id").to_numpy()
+        own, label = group.column("id").to_numpy(), group.column("label").to_numpy()
         grams = [np.frombuffer(g, np.uint64) for g in group.column("grams").to_pylist()]
         order = sorted(range(len(own)), key=lambda i: (len(grams[i]), own[i]))
-        own, grams = own[order], [grams[i] for i in order]
+        own, label, grams = own[order], label[order], [grams[i] for i in order]
         n = np.array([len(g) for g in grams], np.int64)
         flat = np.concatenate(grams)
         _, column, times = np.unique(flat, return_inverse=True, return_counts=True)
@@ -376,13 +411,8 @@ def verified(table: DataFrame, clusters: DataFrame, n: int, share: tuple[int, in
         row = np.repeat(np.arange(len(own)), n)[shared]
         words = -(-len(columns) // 64)
         if len(own) * words * 8 <= MATRIX_BYTES:
-            bits = np.zeros((len(own), words * 64), bool) if len(own) * words * 64 <= MATRIX_BYTES else None
             matrix = np.zeros((len(own), words), np.uint64)
-            if bits is not None:
-                bits[row, column] = True
-                matrix = np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
-            else:
-                np.bitwise_or.at(matrix, (row, column // 64), np.uint64(1) << (column % 64).astype(np.uint64))
+            np.bitwise_or.at(matrix, (row, column // 64), np.uint64(1) << (column % 64).astype(np.uint64))
             common = lambda i, js: np.bitwise_count(matrix[js] & matrix[i]).sum(1, dtype=np.int64)
         else:
             common = lambda i, js: np.array([len(np.intersect1d(grams[i], grams[j], assume_unique=True)) for j in js], np.int64)
@@ -395,15 +425,48 @@ def verified(table: DataFrame, clusters: DataFrame, n: int, share: tuple[int, in
                 out[near] = den * inter >= num * (n[i] + n[js[near]] - inter)
             return out
 
-        edges = connect(len(own), linked)
+        edges = connect(len(own), linked, label)
         return pa.table({"a": pa.array([int(own[i]) for i, _ in edges], pa.int64()), "b": pa.array([int(own[j]) for _, j in edges], pa.int64())})
 
     texts = B.exchange(table.where("kind = 't'").select("key", "payload"))
-    cells = B.cogroup(texts, members, sets, "cell string, id long, grams binary")
+    cells = B.cogroup(texts, members, sets, "cell string, id long, label long, grams binary")
     return cells.groupBy("cell").applyInArrow(verify, "a long, b long")
 
 
-def components(docs: DataFrame, n: int = 5, share: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def linked_components(table: DataFrame, clusters: DataFrame, n: int, share: tuple[int, int], part_grams: int) -> DataFrame:
+    """Steps 4 and 5: ``(node, component)`` of the true links within the candidate clusters."""
+    rows = table.where("kind = 'c' and id = rep").select("id", "size", F.col("key").alias("block"), "idx")
+    own = rows.join(clusters, rows["id"] == clusters["node"]).select("id", "size", "block", "idx", F.col("component").alias("cluster"))
+    by_size = F.struct("size", "id")
+    facts = own.groupBy("cluster").agg(F.sum("size").alias("weight"), F.array_distinct(F.array(F.min("id"), F.max("id"), F.min(by_size)["id"], F.max(by_size)["id"])).alias("pilots"))
+    parts = F.ceil(F.col("weight") / part_grams).cast("long")
+    members = written(own.join(facts, "cluster").withColumns({"parts": parts, "part": F.pmod(F.xxhash64("id"), parts)}), "members")
+    name = lambda *c: F.concat_ws("-", *[x.cast("string") for x in c])
+    everywhere = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda i: name(F.col("cluster"), i))
+    cells = F.when(F.array_contains("pilots", F.col("id")), everywhere).otherwise(F.array(name(F.col("cluster"), F.col("part"))))
+    first = written(_cells(table, members.select(F.col("block").alias("key"), "idx", F.col("id").alias("label"), cells.alias("cells")), n, share), "links")
+    found = connected_components(first, "a", "b")
+    large = members.where("parts > 1")
+    if large.isEmpty():
+        return found
+    found = written(found, "found")
+    large = large.join(found, large["id"] == found["node"], "left").select(*members.columns, F.coalesce("component", "id").alias("label"))
+    counts = large.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("cluster").agg(F.max_by("label", F.struct("k", "label")).alias("main"))
+    large = written(large.join(counts, "cluster"), "large")
+    outside = F.col("label") != F.col("main")
+    rest = large.where(outside).groupBy("cluster").agg(F.ceil(F.sum("size") / part_grams).cast("long").alias("rest_parts"))
+    again = large.join(rest, "cluster").withColumn("rest_part", F.pmod(F.xxhash64(F.lit(1), "id"), F.col("rest_parts")))
+    upto = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
+    with_rest = F.transform(upto("rest_parts"), lambda j: name(F.col("cluster"), F.col("part"), j))
+    with_parts = F.transform(upto("parts"), lambda i: name(F.col("cluster"), i, F.col("rest_part")))
+    cells = F.when(outside, F.array_union(with_rest, with_parts)).otherwise(with_rest)
+    second = _cells(table, again.select(F.col("block").alias("key"), "idx", "label", cells.alias("cells")), n, share)
+    return connected_components(first.union(second), "a", "b")
+
+
+def components(
+    docs: DataFrame, n: int = 5, share: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text", compared: int = COMPARED_POSTINGS, part_grams: int = PART_GRAMS
+) -> DataFrame:
     """``(id, n_shingles, component_id)`` of every row.
 
     Words are runs without ASCII white space, A-Z lower-cased; the set is the distinct
@@ -412,11 +475,12 @@ def components(docs: DataFrame, n: int = 5, share: tuple[int, int] = (80, 100),
     reachable. A text without words (null, empty) has no shingles and no links. Ids must be
     integers; a null id stays a row with a null component and no links. Repeated rows are
     one class. Other columns are not read; an empty table gives an empty result.
+    ``compared`` and ``part_grams`` bound what one task compares, not what is found.
     """
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    table = classes(own, n, share)
+    table = classes(own, n, share, compared)
     near = connected_components(candidates(table, share), "a", "b")
-    links = connected_components(verified(table, near, n, share), "a", "b")
+    links = linked_components(table, near, n, share, part_grams)
     rows = table.where("kind = 'c'").select("id", "rep", "size")
     return rows.join(links, rows["rep"] == links["node"], "left").select(
         F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id")
