@@ -7,7 +7,8 @@ document cannot repeat and go no further; the others meet by anchor. There, cont
 no other segment of the anchor shares are trimmed off, equal rests are kept once, and the
 suffix array of all rests (built by linear grouping) puts equal windows side by side. The
 smallest document of each class of windows returns to the blocks, which mark and cut the
-covered bytes.
+covered bytes. Segments of an anchor that very many blocks have do not meet in one task:
+their windows are dealt out one by one by their own hash.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -27,6 +29,8 @@ from braidlog.llm import blocks as B
 from braidlog.llm.suffix import suffix_array
 
 LENGTH, ANCHOR = 50, 20
+#: Blocks (twice where several ids have it) with one anchor beyond which its windows are dealt out singly.
+MANY_BLOCKS = 4096
 #: Bytes hashed at once, bytes put into one suffix array at least, and the rank of a null id.
 PIECE, ARRAY_BYTES, LAST = 1 << 18, 1 << 16, np.iinfo(np.int64).max
 SEPARATOR = b"\xff"  # no byte of UTF-8
@@ -192,14 +196,14 @@ def first_owners(found: list, length: int) -> list[list[tuple[int, int]]]:
     return out
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", many_blocks: int = MANY_BLOCKS) -> DataFrame:
     """``(id, n_bytes, n_removed, n_spans, kept)`` of every row; ``kept`` is the UTF-8 text without the removed bytes.
 
     A byte goes if a string of ``length`` bytes over it also starts in a row of smaller id;
     strings are judged on the input and never cross rows. Texts shorter than ``length``
     stay whole, a null text is empty. Rows with equal ids do not remove each other's
     bytes; a null id counts as the largest. Other columns are not read; an empty table
-    gives an empty result.
+    gives an empty result. ``many_blocks`` only decides how work is dealt out.
     """
     if length < ANCHOR:
         raise ValueError(f"strings of at least {ANCHOR} bytes are compared")
@@ -240,10 +244,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
         arrays = [np.frombuffer(x[2], np.uint64) for x in held]
         _, place = np.unique(np.concatenate(arrays), return_inverse=True)
         weight = np.concatenate([1 + np.unpackbits(np.frombuffer(x[3], np.uint8), count=len(a)).astype(np.int64) for x, a in zip(held, arrays, strict=True)])
-        many = np.bincount(place, weight)[place] > 1
+        total = np.bincount(place, weight)[place]
+        many, hot = total > 1, total > many_blocks
         at = 0
         for (block, bucket, _, _), anchors in zip(held, arrays, strict=True):
-            yield B.rows([(f"b{block.decode()}", B.pack(bucket, np.packbits(many[at : at + len(anchors)])))])
+            yield B.rows([(f"b{block.decode()}", B.pack(bucket, *(np.packbits(x[at : at + len(anchors)]) for x in (many, hot))))])
             at += len(anchors)
 
     def collect(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -252,11 +257,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
             ids, sizes, blob = B.unpack(payload)
             texts, owners, block = B.unpack_strings(sizes, blob), ranks(B.unpack_ids(ids)), left.column("key")[0].as_py()
             own, anchors, _ = distinct(texts, owners)
-            bits = {int(np.frombuffer(b, np.int64)[0]): np.frombuffer(m, np.uint8) for b, m in map(B.unpack, B.payloads(right, "b"))}
-            many = np.zeros(len(anchors), bool)
+            bits = {int(np.frombuffer(b, np.int64)[0]): (np.frombuffer(m, np.uint8), np.frombuffer(t, np.uint8)) for b, m, t in map(B.unpack, B.payloads(right, "b"))}
+            many, hot = np.zeros(len(anchors), bool), np.zeros(len(anchors), bool)
             for bucket, at in B.by_bucket(anchors, width):
-                many[at] = np.unpackbits(bits[bucket], count=len(at)).astype(bool)
-            chosen = anchors[many]
+                for flags, packed in zip((many, hot), bits[bucket], strict=True):
+                    flags[at] = np.unpackbits(packed, count=len(at)).astype(bool)
+            chosen, single = anchors[many], set(anchors[hot].tolist())
             known: dict[tuple[int, bytes], int] = {}
             least: list[int] = []
             where: list[tuple[int, int, int]] = []
@@ -264,7 +270,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
             for i, (first, end, anchor, h) in own if len(chosen) else ():
                 hit = chosen[np.minimum(np.searchsorted(chosen, h), len(chosen) - 1)] == h
                 text, owner = texts[i], int(owners[i])
-                for a, b, p, x in zip(first[hit].tolist(), end[hit].tolist(), anchor[hit].tolist(), h[hit].tolist(), strict=True):
+                spans = zip(first[hit].tolist(), end[hit].tolist(), anchor[hit].tolist(), h[hit].tolist(), strict=True)
+                if single:
+                    spans = ((a, b, p, x) for s, e, q, y in spans for a, b, p, x in (((w, w + 1, w, xxhash.xxh3_64_intdigest(text[w : w + length])) for w in range(s, e)) if y in single else ((s, e, q, y),)))
+                for a, b, p, x in spans:
                     key = (x, text[a : b + length - 1])
                     k = known.get(key)
                     if k is None:
