@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from braidlog.functions.runtime import written
 
+#: Edges above which a round writes its minima.
+MANY_EDGES = 1_000_000
+
 
 def connected_components(edges: DataFrame, src: str, dst: str) -> DataFrame:
     """``(node, component)`` of every node of an undirected edge list; component is the smallest node.
@@ -22,12 +25,14 @@ def connected_components(edges: DataFrame, src: str, dst: str) -> DataFrame:
     nodes = pairs.select(F.col("u").alias("node")).union(pairs.select("v"))
     links = pairs.where(F.col("u") != F.col("v"))
     seen = None
+    # Large edge lists: the minima are written, so that the joins are between plain tables and hubs can be split.
+    hold = (lambda low: written(low, "cc")) if pairs.count() > MANY_EDGES else (lambda low: low)
     while True:
         both = links.union(links.select("v", "u"))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        low = hold(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where(F.col("u") != F.col("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = hold(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", "m"))
         links = written(small.where(F.col("u") != F.col("v")).distinct(), "cc")
