@@ -146,6 +146,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     rows = written(recipes(docs, id_col, text_col), "recipes")
     rank = F.struct((-F.col("n_points")).alias("p"), F.col("id").isNull().alias("n"), F.col("id").alias("id"), F.col("row").alias("row"))
     best = rows.groupBy("recipe").agg(F.count(F.lit(1)).alias("group_size"), F.min(rank).alias("best"))
+    best = written(best, "best")  # a join of two plain tables, which Spark can split where a recipe is hot
     return rows.join(best, "recipe").select(
         F.col("id").alias(id_col),
         F.col("best.id").alias("keep_id"),

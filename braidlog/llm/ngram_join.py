@@ -439,6 +439,7 @@ def linked_components(table: DataFrame, clusters: DataFrame, n: int, share: tupl
     own = rows.join(clusters, rows["id"] == clusters["node"]).select("id", "size", "block", "idx", F.col("component").alias("cluster"))
     by_size = F.struct("size", "id")
     facts = own.groupBy("cluster").agg(F.sum("size").alias("weight"), F.array_distinct(F.array(F.min("id"), F.max("id"), F.min(by_size)["id"], F.max(by_size)["id"])).alias("pilots"))
+    facts = written(facts, "facts")  # so that the join can be split where a cluster is hot
     parts = F.ceil(F.col("weight") / part_grams).cast("long")
     members = written(own.join(facts, "cluster").withColumns({"parts": parts, "part": F.pmod(F.xxhash64("id"), parts)}), "members")
     name = lambda *c: F.concat_ws("-", *[x.cast("string") for x in c])
@@ -480,7 +481,7 @@ def components(
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     table = classes(own, n, share, compared)
     near = connected_components(candidates(table, share), "a", "b")
-    links = linked_components(table, near, n, share, part_grams)
+    links = written(linked_components(table, near, n, share, part_grams), "components")
     rows = table.where("kind = 'c'").select("id", "rep", "size")
     return rows.join(links, rows["rep"] == links["node"], "left").select(
         F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id")
