@@ -25,8 +25,8 @@ PLACES = 4096
 UNKNOWN = "unknown"
 #: Least calibrated probability and least share of a template's word pairs found in the paragraph (or the other way round).
 LEAST_PROBABILITY, LEAST_MATCH = 0.5, 0.5
-#: Ordinary lines taken as training rows of the unknown class, at most; smallest hashes first.
-MOST_LINES = 2000
+#: Ordinary lines taken as training rows of the unknown class: at most in all, and of one document.
+MOST_LINES, LINES_EACH = 2000, 5
 SPLIT = r"[^\p{L}\p{N}.]+"
 
 #: Fixed texts: grant and notice paragraphs of the licence families.
@@ -147,11 +147,14 @@ def train(lines: tuple[str, ...] = (), rounds: int = 300, rate: float = 0.5, dec
 
 
 def sample_lines(docs: DataFrame, text_col: str, most: int = MOST_LINES) -> tuple[str, ...]:
-    """At most ``most`` short lines without any template's words, as rows of the unknown class."""
-    line = F.explode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"))
-    lines = docs.select(line.alias("line")).where(F.length("line").between(1, 400) & ~_candidate(F.col("line")))
-    picked = lines.orderBy(F.xxhash64("line"), "line").limit(most).collect()  # bounded by ``most``
-    return tuple(r.line for r in picked)
+    """At most ``most`` short lines without any template's words, as rows of the unknown class.
+
+    Five lines each of the first documents: only as many partitions are read as that takes,
+    and the driver gets at most ``most`` lines of 400 characters.
+    """
+    lines = F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), lambda x: F.length(x).between(1, 400) & ~_candidate(x))
+    picked = docs.select(F.slice(lines, 1, LINES_EACH).alias("lines")).limit(-(-most // LINES_EACH)).collect()
+    return tuple(line for r in picked for line in r.lines)[:most]
 
 
 def _numbers(values: np.ndarray) -> Column:
