@@ -26,7 +26,7 @@ UNKNOWN = "unknown"
 #: Least calibrated probability and least share of a template's word pairs found in the paragraph (or the other way round).
 LEAST_PROBABILITY, LEAST_MATCH = 0.5, 0.5
 #: Ordinary lines taken as training rows of the unknown class: at most in all, and of one document.
-MOST_LINES, LINES_EACH = 2000, 5
+MOST_LINES, LINES_EACH = 600, 5
 SPLIT = r"[^\p{L}\p{N}.]+"
 
 #: Fixed texts: grant and notice paragraphs of the licence families.
