@@ -167,7 +167,7 @@ def tokenised(docs: DataFrame, tokenizer_json: str, window: int, id_col: str, te
                     n, full = n + 1, full + whole
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(zip(*out, strict=True), arrow, strict=True)], names=[k for k, _ in arrow])
 
-    return written(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(encode, schema), "tokens")
+    return written(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(encode, schema), "tokens", merge=False)
 
 
 def pack(docs: DataFrame, tokenizer_json: str, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -153,7 +153,7 @@ def write_monolithic(records: DataFrame, folder: str, writers: int | None = None
     store, root = fs.FileSystem.from_uri(folder)
     store.create_dir(root, recursive=True)
     records = records.coalesce(writers) if writers else records
-    return written(records.mapInArrow(write, "path string, n_records long"), "archives")
+    return written(records.mapInArrow(write, "path string, n_records long"), "archives", merge=False)
 
 
 def normalise(archives: DataFrame, folder: str) -> DataFrame:
