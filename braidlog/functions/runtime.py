@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+#: Files of a written table for each core.
+FILES_PER_CORE = 4
 _OWN: dict[str, str] = {}
 
 
@@ -38,12 +40,16 @@ def _forget(spark: SparkSession, path: str) -> None:
         return
 
 
-def written(df: DataFrame, label: str = "table") -> DataFrame:
+def written(df: DataFrame, label: str = "table", merge: bool = True) -> DataFrame:
     """Cut lineage: write ``df`` as Parquet in the shared folder and read it back.
 
-    The table survives lost executors, and is deleted when the driver ends.
+    The table survives lost executors, and is deleted when the driver ends. It gets at most
+    ``FILES_PER_CORE`` files for each core of the cluster, however many partitions there are,
+    unless ``merge`` is false: functions that name things by their partition need their own.
     """
     spark = df.sparkSession
+    if merge:
+        df = df.coalesce(FILES_PER_CORE * spark.sparkContext.defaultParallelism)
     path = f"{shared_dir(spark)}/braidlog-{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_forget, spark, path)

@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from braidlog.functions.runtime import shuffle_partitions
 from braidlog.model import Log
 from braidlog.operators.executions import execution_edges, execution_objects
 from braidlog.operators.performance import AGGREGATES
@@ -188,8 +189,12 @@ def total_object_count(log: Log, pe: DataFrame, horizon: float) -> DataFrame:
     return pe.join(n, "event_id").select("pe_id", "event_id", F.col("value").cast("double").alias("value"))
 
 
-def running_total(df: DataFrame, order: str, value: str, bins: int = 256) -> DataFrame:
-    """Running sums over a distinct order column in two levels: within ranges, then over the ranges' totals."""
+def running_total(df: DataFrame, order: str, value: str, bins: int | None = None) -> DataFrame:
+    """Running sums over a distinct order column in two levels: within ranges, then over the ranges' totals.
+
+    There are four ranges for each shuffle partition if ``bins`` is not given.
+    """
+    bins = bins or 4 * shuffle_partitions(df.sparkSession)
     bounds = df.agg(F.min(order).alias("low"), F.max(order).alias("high"))
     binned = df.join(F.broadcast(bounds)).withColumn("bin", F.floor((F.col(order) - F.col("low")) * bins / (F.col("high") - F.col("low") + 1)).cast("int"))  # one row
     totals = binned.groupBy("bin").agg(F.sum(value).alias("t"))

@@ -14,10 +14,23 @@ from braidlog.operators.traces import follows
 
 
 def _most_frequent(counts: DataFrame, key: str, share: float) -> DataFrame:
-    """Keys in descending count up to and with the one at which the cumulative share exceeds ``share``."""
-    w = Window.orderBy(F.desc("n"), key).rowsBetween(Window.unboundedPreceding, -1)  # one row for each activity or variant
-    before = F.coalesce(F.sum("n").over(w), F.lit(0)) / F.sum("n").over(Window.partitionBy())
-    return counts.select(key, "n", before.alias("before")).where(F.col("before") <= share).select(key, "n")
+    """Keys in descending count up to and with the one at which the cumulative share exceeds ``share``.
+
+    Running sums go over the distinct counts, of which there are few (below the square root
+    of twice the rows), not over the keys; only the count that crosses the share is ordered
+    by key, to take its first ones.
+    """
+    counts = written(counts.select(key, "n"), "counts")
+    groups = counts.groupBy("n").agg(F.count(F.lit(1)).alias("k"))
+    down = Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
+    before, total = F.coalesce(F.sum(F.col("n") * F.col("k")).over(down), F.lit(0)), F.sum(F.col("n") * F.col("k")).over(Window.partitionBy())
+    fit = F.floor((F.lit(share) * total - before) / F.col("n")) + 1
+    kept = groups.select("n", "k", F.least(F.col("k"), F.greatest(fit, F.lit(0))).alias("m")).where("m > 0")
+    whole = counts.join(kept.where("m = k").select("n"), "n", "left_semi").select(key, "n")
+    crossing = kept.where("m < k").first()  # one row at most
+    if crossing is None:
+        return whole
+    return whole.union(counts.where(F.col("n") == crossing.n).orderBy(key).limit(crossing.m).select(key, "n"))
 
 
 def frequent_activities(log: Log, share: float) -> DataFrame:

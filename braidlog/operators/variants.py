@@ -6,7 +6,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from braidlog.functions.graphs import canonical
@@ -49,7 +49,8 @@ def variants(log: Log, pe_events: DataFrame, pe_objects: DataFrame | None = None
 def frequencies(table: DataFrame) -> DataFrame:
     """Variants by share of executions, most frequent first, with an example."""
     n = table.groupBy("variant").agg(F.count(F.lit(1)).alias("n"), F.min("pe_id").alias("example"))
-    return n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy())).orderBy(F.desc("n"), "example")  # one row for each variant
+    total = table.agg(F.count(F.lit(1)).alias("total"))
+    return n.join(F.broadcast(total)).select("variant", "n", "example", (F.col("n") / F.col("total")).alias("share")).orderBy(F.desc("n"), "example")  # one row
 
 
 def events_of_variants(table: DataFrame, pe_events: DataFrame) -> DataFrame:
