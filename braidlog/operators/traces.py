@@ -42,12 +42,12 @@ def follows(log: Log, *keys: str) -> DataFrame:
 
 
 def directly_follows(log: Log, object_type: str | None = None) -> DataFrame:
-    """Counts and mean gap of consecutive activities, by object type."""
+    """Counts and total gap (a decimal of microseconds: sums of years overflow a long) of consecutive activities, by object type."""
     edges = follows(log)
     if object_type is not None:
         edges = edges.where(F.col("object_type") == object_type)
     gap = micros("dst_ts") - micros("src_ts")
-    return edges.groupBy("object_type", "src_activity", "dst_activity").agg(F.count(F.lit(1)).alias("n"), F.sum(gap).alias("gap_us"))
+    return edges.groupBy("object_type", "src_activity", "dst_activity").agg(F.count(F.lit(1)).alias("n"), F.sum(gap.cast("decimal(38,0)")).alias("gap_us"))
 
 
 def event_graph(log: Log) -> DataFrame:

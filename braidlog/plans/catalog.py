@@ -97,7 +97,7 @@ def user_executions(log) -> DataFrame:
 
 
 def _dfg(log, kind: str) -> DataFrame:
-    return traces.directly_follows(log, kind).select("src_activity", "dst_activity", "n", r6(F.col("gap_us") / F.col("n") / 1e6).alias("mean_gap"))
+    return traces.directly_follows(log, kind).select("src_activity", "dst_activity", "n", r6(F.col("gap_us").cast("double") / F.col("n") / 1e6).alias("mean_gap"))
 
 
 DFG_SQL = "SELECT src_activity, dst_activity, count(*) AS n, round(CAST(sum(dst_us - src_us) AS DOUBLE) / count(*) / 1e6, 6) AS mean_gap FROM fol WHERE object_type = '{0}' GROUP BY 1, 2"
