@@ -306,8 +306,9 @@ def test_suffix_array():
             assert suffix_array(text) == sorted(range(n), key=lambda i, t=text: t[i:])
 
 
-def test_repeats_equal_brute_force(docs, rows, empty, odd):
-    got = {r.doc_id: r for r in substrings.remove_repeats(docs).collect()}
+@pytest.mark.parametrize("many_blocks", [substrings.MANY_BLOCKS, 1])
+def test_repeats_equal_brute_force(docs, rows, empty, odd, many_blocks):
+    got = {r.doc_id: r for r in substrings.remove_repeats(docs, many_blocks=many_blocks).collect()}
     seen = set()
     for i, text in rows:
         data = (text or "").encode()
