@@ -25,12 +25,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from braidlog.functions.runtime import shuffle_partitions
+from braidlog.functions.runtime import shuffle_partitions, written
 
 #: Text bytes gathered into one block.
 BLOCK_BYTES = 8 << 20
 SCHEMA = "key string, payload binary"
 ARROW = pa.schema([("key", pa.string()), ("payload", pa.binary())])
+#: Column of the row key that ``numbered`` adds.
+ROW = "__row"
 
 
 def pack(*parts: Any) -> bytes:
@@ -134,6 +136,11 @@ def cogroup(left: DataFrame, right: DataFrame, function, schema: str) -> DataFra
     return left.groupBy("key").cogroup(exchange(right).groupBy("key")).applyInArrow(function, schema)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a unique long for every row, written once so that all readers see the same."""
+    return written(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+
+
 def without(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
     """The rows of ``docs`` whose id is not in the one column of ``gone``; a null id stays.
 

@@ -157,6 +157,12 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns. Ids must be unique; rows without id stay."""
-    gone = dedup(docs.where(F.col(id_col).isNotNull()), id_col, text_col).where("not kept")
-    return B.without(docs, gone.select(id_col), id_col)
+    """The rows that ``dedup`` keeps, with all their columns: exactly one of each group.
+
+    Rows are dropped by a key of their own, so repeated rows, null ids and several texts of
+    one id are rows like others.
+    """
+    keyed = B.numbered(docs)
+    key = F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("id"), F.col(B.ROW).alias("row"))
+    gone = dedup(keyed.select(key.alias("key"), F.col(text_col).alias("text")), "key", "text").where("not kept")
+    return B.without(keyed, gone.select(F.col("key.row").alias(B.ROW)), B.ROW).drop(B.ROW)

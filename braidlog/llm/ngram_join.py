@@ -488,8 +488,23 @@ def components(
     )
 
 
-def keep_one(docs: DataFrame, n: int = 5, share: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are the smallest id of their component, with all columns; rows without id stay."""
-    found = components(docs.where(F.col(id_col).isNotNull()), n, share, id_col, text_col)
-    drop = found.where(F.col("component_id") != F.col(id_col)).select(id_col)
-    return B.without(docs, drop, id_col)
+def keep_one(
+    docs: DataFrame, n: int = 5, share: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text", repeats: bool = True
+) -> DataFrame:
+    """The rows of ``docs`` that are the smallest id of their component, with all columns.
+
+    Components are found over rows, so several texts of one id are judged each by itself.
+    With ``repeats`` the rows without id stay and link nothing, and linked rows that share the
+    smallest id all stay; otherwise exactly one row of each component stays, null ids last.
+    """
+    keyed = B.numbered(docs)
+    own = keyed.where(F.col(id_col).isNotNull()) if repeats else keyed
+    found = components(own, n, share, B.ROW, text_col).select(F.col(B.ROW).alias("row"), "component_id")
+    rank = F.struct(F.col("id").isNull().alias("n"), F.col("id").alias("id"), F.col("row").alias("row"))
+    rows = own.select(F.col(B.ROW).alias("row"), F.col(id_col).alias("id")).join(found, "row")
+    rows = written(rows.where(F.col("component_id").isNotNull()), "rows")
+    best = rows.groupBy("component_id").agg(F.min(rank).alias("best"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    best = written(best, "best")  # so that the join can be split where a component is hot
+    lost = F.col("id") != F.col("best.id") if repeats else F.col("row") != F.col("best.row")
+    drop = rows.join(best, "component_id").where(lost).select(F.col("row").alias(B.ROW))
+    return B.without(keyed, drop, B.ROW).drop(B.ROW)

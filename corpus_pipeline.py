@@ -2,7 +2,8 @@
 
 Every stage takes ``(spark, docs, sf_dir)`` and works on all rows its predecessor kept. All
 but the last return the columns of ``documents``; the last returns one row for each packed
-piece. Ids are unique; nulls in other columns and empty texts are handled by the operators.
+piece. Repeated rows, repeated and null ids, nulls in other columns and empty texts are rows
+like others.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five-word shingles, Jaccard similarity of 0.8 or more."""
-    return ngram_join.keep_one(docs, 5, (80, 100))
+    return ngram_join.keep_one(docs, 5, (80, 100), repeats=False)
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

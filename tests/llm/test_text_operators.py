@@ -130,6 +130,17 @@ def test_components_edges(empty, odd):
     assert kept.columns == odd.columns and kept.count() == 6
 
 
+def test_keep_one_on_repeated_rows(spark):
+    rnd = random.Random(8)
+    one, two, three = (" ".join(f"w{rnd.randrange(1000)}" for _ in range(60)) for _ in range(3))
+    rows = [(5, one), (5, one), (5, two), (2, one + " end"), (None, two), (None, three), (None, three), (7, three + " end"), (None, ""), (9, None)]
+    df = frame(spark, rows).repartition(3)
+    got = sorted(((r.doc_id, r.text) for r in ngram_join.keep_one(df, 5, repeats=False).collect()), key=repr)
+    assert got == sorted([(2, one + " end"), (5, two), (7, three + " end"), (None, ""), (9, None)], key=repr)
+    texts = [(r.doc_id, r.text) for r in ngram_join.keep_one(df, 5).collect()]
+    assert (5, two) in texts and (5, one) not in texts and texts.count((None, three)) == 2
+
+
 # --- 3: licences ----------------------------------------------------------------------------
 
 
@@ -372,6 +383,16 @@ def test_recipes_equal_brute_force(docs, rows, empty, odd):
     assert kept.columns == docs.columns and kept.count() == len(groups)
 
 
+def test_keep_first_on_repeated_rows(spark, odd):
+    rows = [(1, "a b"), (1, "a b"), (1, "other"), (4, "other"), (0, "other"), (1, "third"), (None, "null"), (None, "null"), (3, "null"), (None, "only"), (None, "only"), (8, None), (8, "")]
+    df = frame(spark, rows).repartition(3)
+    kept = cdc.keep_first(df)
+    got = sorted(((r.doc_id, r.text or "") for r in kept.collect()), key=repr)
+    assert kept.columns == df.columns
+    assert got == sorted([(1, "a b"), (0, "other"), (1, "third"), (3, "null"), (None, "only"), (8, "")], key=repr)
+    assert cdc.keep_first(odd).count() == 3
+
+
 def test_chunks_do_not_depend_on_what_comes_before():
     rnd = random.Random(2)
     data = bytes(rnd.randrange(97, 120) for _ in range(200_000))
