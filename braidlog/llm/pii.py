@@ -27,7 +27,13 @@ SOCIAL = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 DATE = r"(?<![\d-])\d{4}-\d{2}-\d{2}(?![\d-])"
 CARD = r"(?<!\d)(?:\d[ -]?){12,18}\d(?!\d)"
 SECRET = r"(?<![A-Za-z0-9_-])(?:[0-9a-f]{32,64}|(?:sk-|ghp_|AKIA)[A-Za-z0-9]{16,64})(?![A-Za-z0-9_-])"
-ANY = "|".join((MAIL, SECRET, ADDRESS, PHONE, SOCIAL, DATE, CARD))
+#: Digit groups from 13 digits on that single blanks or hyphens join, up to a group that begins something of another kind.
+_DOTTED = r"\d{3}(?:\.\d{3}[ .-]|[ -]\d{3}\.)\d{4}(?![\d-])"
+RUN = rf"(?<!\d)(?=(?:\d[ -]?){{12}}\d)\d++(?:[ -](?!{MAIL}|{SECRET}|{ADDRESS}|{_DOTTED})\d++)*+"
+ANY = "|".join((MAIL, SECRET, ADDRESS, PHONE, SOCIAL, DATE, RUN))
+#: What stands beside cards in a run, and the groupings in which cards are usually written.
+BESIDE = "|".join((PHONE, SOCIAL, DATE))
+USUAL = r"^(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}([ -])\d{6}\2\d{4,5})$"
 #: Days of one span of dates; dates are permuted within their span.
 DATE_A, DATE_B, DATE_FIRST = 200, 365, "1900-01-01"
 
@@ -97,6 +103,48 @@ def _card(text: Column, key: str) -> Column:
     return F.when(luhn_sum(digits) % 10 == 0, _refill(text, _let(digits, change)))
 
 
+def _cards(run: Column) -> Column:
+    """``(start, size)`` of the cards of a run, in order: whole groups of 13 to 19 digits that pass the checksum.
+
+    Of overlapping ones the usual groupings go first, then the most digits, then the leftmost.
+    """
+
+    def of(groups: Column) -> Column:
+        def at(i: Column, w: Column) -> Column:
+            text = F.regexp_replace(F.array_join(F.slice(groups, i + 1, w), ""), r"\D$", "")
+            return F.struct((~text.rlike(USUAL)).alias("odd"), (-F.length(F.regexp_replace(text, r"\D", ""))).alias("less"), i.alias("i"), w.alias("w"), text.alias("text"))
+
+        every = F.transform(F.sequence(F.lit(0), F.size(groups) - 1), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(19), F.size(groups) - i)), lambda w: at(i, w)))
+        valid = F.filter(F.flatten(every), lambda x: x["less"].between(-19, -13) & (luhn_sum(F.regexp_replace(x["text"], r"\D", "")) % 10 == 0))
+        first = lambda i: F.length(F.array_join(F.slice(groups, F.lit(1), i), "")) + 1
+        short = F.transform(F.array_sort(valid), lambda x: F.struct(first(x["i"]).alias("start"), F.length(x["text"]).alias("size")))
+        meets = lambda x, y: (x["start"] < y["start"] + y["size"]) & (y["start"] < x["start"] + x["size"])
+        add = lambda acc, x: F.when(F.exists(acc, lambda y: meets(x, y)), acc).otherwise(F.concat(acc, F.array(x)))
+        return F.array_sort(F.aggregate(short, F.array().cast("array<struct<start:int,size:int>>"), add))
+
+    return _let(F.regexp_extract_all(run, F.lit(r"\d+[ -]?"), F.lit(0)), of)
+
+
+def _pieces(found: Column) -> Column:
+    """``(text, own)`` pieces of one found string: a run is cut into cards, what else is found beside them, and the rest."""
+    piece = lambda text, own: F.struct(text.alias("text"), F.lit(own).alias("own"))
+
+    def beside(gap: Column) -> Column:
+        others = F.concat(F.regexp_extract_all(gap, F.lit(BESIDE), F.lit(0)), F.array(F.lit("")))
+        return F.flatten(F.zip_with(F.split(gap, BESIDE, -1), others, lambda g, o: F.array(piece(g, False), piece(o, True))))
+
+    def cut(cards: Column) -> Column:
+        def add(acc: Column, c: Column) -> Column:
+            gap = F.substring(found, acc["at"], c["start"] - acc["at"])
+            return F.struct((c["start"] + c["size"]).alias("at"), F.concat(acc["out"], beside(gap), F.array(piece(F.substring(found, c["start"], c["size"]), True))).alias("out"))
+
+        start = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<text:string,own:boolean>>").alias("out"))
+        return F.aggregate(cards, start, add, lambda acc: F.concat(acc["out"], beside(F.substring(found, acc["at"], F.length(found)))))
+
+    run = found.rlike(r"^\d[\d -]*$") & ~found.rlike(f"^(?:{SECRET}|{BESIDE})$")
+    return F.when(run, _let(_cards(found), cut)).otherwise(F.array(piece(found, True)))
+
+
 def _phone(text: Column, key: str) -> Column:
     """The last ten digits; area and exchange codes stay valid (200 to 999) where they were."""
 
@@ -209,15 +257,20 @@ def pseudonymise(docs: DataFrame, key: str = DEFAULT_KEY, text_col: str = "text"
     are independent, so repeated rows give equal results; other columns pass through.
     """
     found = F.regexp_extract_all(F.col(text_col), F.lit(ANY), F.lit(0))
+
+    def renew(value: Column) -> Column:
+        new = F.transform(_pieces(value), lambda p: F.struct(p["text"].alias("old"), F.when(p["own"], pseudonym(p["text"], key)).otherwise(p["text"]).alias("new")))
+        return _let(new, lambda ps: F.struct(F.array_join(ps["new"], "").alias("text"), F.size(F.filter(ps, lambda p: p["old"] != p["new"])).alias("n")))
+
     df = docs.withColumn("__found", found)
-    df = df.withColumn("__new", F.when(F.size("__found") > 0, F.transform("__found", lambda v: pseudonym(v, key))))
+    df = df.withColumn("__new", F.when(F.size("__found") > 0, F.transform("__found", renew)))
     gaps = F.split(F.col(text_col), ANY, -1)
-    parts = F.zip_with(gaps, F.col("__new"), lambda g, v: F.concat(g, F.coalesce(v, F.lit(""))))
+    parts = F.zip_with(gaps, F.col("__new.text"), lambda g, v: F.concat(g, F.coalesce(v, F.lit(""))))
     changed = F.when(F.size("__found") > 0, F.array_join(parts, "")).otherwise(F.col(text_col))
     out = {text_col: changed}
     if length_col:
         out[length_col] = F.length(changed).cast("long")
     if count_col:
-        pairs = F.arrays_zip(F.col("__found").alias("a"), F.col("__new").alias("b"))
-        out[count_col] = F.when(F.size("__found") > 0, F.size(F.filter(pairs, lambda p: p["a"] != p["b"]))).otherwise(0).cast("long")
+        total = F.aggregate(F.col("__new.n"), F.lit(0), lambda a, n: a + n)
+        out[count_col] = F.when(F.size("__found") > 0, total).otherwise(0).cast("long")
     return df.withColumns(out).drop("__found", "__new")

@@ -191,6 +191,27 @@ def test_pseudonyms_keep_formats(spark, empty):
     assert pii.pseudonymise(empty).count() == 0
 
 
+def test_cards_beside_other_numbers(spark):
+    plain, grouped = "4785380592391139", "4785 3805 9239 1139"
+    texts = [
+        plain, f"{plain} 123", f"{grouped} 12/27", f"order 12 {plain}", f"{grouped} 743-555-3824", f"{plain} 227.5.221.1", f"12 743-555-3824 {plain} {grouped}",
+        f"{plain} 743.555.3824", f"{plain} 12@example.com", "1234 743-555-3824", "1 2 3", f"{plain} 24be64439e3e49cf46b2d7c90f3602a3d0b907ff", "7 " * 5 + plain,
+    ]
+    got = {r.doc_id: (r.text, r.n) for r in pii.pseudonymise(frame(spark, enumerate(texts)).coalesce(1), count_col="n").collect()}
+    new, wide = got[0][0], " ".join(got[0][0][i : i + 4] for i in range(0, 16, 4))
+    assert luhn(new) and new != plain
+    assert [got[i] for i in (1, 2, 3)] == [(f"{new} 123", 1), (f"{wide} 12/27", 1), (f"order 12 {new}", 1)]
+    phone = got[4][0].removeprefix(wide + " ")
+    assert got[4][1] == 2 and re.fullmatch(r"\d{3}-\d{3}-\d{4}", phone) and phone != "743-555-3824"
+    assert got[5][1] == 2 and re.fullmatch(new + r" \d+\.\d+\.\d+\.\d+", got[5][0]) and "227.5.221.1" not in got[5][0]
+    assert got[6] == (f"12 {phone} {new} {wide}", 3)
+    assert got[7] == (f"{new} {phone.replace('-', '.')}", 2)
+    assert got[8][1] == 2 and re.fullmatch(new + r" \d\d@example\.com", got[8][0])
+    assert got[9] == (f"1234 {phone}", 1) and got[10] == ("1 2 3", 0)
+    assert got[11][1] == 2 and got[11][0].startswith(new + " ") and not got[11][0].endswith("07ff")
+    assert got[12][0].endswith(" " + new)
+
+
 def test_permutations_are_one_to_one(spark):
     df = spark.range(7 * 11).select(pii.permute_pair(F.floor(F.col("id") / 11), F.col("id") % 11, 7, 11, "k", "t").alias("p"))
     assert df.distinct().count() == 77
