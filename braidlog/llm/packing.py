@@ -15,6 +15,7 @@ frequent, is gathered in one task.
 from __future__ import annotations
 
 import json
+import re
 from array import array
 from collections.abc import Iterator
 from zlib import crc32
@@ -56,6 +57,16 @@ def read_tokenizer(tokenizer_json: str) -> dict[bytes, int]:
     return {bytes(letters[c] for c in token): i for token, i in vocabulary.items() if token not in added}
 
 
+def added_tokens(tokenizer_json: str) -> dict[str, int]:
+    """Ids of the tokens that the file adds to its vocabulary; other than plain literals raise."""
+    added = json.loads(tokenizer_json)["added_tokens"]
+    for token in added:
+        flags = [name for name in ("lstrip", "rstrip", "single_word", "normalized") if token.get(name)]
+        if flags or not token["content"]:
+            raise ValueError(f"added token {token['content']!r} with {flags} is not supported")
+    return {token["content"]: token["id"] for token in added}
+
+
 class Words(dict):
     """Ids of pre-tokens as little-endian bytes, made when first asked for."""
 
@@ -147,18 +158,25 @@ def tokenised(docs: DataFrame, tokenizer_json: str, window: int, id_col: str, te
     kind = docs.schema[id_col].dataType
     fields = [("part", LongType()), ("nth", LongType()), ("id", kind), ("doc_tokens", LongType()), ("first_full", LongType()), ("full_crc", BinaryType()), ("rest", IntegerType()), ("rank", LongType()), ("ids", BinaryType())]
     schema = StructType([StructField(n, t) for n, t in fields])
-    ranks = read_tokenizer(tokenizer_json)
+    ranks, added = read_tokenizer(tokenizer_json), added_tokens(tokenizer_json)
+    literals = "|".join(map(re.escape, sorted(added, key=len, reverse=True)))  # the leftmost, then the longest
     arrow = [(n, to_arrow_type(t)) for n, t in fields]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, find = Words(ranks).__getitem__, finder(BYTE_LEVEL)
+        cut = re.compile(f"({literals})").split if added else lambda text: [text]
+
+        def encoded(text: str) -> bytes:
+            pieces = cut(text)  # every second one is an added token
+            return b"".join(array("I", [added[p]]).tobytes() if i % 2 else b"".join(map(words, find(p))) for i, p in enumerate(pieces))
+
         part, seen, n, full = TaskContext.get().partitionId(), np.zeros(window, np.int64).tolist(), 0, 0
         for batch in batches:
             for at in range(0, batch.num_rows, TEXT_BATCH):
                 own = batch.slice(at, TEXT_BATCH)
                 out = []
                 for key, text in zip(own.column(0).to_pylist(), own.column(1).to_pylist(), strict=True):
-                    ids = np.frombuffer(b"".join(map(words, find(text or ""))) + bytes([END, 0, 0, 0]), "<u4")
+                    ids = np.frombuffer(encoded(text or "") + bytes([END, 0, 0, 0]), "<u4")
                     whole = len(ids) // window
                     checks = np.array([crc32(ids[i * window : (i + 1) * window]) for i in range(whole)], "<u4")
                     rest = len(ids) - whole * window

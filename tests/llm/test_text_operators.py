@@ -316,6 +316,31 @@ def test_packing(docs, rows, empty, odd):
         packing.read_tokenizer(text.replace('"type":"ByteLevel"', '"type":"Other"').replace('"type": "ByteLevel"', '"type": "Other"'))
 
 
+def test_packing_of_added_tokens(spark):
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as source:
+        text = source.read()
+    library = Tokenizer.from_str(text)
+    end = "<|endoftext|>"
+    texts = [f"abc {end} def", end, f"x{end}{end} y  {end}\n z", f"it's{end}'s é  {end}  ", "<|endoftext| >", f"<{end}>", "plain", None, f"word {end} " * 600]
+    ids = [np.array([*library.encode(t or "", add_special_tokens=False).ids, 0], "<u4") for t in texts]
+    assert 50256 in ids[0]
+    seen = Counter()
+    for r in packing.pack(frame(spark, enumerate(texts)), text).collect():
+        assert r.doc_tokens == len(ids[r.doc_id])
+        assert r.ids_crc32 == zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes())
+        seen[r.doc_id] += r.length
+    assert seen == Counter({i: len(x) for i, x in enumerate(ids)})
+    import json
+
+    other = json.loads(text)
+    other["added_tokens"][0]["lstrip"] = True
+    with pytest.raises(ValueError, match="lstrip"):
+        packing.added_tokens(json.dumps(other))
+
+
 def test_plan_uses_up_a_histogram_that_fits():
     import numpy as np
 
