@@ -155,6 +155,15 @@ def test_licence_model_and_scan(spark, empty):
     assert h == licences.place("a licençe")
 
 
+def test_held_out_rows_are_not_trained_on():
+    lines = ("one two", "three four", "five six", "seven eight")
+    a, b = (licences.train((*lines, held)) for held in ("zebra quilt", "yonder flax"))
+    place = licences.place("zebra quilt")
+    assert max(abs(a.bias - b.bias)) < 1e-9 and not a.weights[:, place].any()
+    held = {i % 5 for i, (text, _) in enumerate(licences.labelled()) if text in licences.TEMPLATES["mit"]}
+    assert held == {0}  # plain templates are always trained on
+
+
 def test_licence_scan_uses_no_python(docs):
     plan = licences.scan(docs, licences.train())._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
