@@ -1,14 +1,12 @@
 """Self-join of documents by the Jaccard similarity of their word n-gram sets.
 
-The plan is a prefix-filter join. A document's n-grams are ordered rare first. A fixed share
-of all n-grams, chosen by hash and a little larger than a prefix needs, is counted exactly
-over the corpus and comes first, by count; of the others the most frequent, found by
-mergeable counters of a fixed size, go last and the rest by hash. Two documents that are
-similar enough share an n-gram among the first few of each, the prefix. So
+The plan is a prefix-filter join. Every n-gram is counted over the whole corpus, and a
+document's n-grams are ordered rare first, by count and then by hash. Two documents that
+are similar enough share an n-gram among the first few of each, the prefix. So
 
 1. equal sets are collapsed to one representative by a digest;
-2. the counted n-grams meet by bucket, and the counts of those in several blocks go back;
-   a prefix that consists of n-grams of one document alone needs no further step;
+2. n-grams meet by bucket, and the counts of those in several representatives go back; a
+   prefix that consists of n-grams of one document alone needs no further step;
 3. representatives that share a prefix n-gram are compared by length, by position in the
    order and by a suffix filter (a bound of the symmetric difference from 64 partial counts);
    each task passes on only a spanning forest of the pairs that survive;
@@ -17,12 +15,14 @@ similar enough share an n-gram among the first few of each, the prefix. So
 5. components of the verified links are the result.
 
 Links between documents that are connected anyway are not listed, so no group of copies
-ever makes a quadratic number of rows. An n-gram in very many prefixes puts all its
-documents into one cluster without comparing them: clusters may be too large, never too
-small. A cluster too large for one task is dealt out by hash, a few pilots are added to
-every part, and each part is verified; whoever is still outside the cluster's largest
-component is then compared with every part. Copies are connected after the first pass, so
-only the few others travel again.
+ever makes a quadratic number of rows. A long posting list is dealt into parts by document.
+Its parts are compared within themselves; then whoever is outside the list's largest
+component meets every part, in cells of bounded size, so all pairs that are not connected
+have met. A candidate component too large for one task is verified in the same way: in
+parts with a few pilots in each, then the rest against every part.
+
+N-grams are compared as 64-bit hashes and whole sets as 128-bit digests of them: two
+different n-grams are taken for one with a probability of 2**-64, two sets of 2**-128.
 """
 
 from __future__ import annotations
@@ -39,11 +39,9 @@ from braidlog.functions.components import connected_components
 from braidlog.functions.runtime import shuffle_partitions, written
 from braidlog.llm import blocks as B
 
-#: Counters for the most frequent n-grams (any n-gram in more than 1/TOP of the rows is among them), and their parts.
-TOP, TOP_PARTS = 1 << 16, 16
-#: Postings of one n-gram that are compared; n-grams of one part of a cluster.
-COMPARED_POSTINGS, PART_GRAMS = 8192, 1_000_000
-PARTIAL_COUNTS, MOST_WORDS, MATRIX_BYTES = 64, 400_000, 32 << 20
+#: Postings of one n-gram in a part, and of either side of a cell; n-grams and rows of one part of a cluster.
+PART_POSTINGS, CELL_POSTINGS, PART_GRAMS, PART_ROWS = 1 << 15, 1 << 13, 1 << 18, 1 << 8
+PARTIAL_COUNTS, MOST_WORDS, MATRIX_BYTES, MOST_KINDS = 64, 400_000, 32 << 20, 1 << 11
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -81,83 +79,34 @@ def gram_sets(texts: list[bytes], n: int, known: WordHashes) -> list[np.ndarray]
     return out
 
 
-def trim(grams: np.ndarray, counts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Merge equal grams and keep at most ``most`` counters, all lowered by the largest one dropped."""
-    order = np.argsort(grams, kind="stable")
-    grams, counts = grams[order], counts[order]
-    first = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]])) if len(grams) else np.zeros(0, np.int64)
-    grams, counts = grams[first], np.add.reduceat(counts, first) if len(first) else counts[:0]
-    if len(grams) > most:
-        counts = counts - np.partition(counts, len(counts) - most - 1)[len(counts) - most - 1]
-        grams, counts = grams[counts > 0], counts[counts > 0]
-    return grams, counts
-
-
-def frequent(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Frequent n-grams of all rows, sorted by hash, and their ranks by count. The size is fixed by ``TOP``."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, grams, counts = WordHashes(), np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        for _, _, texts in B.gather(batches):
-            sets = gram_sets(texts, n, known)
-            own, times = np.unique(np.concatenate(sets), return_counts=True)
-            own, times = own[times > 1], times[times > 1]
-            grams, counts = trim(np.concatenate([grams, own]), np.concatenate([counts, times]), TOP)
-        yield B.rows([(f"h{b}", B.pack(grams[at], counts[at])) for b, at in B.by_bucket(grams, TOP_PARTS)])
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-        for key, payload in B.of_kind(batches, "h"):
-            grams, counts = B.unpack(payload)
-            old = held.get(key, (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
-            held[key] = trim(np.concatenate([old[0], np.frombuffer(grams, np.uint64)]), np.concatenate([old[1], np.frombuffer(counts, np.int64)]), TOP // TOP_PARTS)
-        yield B.rows([(key, B.pack(*pair)) for key, pair in held.items()])
-
-    parts = [B.unpack(r.payload) for r in B.exchange(docs.mapInArrow(count, B.SCHEMA)).mapInArrow(merge, B.SCHEMA).collect()]  # at most TOP counters
-    grams = np.concatenate([np.frombuffer(g, np.uint64) for g, _ in parts] or [np.zeros(0, np.uint64)])
-    counts = np.concatenate([np.frombuffer(c, np.int64) for _, c in parts] or [np.zeros(0, np.int64)])
-    order = np.argsort(grams)
-    grams, counts = grams[order], counts[order]
-    rank = np.empty(len(grams), np.int64)
-    rank[np.lexsort((grams, counts))] = np.arange(len(grams))
-    return grams, rank
-
-
-def counted_below(share: tuple[int, int]) -> np.uint64:
-    """Hashes below this are counted: 1.6 times the share of a set that a prefix takes."""
-    num, den = share
-    return np.uint64(min(1.0, 1.6 * (den - num) / den) * (2**64 - 2**12))
+def halves(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first 48 bits of sorted hashes, as two arrays that compress well.
+
+    Counting needs no more: n-grams that agree in them share a count, which is an order like any other.
+    """
+    return (grams >> np.uint64(48)).astype(np.uint16), (grams >> np.uint64(16)).astype(np.uint32)
+
+
+def joined(high, low) -> np.ndarray:
+    return np.frombuffer(high, np.uint16).astype(np.uint64) << np.uint64(32) | np.frombuffer(low, np.uint32)
 
 
-def prefix(grams: np.ndarray, limit: np.uint64, several: np.ndarray, counts: np.ndarray, heavy: np.ndarray, rank: np.ndarray, share: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """N-grams of the prefix that others may have, their places in the order, and their counts (1 if not counted).
+def prefix(grams: np.ndarray, several: np.ndarray, counts: np.ndarray, share: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """N-grams of the prefix that others have too, their places in the rare-first order, and their counts.
 
-    ``several`` are counted n-grams of several blocks, sorted, with their ``counts``.
+    ``several`` are the first bits of n-grams of several representatives, sorted, with their ``counts``.
     """
     num, den = share
     size = len(grams) - -(-num * len(grams) // den) + 1
-    k = int(np.searchsorted(grams, limit))
-    low, high = grams[:k], grams[k:]
-    if len(several) and k:
-        at = np.minimum(np.searchsorted(several, low), len(several) - 1)
-        times = np.where(several[at] == low, counts[at], 0)
-    else:
-        times = np.zeros(k, np.int64)
-    alone = k - int(np.count_nonzero(times))
-    if alone >= size:
+    if not len(several):
         return grams[:0], np.zeros(0, np.int64), np.zeros(0, np.int64)
-    order = np.flatnonzero(times)
-    order = order[np.argsort(times[order], kind="stable")][: size - alone]
-    chosen, times = low[order], times[order]
-    missing = size - alone - len(chosen)
-    if missing > 0:
-        if len(heavy):
-            at = np.minimum(np.searchsorted(heavy, high), len(heavy) - 1)
-            common = heavy[at] == high
-            high = np.concatenate([high[~common], high[common][np.argsort(rank[at[common]], kind="stable")]])
-        chosen = np.concatenate([chosen, high[:missing]])
-        times = np.concatenate([times, np.ones(len(chosen) - len(times), np.int64)])
-    return chosen, alone + np.arange(len(chosen)), times
+    short = grams >> np.uint64(16)
+    at = np.minimum(np.searchsorted(several, short), len(several) - 1)
+    common = np.flatnonzero(several[at] == short)
+    alone = len(grams) - len(common)
+    times = counts[at[common]]
+    first = np.argsort(times, kind="stable")[: max(0, size - alone)]
+    return grams[common[first]], alone + np.arange(len(first)), times[first]
 
 
 def signature(grams: np.ndarray) -> np.ndarray:
@@ -165,19 +114,42 @@ def signature(grams: np.ndarray) -> np.ndarray:
     return np.bincount((grams % np.uint64(PARTIAL_COUNTS)).astype(np.int64), minlength=PARTIAL_COUNTS).astype(np.uint8)
 
 
-def plausible(n: np.ndarray, pos: np.ndarray, sig: np.ndarray, a, b, share: tuple[int, int]) -> np.ndarray:
-    """Length, positional and suffix filters of pairs of postings; never false for a link's first common n-gram."""
+def feasible(na: np.ndarray, pa_: np.ndarray, nb: np.ndarray, pb: np.ndarray, share: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Length and positional filters of postings of one n-gram, and the symmetric difference that a link allows.
+
+    Representatives differ, so a link of equal lengths needs a difference of two, others of one.
+    """
     num, den = share
-    both = n[a] + n[b]
+    both = na + nb
     need = -(-num * both // (num + den))
-    ok = np.minimum(n[a], n[b]) * den >= num * np.maximum(n[a], n[b])
-    ok &= np.minimum(n[a] - pos[a], n[b] - pos[b]) >= need
-    if ok.any():
-        gap = sig[a] - sig[b]
-        ok &= np.minimum(gap, -gap).sum(-1, dtype=np.int64) <= both - 2 * need
+    spare = both - 2 * need
+    ok = np.minimum(na, nb) * den >= num * np.maximum(na, nb)
+    ok &= np.minimum(na - pa_, nb - pb) >= need
+    return ok & (spare >= np.where(na == nb, 2, 1)), spare
+
+
+def plausible(n: np.ndarray, pos: np.ndarray, sig: np.ndarray, a, b, share: tuple[int, int]) -> np.ndarray:
+    """Length, positional and suffix filters of pairs of postings; never false for a link's first common n-gram."""
+    ok, spare = feasible(n[a], pos[a], n[b], pos[b], share)
+    hit = np.flatnonzero(ok)
+    if len(hit):
+        one = lambda x: x[hit] if np.ndim(x) else x
+        gap = sig[one(a)] - sig[one(b)]
+        ok[hit] = np.minimum(gap, -gap).sum(-1, dtype=np.int64) <= spare[hit]
     return ok
 
 
+def paired(n: np.ndarray, pos: np.ndarray, share: tuple[int, int]) -> np.ndarray:
+    """Which postings of one n-gram have any partner by length and position, judged by kinds of postings."""
+    kinds, kind, times = np.unique(n << 24 | np.minimum(pos, (1 << 24) - 1), return_inverse=True, return_counts=True)
+    if len(kinds) > MOST_KINDS:
+        return np.ones(len(n), bool)
+    kn, kp = kinds >> 24, kinds & ((1 << 24) - 1)
+    ok, _ = feasible(kn[:, None], kp[:, None], kn[None], kp[None], share)
+    ok[np.diag_indices(len(kinds))] &= times > 1
+    return ok.any(1)[kind]
+
+
 class Forest:
     """Union-find that lists the edges which joined something."""
 
@@ -212,14 +184,12 @@ def connect(m: int, test, label: np.ndarray | None = None) -> list[tuple[int, in
     return out
 
 
-def classes(docs: DataFrame, n: int, share: tuple[int, int], compared: int) -> DataFrame:
+def classes(docs: DataFrame, n: int, share: tuple[int, int], part_postings: int) -> DataFrame:
     """Steps 1 and 2 as one table of four kinds of rows.
 
-    ``c`` (every row: id, rep, size, block, idx), ``p`` (packed postings by bucket), ``e``
-    (id and rep in one cluster) and ``t`` (texts of representatives with postings, by block).
+    ``c`` (every row: id, rep, size, block, idx), ``p`` (packed postings by bucket), ``h``
+    (packed postings of long lists) and ``t`` (texts of representatives with postings, by block).
     """
-    heavy, rank = frequent(docs, n)
-    limit = counted_below(share)
     width = shuffle_partitions(docs.sparkSession)
 
     def prepare(texts: list[bytes], ids: list, known: WordHashes) -> tuple[list[np.ndarray], list[bytes]]:
@@ -239,10 +209,9 @@ def classes(docs: DataFrame, n: int, share: tuple[int, int], compared: int) -> D
             own = np.array([ids[i] for i in rows.tolist()], np.int64)
             for bucket, at in B.by_bucket(keys[:, 0], width):
                 out.append((f"w{bucket}", B.pack(b"d", block.encode(), keys[at], rows[at], own[at])))
-            grams = [sets[i][: np.searchsorted(sets[i], limit)] for i in rows.tolist()]
-            grams, counts = np.unique(np.concatenate([*grams, np.zeros(0, np.uint64)]), return_counts=True)
-            for bucket, at in B.by_bucket(grams, width):
-                out.append((f"w{bucket}", B.pack(b"g", block.encode(), grams[at], counts[at].astype(np.int64))))
+            grams, counts = np.unique(np.concatenate([*(sets[i] for i in rows.tolist()), np.zeros(0, np.uint64)]), return_counts=True)
+            for bucket, at in B.by_bucket(grams >> np.uint64(16), width):
+                out.append((f"w{bucket}", B.pack(b"g", block.encode(), *halves(grams[at]), counts[at].astype(np.uint32))))
             yield B.rows(out)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,24 +229,27 @@ def classes(docs: DataFrame, n: int, share: tuple[int, int], compared: int) -> D
             mine = np.array([(b, r) == (block, row) for (_, b, r), row in zip(found, np.frombuffer(rows, np.uint32).tolist(), strict=True)], np.uint8)
             yield B.rows([(f"b{block.decode()}", B.pack(b"d", rows, np.array([k for k, _, _ in found], np.int64), mine))])
         if held[b"g"]:
-            arrays = [np.frombuffer(g, np.uint64) for _, g, _ in held[b"g"]]
-            _, place = np.unique(np.concatenate(arrays), return_inverse=True)
-            total = np.bincount(place, np.concatenate([np.frombuffer(c, np.int64) for _, _, c in held[b"g"]])).astype(np.int64)[place]
+            arrays = [joined(high, low) for _, high, low, _ in held[b"g"]]
+            flat = np.concatenate(arrays)
+            order = np.argsort(flat, kind="stable")
+            first = np.flatnonzero(np.concatenate([[True], np.diff(flat[order]) != 0]))
+            sums = np.add.reduceat(np.concatenate([np.frombuffer(c, np.uint32) for *_, c in held[b"g"]])[order].astype(np.int64), first)
+            total = np.empty(len(flat), np.int64)
+            total[order] = np.repeat(sums, np.diff(np.append(first, len(flat))))
+            del flat, order
             at = 0
-            for (block, _, _), grams in zip(held[b"g"], arrays, strict=True):
+            for (block, high, low, _), grams in zip(held[b"g"], arrays, strict=True):
                 times = total[at : at + len(grams)]
                 at += len(grams)
-                if (times > 1).any():
-                    yield B.rows([(f"b{block.decode()}", B.pack(b"g", grams[times > 1], times[times > 1]))])
+                if (often := times > 1).any():
+                    yield B.rows([(f"b{block.decode()}", B.pack(b"g", np.frombuffer(high, np.uint16)[often], np.frombuffer(low, np.uint32)[often], times[often]))])
 
     schema = "kind string, key string, payload binary, id long, rep long, size long, idx int"
 
     def post(left: pa.Table, right: pa.Table) -> pa.Table:
         kinds, keys, loads, numbers = [], [], [], [[], [], [], []]
-        edges: list[tuple[int, int]] = []
-        firsts_of: dict[int, int] = {}
         answers = [B.unpack(p) for p in B.payloads(right, "b")]
-        many = [(np.frombuffer(a[1], np.uint64), np.frombuffer(a[2], np.int64)) for a in answers if bytes(a[0]) == b"g"]
+        many = [(joined(a[1], a[2]), np.frombuffer(a[3], np.int64)) for a in answers if bytes(a[0]) == b"g"]
         grams, times = (np.concatenate(x) for x in zip(*many, strict=True)) if many else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         order = np.argsort(grams)
         grams, times = grams[order], times[order]
@@ -296,45 +268,38 @@ def classes(docs: DataFrame, n: int, share: tuple[int, int], compared: int) -> D
                 for column, value in zip(numbers, (key, by_digest.get(d, key), len(s), i), strict=True):
                     column.append(value)
             kinds, keys, loads = ["c"] * len(ids), [block] * len(ids), [None] * len(ids)
-            reps = [i for i, (_, mine) in rep_of.items() if mine]
-            firsts = [prefix(sets[i], limit, grams, times, heavy, rank, share) for i in reps if len(sets[i])]
+            reps = [i for i, (_, mine) in rep_of.items() if mine and len(sets[i])]
+            firsts = [prefix(sets[i], grams, times, share) for i in reps]
             if not firsts:
                 continue
-            flat, pos, times_hit = (np.concatenate(x) for x in zip(*firsts, strict=True))
+            flat, pos, often = (np.concatenate(x) for x in zip(*firsts, strict=True))
             doc = np.repeat(np.arange(len(reps)), [len(x) for x, _, _ in firsts])
-            own = np.array([ids[i] for i in reps], np.int64)
-            hot = times_hit > compared
-            for gram in np.unique(flat[hot]):
-                together = np.sort(own[doc[hot & (flat == gram)]])
-                edges += [(int(i), int(together[0])) for i in together[1:]]
-                firsts_of[int(mix(np.array([gram], np.uint64))[0])] = int(together[0])
             used = np.unique(doc).tolist()
-            flat, doc, pos = mix(flat[~hot]), doc[~hot], pos[~hot]
+            if not used:
+                continue
+            own = np.array([ids[i] for i in reps], np.int64)
             signatures = np.zeros((len(reps), PARTIAL_COUNTS), np.uint8)
-            for k in np.unique(doc).tolist():
+            for k in used:
                 signatures[k] = signature(sets[reps[k]])
             lengths = np.array([len(sets[i]) for i in reps], np.int64)
-            for bucket, at in B.by_bucket(flat, width):
-                kinds.append("p")
-                keys.append(f"p{bucket}")
-                loads.append(B.pack(flat[at], own[doc[at]], lengths[doc[at]].astype(np.uint32), pos[at].astype(np.uint32), signatures[doc[at]]))
-            cells = np.fromiter(firsts_of, np.uint64, len(firsts_of))
-            leaders = np.fromiter(firsts_of.values(), np.int64, len(firsts_of))
-            for bucket, at in B.by_bucket(cells, width):  # size 0: members of a cluster whatever they are
-                kinds.append("p")
-                keys.append(f"p{bucket}")
-                loads.append(B.pack(cells[at], leaders[at], np.zeros(len(at), np.uint32), np.zeros(len(at), np.uint32), np.zeros((len(at), PARTIAL_COUNTS), np.uint8)))
-            if used:
-                picked = [reps[k] for k in used]
-                kinds.append("t")
-                keys.append(block)
-                loads.append(B.pack(np.array(picked, np.uint32), own[used], *B.pack_strings([texts[i] for i in picked])))
+            parts = -(-often // part_postings)
+            turn = (mix(own.view(np.uint64)[doc] + mix(flat)) % parts.astype(np.uint64)).astype(np.uint64)
+            cell = mix(flat + turn * _MIX[2])
+            for kind, chosen in (("p", np.arange(len(flat))), ("h", np.flatnonzero(parts > 1))):
+                dealt = cell[chosen] if kind == "p" else flat[chosen]
+                for bucket, at in B.by_bucket(mix(dealt), width):
+                    at = chosen[at]
+                    kinds.append(kind)
+                    keys.append(f"p{bucket}")
+                    loads.append(B.pack((cell if kind == "p" else flat)[at], own[doc[at]], lengths[doc[at]].astype(np.uint32), pos[at].astype(np.uint32), signatures[doc[at]]))
+            picked = [reps[k] for k in used]
+            kinds.append("t")
+            keys.append(block)
+            loads.append(B.pack(np.array(picked, np.uint32), own[used], *B.pack_strings([texts[i] for i in picked])))
         rest = [None] * (len(kinds) - len(numbers[0]))
-        none = [None] * len(edges)
-        a, b = zip(*edges, strict=True) if edges else ((), ())
         columns = (
-            (kinds + ["e"] * len(edges), pa.string()), (keys + none, pa.string()), (loads + none, pa.binary()), (numbers[0] + rest + list(a), pa.int64()),
-            (numbers[1] + rest + list(b), pa.int64()), (numbers[2] + rest + none, pa.int64()), (numbers[3] + rest + none, pa.int32()),
+            (kinds, pa.string()), (keys, pa.string()), (loads, pa.binary()), (numbers[0] + rest, pa.int64()),
+            (numbers[1] + rest, pa.int64()), (numbers[2] + rest, pa.int64()), (numbers[3] + rest, pa.int32()),
         )
         return pa.table({name: pa.array(values, t) for name, (values, t) in zip(("kind", "key", "payload", "id", "rep", "size", "idx"), columns, strict=True)})
 
@@ -342,36 +307,101 @@ def classes(docs: DataFrame, n: int, share: tuple[int, int], compared: int) -> D
     return written(B.cogroup(sent, sent.mapInArrow(answer, B.SCHEMA), post, schema), "grams")
 
 
-def candidates(table: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """Step 3: ``(a, b)`` edges of spanning forests of the plausible pairs."""
+_POSTING = (np.uint64, np.int64, np.uint32, np.uint32, np.uint8)
+
+
+def _edges(edges: list[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = zip(*edges, strict=True) if edges else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def candidates(table: DataFrame, share: tuple[int, int], cell_postings: int) -> DataFrame:
+    """Step 3: ``(a, b)`` edges that connect all plausible pairs."""
 
     def span(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loads = [B.unpack(payload) for _, payload in B.of_kind(batches, "p")]
         forest = Forest()
         if loads:
-            kinds = (np.uint64, np.int64, np.uint32, np.uint32, np.uint8)
-            cell, own, n, pos, sig = (np.concatenate([np.frombuffer(x[k], t) for x in loads]) for k, t in enumerate(kinds))
+            cell, own, n, pos, sig = (np.concatenate([np.frombuffer(x[k], t) for x in loads]) for k, t in enumerate(_POSTING))
             del loads
             order = np.lexsort((own, n, cell))
             cell, own, n, pos, sig = cell[order], own[order], n[order].astype(np.int64), pos[order].astype(np.int64), sig.reshape(-1, PARTIAL_COUNTS)[order]
             first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
             sizes = np.diff(np.append(first, len(cell)))
-            given = n[first] == 0
-            for at, m in zip(first[given].tolist(), sizes[given].tolist(), strict=True):
-                for k in range(at + 1, at + m):
-                    forest.join(int(own[k]), int(own[at]))
-            first, sizes = first[~given], sizes[~given]
             twos = first[sizes == 2]
             for a in twos[plausible(n, pos, sig, twos, twos + 1, share)].tolist():
                 forest.join(int(own[a]), int(own[a + 1]))
             for at, m in zip(first[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
-                for i, j in connect(m, lambda i, js, at=at: plausible(n, pos, sig, at + i, at + js, share)):
-                    forest.join(int(own[at + i]), int(own[at + j]))
-        a, b = zip(*forest.edges, strict=True) if forest.edges else ((), ())
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                rows = np.arange(at, at + m)
+                rows = rows[paired(n[rows], pos[rows], share)] if m > 16 else rows
+                if len(rows) < 2:
+                    continue
+                roots = np.array([forest.root(int(x)) for x in own[rows]], np.int64)
+                for i, j in connect(len(rows), lambda i, js, rows=rows: plausible(n, pos, sig, rows[i], rows[js], share), roots):
+                    forest.join(int(own[rows[i]]), int(own[rows[j]]))
+        yield _edges(forest.edges)
+
+    met = B.exchange(table.where("kind = 'p'").select("key", "payload")).mapInArrow(span, "a long, b long")
+    long = table.where("kind = 'h'").select("key", "payload")
+    return met if long.isEmpty() else _across(long, written(met, "met"), share, cell_postings)
+
+
+def _with_partners(postings: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """The postings for which some length of their list allows a link; a list has an entry for each length."""
+    num, den = share
+    lengths = postings.groupBy("gram", "n").agg(F.min("pos").alias("pos")).groupBy("gram").agg(F.collect_list(F.struct("n", "pos")).alias("lengths"))
 
-    compared = B.exchange(table.where("kind = 'p'").select("key", "payload")).mapInArrow(span, "a long, b long")
-    return compared.union(table.where("kind = 'e'").select("id", "rep"))
+    def link(other):
+        both = F.col("n") + other["n"]
+        need = F.ceil(num * both / float(num + den) - 1e-9)
+        near = F.least("n", other["n"]) * den >= F.greatest("n", other["n"]) * num
+        return near & (F.least(F.col("n") - F.col("pos"), other["n"] - other["pos"]) >= need) & (both - 2 * need >= F.when(F.col("n") == other["n"], 2).otherwise(1))
+
+    kinds = postings.select("gram", "n", "pos").distinct().join(lengths, "gram").where(F.exists("lengths", link)).drop("lengths")
+    return postings.join(kinds, ["gram", "n", "pos"])
+
+
+def _across(long: DataFrame, met: DataFrame, share: tuple[int, int], cell_postings: int) -> DataFrame:
+    """``met`` and edges between the parts of long posting lists.
+
+    Of each list the postings outside its largest component meet all its postings, in cells
+    of at most ``cell_postings`` on either side; what is connected already is not compared.
+    """
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, payload in B.of_kind(batches, "p"):
+            gram, own, n, pos, sig = (np.frombuffer(x, t) for x, t in zip(B.unpack(payload), _POSTING, strict=True))
+            columns = [pa.array(x) for x in (gram.view(np.int64), own, n.astype(np.int64), pos.astype(np.int64))]
+            columns.append(pa.FixedSizeBinaryArray.from_buffers(pa.binary(PARTIAL_COUNTS), len(gram), [None, pa.py_buffer(sig)]).cast(pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, names=["gram", "id", "n", "pos", "sig"])
+
+    def meet(group: pa.Table) -> pa.Table:
+        own, label, n, pos = (group.column(c).to_numpy() for c in ("id", "label", "n", "pos"))
+        sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint8).reshape(-1, PARTIAL_COUNTS)
+        left = np.flatnonzero(group.column("left").to_numpy(zero_copy_only=False))
+        right = np.flatnonzero(~group.column("left").to_numpy(zero_copy_only=False))
+        forest, label = Forest(), label.copy()
+        for i in right.tolist():
+            js = left[label[left] != label[i]]
+            hit = js[plausible(n, pos, sig, i, js, share)] if len(js) else js
+            for k in np.unique(label[hit], return_index=True)[1] if len(hit) else ():
+                j = int(hit[k])
+                forest.edges.append((int(own[i]), int(own[j])))
+                label[label == label[j]] = label[i]
+        return pa.Table.from_batches([_edges(forest.edges)])
+
+    found = written(connected_components(met, "a", "b"), "met")
+    postings = _with_partners(written(long.mapInArrow(listed, "gram long, id long, n long, pos long, sig binary"), "long"), share)
+    postings = written(postings.join(found, F.col("id") == F.col("node"), "left").select("gram", "id", "n", "pos", "sig", F.coalesce("component", "id").alias("label")), "long")
+    facts = postings.groupBy("gram", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("gram").agg(F.sum("k").alias("m"), F.max_by("label", F.struct("k", "label")).alias("main"), F.max("k").alias("most"))
+    facts = written(facts.where("m > most"), "facts")
+    deal = lambda c, seed, size: F.pmod(F.xxhash64(F.lit(seed), c), F.ceil(size / cell_postings).cast("long"))
+    upto = lambda size: F.sequence(F.lit(0).cast("long"), F.ceil(size / cell_postings).cast("long") - 1)
+    known, outside = postings.join(facts, "gram"), F.col("label") != F.col("main")
+    columns = ("gram", "id", "n", "pos", "sig", "label")
+    lefts = known.select(*columns, F.lit(True).alias("left"), deal("id", 0, F.col("m")).alias("p"), F.explode(upto(F.col("m") - F.col("most"))).alias("q"))
+    rights = known.where(outside).select(*columns, F.lit(False).alias("left"), F.explode(upto(F.col("m"))).alias("p"), deal("id", 1, F.col("m") - F.col("most")).alias("q"))
+    return met.union(lefts.union(rights).groupBy("gram", "p", "q").applyInArrow(meet, "a long, b long"))
 
 
 def _cells(table: DataFrame, members: DataFrame, n: int, share: tuple[int, int]) -> DataFrame:
@@ -415,7 +445,14 @@ def _cells(table: DataFrame, members: DataFrame, n: int, share: tuple[int, int])
             np.bitwise_or.at(matrix, (row, column // 64), np.uint64(1) << (column % 64).astype(np.uint64))
             common = lambda i, js: np.bitwise_count(matrix[js] & matrix[i]).sum(1, dtype=np.int64)
         else:
-            common = lambda i, js: np.array([len(np.intersect1d(grams[i], grams[j], assume_unique=True)) for j in js], np.int64)
+            by_column, ends = row[np.argsort(column, kind="stable")], np.cumsum(np.bincount(column, minlength=len(columns)))
+            starts, of_row = np.append(0, ends[:-1]), np.searchsorted(row, np.arange(len(own) + 1))
+
+            def common(i: int, js: np.ndarray) -> np.ndarray:
+                mine = column[of_row[i] : of_row[i + 1]]
+                who = [by_column[a:b] for a, b in zip(starts[mine].tolist(), ends[mine].tolist(), strict=True)]
+                return np.bincount(np.concatenate([*who, by_column[:0]]), minlength=len(own))[js]
+
 
         def linked(i: int, js: np.ndarray) -> np.ndarray:
             near = n[js] * den >= num * n[i]
@@ -433,14 +470,14 @@ def _cells(table: DataFrame, members: DataFrame, n: int, share: tuple[int, int])
     return cells.groupBy("cell").applyInArrow(verify, "a long, b long")
 
 
-def linked_components(table: DataFrame, clusters: DataFrame, n: int, share: tuple[int, int], part_grams: int) -> DataFrame:
+def linked_components(table: DataFrame, clusters: DataFrame, n: int, share: tuple[int, int], part_grams: int, part_rows: int) -> DataFrame:
     """Steps 4 and 5: ``(node, component)`` of the true links within the candidate clusters."""
     rows = table.where("kind = 'c' and id = rep").select("id", "size", F.col("key").alias("block"), "idx")
     own = rows.join(clusters, rows["id"] == clusters["node"]).select("id", "size", "block", "idx", F.col("component").alias("cluster"))
     by_size = F.struct("size", "id")
-    facts = own.groupBy("cluster").agg(F.sum("size").alias("weight"), F.array_distinct(F.array(F.min("id"), F.max("id"), F.min(by_size)["id"], F.max(by_size)["id"])).alias("pilots"))
+    facts = own.groupBy("cluster").agg(F.sum("size").alias("weight"), F.count(F.lit(1)).alias("members"), F.array_distinct(F.array(F.min("id"), F.max("id"), F.min(by_size)["id"], F.max(by_size)["id"])).alias("pilots"))
     facts = written(facts, "facts")  # so that the join can be split where a cluster is hot
-    parts = F.ceil(F.col("weight") / part_grams).cast("long")
+    parts = F.ceil(F.greatest(F.col("weight") / part_grams, F.col("members") / part_rows)).cast("long")
     members = written(own.join(facts, "cluster").withColumns({"parts": parts, "part": F.pmod(F.xxhash64("id"), parts)}), "members")
     name = lambda *c: F.concat_ws("-", *[x.cast("string") for x in c])
     everywhere = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda i: name(F.col("cluster"), i))
@@ -456,7 +493,8 @@ def linked_components(table: DataFrame, clusters: DataFrame, n: int, share: tupl
     large = written(large.join(counts, "cluster"), "large")
     outside = F.col("label") != F.col("main")
     rest = large.where(outside).groupBy("cluster").agg(F.ceil(F.sum("size") / part_grams).cast("long").alias("rest_parts"))
-    again = large.join(rest, "cluster").withColumn("rest_part", F.pmod(F.xxhash64(F.lit(1), "id"), F.col("rest_parts")))
+    again = large.join(rest, "cluster").withColumns({"rest_part": F.pmod(F.xxhash64(F.lit(1), "id"), F.col("rest_parts")), "parts": F.ceil(F.col("weight") / part_grams).cast("long")})
+    again = again.withColumn("part", F.pmod(F.xxhash64(F.lit(2), "id"), F.col("parts")))
     upto = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
     with_rest = F.transform(upto("rest_parts"), lambda j: name(F.col("cluster"), F.col("part"), j))
     with_parts = F.transform(upto("parts"), lambda i: name(F.col("cluster"), i, F.col("rest_part")))
@@ -466,8 +504,9 @@ def linked_components(table: DataFrame, clusters: DataFrame, n: int, share: tupl
 
 
 def components(
-    docs: DataFrame, n: int = 5, share: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text", compared: int = COMPARED_POSTINGS, part_grams: int = PART_GRAMS
-) -> DataFrame:
+    docs: DataFrame, n: int = 5, share: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text",
+    part_postings: int = PART_POSTINGS, cell_postings: int = CELL_POSTINGS, part_grams: int = PART_GRAMS, part_rows: int = PART_ROWS,
+) -> DataFrame:
     """``(id, n_shingles, component_id)`` of every row.
 
     Words are runs without ASCII white space, A-Z lower-cased; the set is the distinct
@@ -475,13 +514,13 @@ def components(
     ``share[1] * intersection >= share[0] * union``, and the component is the smallest id
     reachable. A text without words (null, empty) has no shingles and no links. Ids must be
     integers; a null id stays a row with a null component and no links. Repeated rows are
-    one class. Other columns are not read; an empty table gives an empty result.
-    ``compared`` and ``part_grams`` bound what one task compares, not what is found.
+    one class. Other columns are not read; an empty table gives an empty result. The last
+    four parameters bound what one task compares, not what is found.
     """
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    table = classes(own, n, share, compared)
-    near = connected_components(candidates(table, share), "a", "b")
-    links = written(linked_components(table, near, n, share, part_grams), "components")
+    table = classes(own, n, share, part_postings)
+    near = connected_components(candidates(table, share, cell_postings), "a", "b")
+    links = written(linked_components(table, near, n, share, part_grams, part_rows), "components")
     rows = table.where("kind = 'c'").select("id", "rep", "size")
     return rows.join(links, rows["rep"] == links["node"], "left").select(
         F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id")

@@ -115,12 +115,23 @@ def brute_components(rows, n, num, den):
     return {i: (len(sets[i]), root(i)) for i in ids}
 
 
-@pytest.mark.parametrize(("n", "share", "bounds"), [(3, (90, 100), {}), (5, (80, 100), {}), (2, (50, 100), {"compared": 2, "part_grams": 60})])
+@pytest.mark.parametrize(("n", "share", "bounds"), [(3, (90, 100), {}), (5, (80, 100), {}), (2, (50, 100), {"part_postings": 2, "cell_postings": 3, "part_grams": 60, "part_rows": 3})])
 def test_components_equal_brute_force(docs, rows, n, share, bounds):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.components(docs, n, share, **bounds).collect()}
     assert got == brute_components(rows, n, *share)
 
 
+@pytest.mark.parametrize(("n", "share", "tail"), [(3, (90, 100), 1), (3, (80, 100), 2), (2, (70, 100), 4)])
+def test_template_rows_equal_brute_force(spark, n, share, tail):
+    """Long posting lists of rows that nearly link: every part meets every other."""
+    rnd = random.Random(4)
+    body = "hello your order was shipped today thank you for shopping here"
+    rows = [(i, f"{body} {' '.join(f'n{rnd.randrange(40)}' for _ in range(tail))}") for i in range(700)]
+    df = frame(spark, rows).repartition(6)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.components(df, n, share, part_postings=50, cell_postings=40, part_grams=900).collect()}
+    assert got == brute_components(rows, n, *share)
+
+
 def test_components_edges(empty, odd):
     assert ngram_join.components(empty).count() == 0
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.components(odd, 5).collect()), key=repr)
