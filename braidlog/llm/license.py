@@ -1,11 +1,16 @@
 """Licence scan: a trained paragraph classifier, in DataFrame functions only.
 
-A paragraph is a line. Its word uni- and bigrams are hashed into a fixed number of places,
-and a sparse multinomial logistic regression scores the licence families and an ``unknown``
-class. The model is trained here from the templates below and ordinary prose; it is a few
-thousand numbers, so it travels as a literal. A temperature fitted on held-out paragraphs
-calibrates the probabilities, and a prediction counts only if it is likely enough and the
-words of the paragraph also match a template of the predicted family.
+A paragraph ends at a line without letters and digits, or where a line ends a sentence:
+lines that a notice was wrapped into belong together. Its word uni- and bigrams are hashed
+into a fixed number of places, and a sparse multinomial logistic regression scores the
+licence families and an ``unknown`` class. The model is trained here from the templates
+below and ordinary prose; it is a few thousand numbers, so it travels as a literal. A
+temperature fitted on held-out paragraphs calibrates the probabilities, and a prediction
+counts only if it is likely enough and the word pairs of the paragraph also match a template
+of the predicted family.
+
+Only paragraphs with one of the ``gate`` pairs are scored. No other can be confirmed: a
+match needs more of a template's pairs than the gate leaves out.
 
 Scoring happens inside each row: no shuffle, no key that can be hot.
 """
@@ -14,6 +19,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from functools import cache
 
 import numpy as np
@@ -21,10 +27,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from braidlog.llm.columns import free, quoted
+
 PLACES = 4096
 UNKNOWN = "unknown"
-#: Least calibrated probability and least share of a template's word pairs found in the paragraph (or the other way round).
-LEAST_PROBABILITY, LEAST_MATCH = 0.5, 0.5
+#: Least calibrated probability; least share of a template's word pairs found in the paragraph, or of the
+#: paragraph's found in the template, which then must be so many at least.
+LEAST_PROBABILITY, LEAST_MATCH, LEAST_PAIRS = 0.5, 0.5, 6
+#: Where a paragraph ends.
+BOUNDARY = r"\n(?:[^\p{L}\p{N}\n]*+\n)++|(?<=[.!?:][\"')\]]?[ \t\r]{0,2})\n"
 #: Ordinary lines taken as training rows of the unknown class: at most in all, and of one document.
 MOST_LINES, LINES_EACH = 600, 5
 SPLIT = r"[^\p{L}\p{N}.]+"
@@ -35,11 +46,14 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
         "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
         "SPDX-License-Identifier: Apache-2.0",
     ),
     "bsd": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
         "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
         "Released under the BSD License.",
         "SPDX-License-Identifier: BSD-3-Clause",
     ),
@@ -47,17 +61,29 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "cc-by-nc": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "SPDX-License-Identifier: CC-BY-NC-4.0"),
     "cc-by-sa": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "SPDX-License-Identifier: CC-BY-SA-4.0"),
     "cc0": ("CC0 1.0 Universal Public Domain Dedication.", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
-    "gpl-2": ("This work is licensed under the GNU General Public License, version 2.", "either version 2 of the License, or (at your option) any later version.", "SPDX-License-Identifier: GPL-2.0-only"),
+    "gpl-2": (
+        "This work is licensed under the GNU General Public License, version 2.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+        "either version 2 of the License, or (at your option) any later version.",
+        "Released under the GPLv2.",
+        "Licensed under GPLv2.",
+        "SPDX-License-Identifier: GPL-2.0-only",
+    ),
     "gpl-3": (
         "This work is licensed under the GNU General Public License, version 3.",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "Released under the GPLv3.",
+        "Licensed under GPLv3.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
     ),
     "lgpl": ("This library is licensed under the GNU Lesser General Public License, version 3.", "SPDX-License-Identifier: LGPL-3.0-only"),
     "mit": (
         "Released under the MIT License.",
         "Licensed under the MIT License.",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.",
+        "The MIT License",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",
         "SPDX-License-Identifier: MIT",
     ),
     "mpl-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"),
@@ -146,15 +172,17 @@ def train(lines: tuple[str, ...] = (), rounds: int = 300, rate: float = 0.5, dec
     return Model(classes, full, b, temperature)
 
 
-def sample_lines(docs: DataFrame, text_col: str, most: int = MOST_LINES) -> tuple[str, ...]:
-    """At most ``most`` short lines without any template's words, as rows of the unknown class.
+def sample_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", most: int = MOST_LINES) -> tuple[str, ...]:
+    """At most ``most`` short lines that the scan would not score, as rows of the unknown class.
 
-    Five lines each of the first documents: only as many partitions are read as that takes,
-    and the driver gets at most ``most`` lines of 400 characters.
+    The first lines, in order, of the documents of smallest id: the same ones however the
+    table is split, and the driver gets at most ``most`` lines of 400 characters.
     """
-    lines = F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), lambda x: F.length(x).between(1, 400) & ~_candidate(x))
-    picked = docs.select(F.slice(lines, 1, LINES_EACH).alias("lines")).limit(-(-most // LINES_EACH)).collect()
-    return tuple(line for r in picked for line in r.lines)[:most]
+    line = F.filter(F.split(F.coalesce(quoted(text_col), F.lit("")), "\n"), lambda x: F.length(x).between(1, 400) & ~_candidate(x))
+    ids = [r[0] for r in docs.select(quoted(id_col).alias("id")).where("id is not null").distinct().orderBy("id").limit(-(-most // LINES_EACH)).collect()]
+    rows = docs.select(quoted(id_col).alias("id"), quoted(text_col).alias(text_col)).where(F.col("id").isin(ids))
+    picked = rows.groupBy("id").agg(F.min(F.slice(line, 1, LINES_EACH)).alias("lines")).orderBy("id").collect()
+    return tuple(x for r in picked for x in r.lines)[:most]
 
 
 def _numbers(values: np.ndarray) -> Column:
@@ -162,12 +190,38 @@ def _numbers(values: np.ndarray) -> Column:
     return F.split(F.lit(" ".join(f"{v:.6g}" for v in values)), " ").cast("array<double>")
 
 
-#: A paragraph without any of these words has no feature that speaks for a family.
-ANCHORS = r"(?i)licen[sc]e|licensed|copyright|creative commons|\bcc[ -]?(?:by|0)|redistribut|permission is hereby|rights reserved|public domain|waived all|unauthorized copying|any later version"
+#: A paragraph with one of these words speaks of licences, and is counted as unknown if no family is confirmed.
+ANCHORS = r"licen[sc]e|copyright|creative commons|\bcc[ -]?(?:by|0)|\b[al]?gpl|redistribut|permission is hereby|rights reserved|public domain|waived all|unauthorized copying|any later version"
+
+
+def word_pairs(words: list[str]) -> list[str]:
+    return sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)})
+
 
+@cache
+def gate() -> str:
+    """Pattern of word pairs one of which every paragraph has that a template matches.
+
+    A template's commonest words' pairs are left out, fewer than ``LEAST_PAIRS`` and than
+    the least part of the template that a match needs.
+    """
+    texts = [tokens(text) for family in TEMPLATES.values() for text in family]
+    often = Counter(w for words in texts for w in set(words))
+    tree: dict[str, set[str]] = {}
+    for words in texts:
+        pairs = sorted(word_pairs(words), key=lambda p: -min(len(w) if often[w] < 8 else 0 for w in p.split(" ")))
+        spared = min(LEAST_PAIRS, math.ceil(LEAST_MATCH * len(pairs))) - 1
+        for pair in pairs[: len(pairs) - spared] if spared > 0 else pairs:
+            a, b = pair.split(" ")
+            tree.setdefault(a, set()).add(b)
+    initials: dict[str, list[str]] = {}
+    for a in sorted(tree):
+        initials.setdefault(a[0], []).append(re.escape(a[1:]) + r"[^\p{L}\p{N}]+(?:" + "|".join(re.escape(b) for b in sorted(tree[a])) + ")")
+    return r"(?<![\p{L}\p{N}])(?:" + "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in initials.items()) + r")(?![\p{L}\p{N}])"
 
-def _candidate(line: Column) -> Column:
-    return line.rlike(ANCHORS)
+
+def _candidate(text: Column) -> Column:
+    return text.rlike(f"(?i){ANCHORS}|{gate()}")
 
 
 def _tokens(line: Column) -> Column:
@@ -208,21 +262,18 @@ def _classify(line: Column, model: Model) -> Column:
         return _let(spots, lambda p: _let(all_scores(p), likeliest))
 
     def match(words: Column, family: Column) -> Column:
-        own = _pairs(words)
-
         def best(pairs: Column) -> Column:
             out = F.lit(0.0)
             for name, texts in TEMPLATES.items():
                 each = []
                 for text in texts:
-                    ws = tokens(text)
-                    known = sorted({f"{a} {b}" for a, b in zip(ws, ws[1:], strict=False)}) or ws
+                    known = word_pairs(tokens(text))
                     common = F.size(F.array_intersect(pairs, F.array(*[F.lit(k) for k in known])))
-                    each.append(common / F.lit(float(len(known))))
-                out = F.when(family == name, F.greatest(*each) if len(each) > 1 else each[0]).otherwise(out)
+                    each += [common / F.lit(float(len(known))), F.when(common >= LEAST_PAIRS, common / F.size(pairs)).otherwise(0.0)]
+                out = F.when(family == name, F.greatest(*each)).otherwise(out)
             return out
 
-        return _let(own, best)
+        return _let(_pairs(words), best)
 
     def decide(words: Column) -> Column:
         def confirm(p: Column) -> Column:
@@ -239,21 +290,24 @@ def scan(docs: DataFrame, model: Model | None = None, text_col: str = "text") ->
     """``docs`` with ``license_families`` (sorted array), ``license_paragraphs`` and ``license_unknown`` (counts).
 
     ``license_unknown`` counts paragraphs that speak of licences but belong to no family
-    with enough certainty. A null or empty text has none; rows are independent, so null
-    ids and repeated rows are rows like others. Columns of these names are replaced.
+    with enough certainty. Texts are read whole; a null or empty text has none; rows are
+    independent, so null ids and repeated rows are rows like others, and an empty table gives
+    an empty result. Columns of these three names are replaced, all others pass through.
     """
     model = model or train()
-    lines = F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), _candidate)
-    df = docs.withColumn("__lines", F.when(F.col(text_col).rlike(ANCHORS), lines))
-    df = df.withColumn("__found", F.transform("__lines", lambda x: _classify(x, model)["family"]))
-    known = F.coalesce(F.filter("__found", lambda f: f != UNKNOWN), F.array().cast("array<string>"))
+    text, parts, found = quoted(text_col), free("parts", docs.columns), free("found", docs.columns)
+    df = docs.withColumn(parts, F.when(_candidate(text), F.filter(F.split(text, BOUNDARY), _candidate)))
+    none = F.array().cast("array<string>")
+    named = lambda x, family: F.when((family != UNKNOWN) | x.rlike(f"(?i){ANCHORS}"), family).otherwise("")
+    df = df.withColumn(found, F.transform(parts, lambda x: _let(_classify(x, model)["family"], lambda family: named(x, family))))
+    known = F.coalesce(F.filter(found, lambda f: ~f.isin(UNKNOWN, "")), none)
     return df.withColumns(
         {
             "license_families": F.sort_array(F.array_distinct(known)),
             "license_paragraphs": F.size(known).cast("long"),
-            "license_unknown": (F.coalesce(F.size("__found"), F.lit(0)) - F.size(known)).cast("long"),
+            "license_unknown": F.size(F.coalesce(F.filter(found, lambda f: f == UNKNOWN), none)).cast("long"),
         }
-    ).drop("__lines", "__found")
+    ).drop(parts, found)
 
 
 def held_out_accuracy(model: Model) -> float:

@@ -40,7 +40,7 @@ def op3_license(spark: SparkSession, sf_dir: str) -> DataFrame:
     from braidlog.llm import license as licences
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = licences.scan(docs, licences.train(licences.sample_lines(docs, "text")))
+    found = licences.scan(docs, licences.train(licences.sample_lines(docs)))
     return found.select("doc_id", F.array_join("license_families", ",").alias("license_families"), "license_paragraphs", "license_unknown")
 
 

@@ -166,6 +166,58 @@ def test_licence_model_and_scan(spark, empty):
     assert h == licences.place("a licençe")
 
 
+def scanned(text, model):
+    """The scan of one text in plain Python, without the gate."""
+    import numpy as np
+
+    found, unknown = [], 0
+    ends = re.compile(r"\n(?:(?:(?![^\W_]).)*\n)+|(?<=[.!?:])\n|(?<=[.!?:] )\n")
+    for part in ends.split(text or ""):
+        p = model.probabilities(part)
+        family, fit = model.classes[int(np.argmax(p))], 0.0
+        own = set(licences.word_pairs(licences.tokens(part)))
+        for template in licences.TEMPLATES.get(family, ()):
+            known = set(licences.word_pairs(licences.tokens(template)))
+            both = len(own & known)
+            fit = max(fit, both / len(known), both / len(own) if both >= 6 else 0.0)
+        if family != licences.UNKNOWN and p.max() >= 0.5 and fit >= 0.5:
+            found.append(family)
+        elif re.search(f"(?i){licences.ANCHORS}", part):
+            unknown += 1
+    return sorted(set(found)), len(found), unknown
+
+
+WRAPPED = {
+    "gpl-3": "    This program is free software: you can redistribute it and/or modify\n    it under the terms of the GNU General Public License as published by\n    the Free Software Foundation, either version 3 of the License, or\n    (at your option) any later version.\n",
+    "gpl-2": " * This program is free software; you can redistribute it and/or modify it\n * under the terms of the GNU General Public License as published by the Free\n * Software Foundation; either version 2 of the License, or (at your option)\n * any later version.\n *\n",
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\n",
+    "bsd": "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions are\n# met:\n#\n",
+    "apache-2.0": "// Licensed under the Apache License, Version 2.0 (the \"License\");\n// you may not use this file except in compliance with the License.\n",
+}
+
+
+def test_licences_equal_plain_python(spark, docs, rows):
+    model = licences.train()
+    texts = [f"Some words before.\n\n{x}\nSome words after." for x in WRAPPED.values()]
+    texts += ["THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND,\nEXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES", "Released under GPLv3", "GPLv3 applies.", "the above copyright notice", "Released under the MIT\nLicense.\nAll rights reserved.", "it is free of charge for any person"]
+    df = frame(spark, enumerate(texts)).repartition(2)
+    got = {r.doc_id: (r.license_families, r.license_paragraphs, r.license_unknown) for r in licences.scan(df, model).collect()}
+    assert got == {i: scanned(t, model) for i, t in enumerate(texts)}
+    for i, family in enumerate(WRAPPED):
+        assert got[i][0] == [family]
+    assert got[5][0] == ["mit"] and got[6][0] == ["gpl-3"] and got[7] == ([], 0, 1)
+    plain = {r.doc_id: (r.license_families, r.license_paragraphs, r.license_unknown) for r in licences.scan(docs, model).collect()}
+    assert plain == {i: scanned(t, model) for i, t in rows}
+    clash = spark.createDataFrame([(1, "All rights reserved.", 5, "x")], "doc_id long, text string, parts int, Found string")
+    out = licences.scan(clash, model)
+    assert out.columns[:4] == clash.columns and out.first()[:4] == clash.first()[:]
+
+
+def test_sampled_lines_do_not_depend_on_the_partitions(spark, docs):
+    assert licences.sample_lines(docs) == licences.sample_lines(docs.repartition(9)) != ()
+    assert licences.sample_lines(docs.limit(0)) == ()
+
+
 def test_held_out_rows_are_not_trained_on():
     lines = ("one two", "three four", "five six", "seven eight")
     a, b = (licences.train((*lines, held)) for held in ("zebra quilt", "yonder flax"))
