@@ -12,13 +12,17 @@ Every row is rewritten alone: no shuffle, no lookup table.
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from braidlog.llm.columns import free, quoted
+
 ROUNDS = 8
-DEFAULT_KEY = "braidlog"
+KEY_SETTING = "spark.braidlog.pii.key"
+_KEYS: dict[str, str] = {}
 #: Fixed patterns of the formats. Possessive repeats keep the scan linear on long texts.
 MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*(?<=\.[A-Za-z]{2,20})"
 ADDRESS = r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d]|\.\d)"
@@ -34,8 +38,11 @@ ANY = "|".join((MAIL, SECRET, ADDRESS, PHONE, SOCIAL, DATE, RUN))
 #: What stands beside cards in a run, and the groupings in which cards are usually written.
 BESIDE = "|".join((PHONE, SOCIAL, DATE))
 USUAL = r"^(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}([ -])\d{6}\2\d{4,5})$"
-#: Days of one span of dates; dates are permuted within their span.
-DATE_A, DATE_B, DATE_FIRST = 200, 365, "1900-01-01"
+#: Dates are permuted within their span: 200 * 365 days each from 1900-01-01 on, backwards too. The
+#: calendar from 0001-01-01 to 9999-12-31 cuts the first and the last span short.
+DATE_FIRST, DATE_SPAN, DATE_A, DATE_B = "0001-01-01", 73_000, 200, 365
+DATE_HEAD, DATE_HEAD_A, DATE_HEAD_B = 36_595, 65, 563
+DATE_TAIL, DATE_TAIL_A, DATE_TAIL_B = 3_613_595, 64, 601
 
 
 def _hash(key: str, tag: str, turn: int, *parts: Column) -> Column:
@@ -179,16 +186,22 @@ def _social(text: Column, key: str) -> Column:
 
 
 def _date(text: Column, key: str) -> Column:
+    """Every date from 0001-01-01 to 9999-12-31 becomes another date of its span."""
     day = F.datediff(F.try_to_date(text, "yyyy-MM-dd"), F.lit(DATE_FIRST).cast("date")).cast("long")
-    size = DATE_A * DATE_B
 
     def change(d: Column) -> Column:
-        inner = F.pmod(d, F.lit(size))
-        pair = permute_pair(F.floor(inner / DATE_B), inner % DATE_B, DATE_A, DATE_B, key, "date")
-        moved = _let(pair, lambda p: d - inner + p["x"] * DATE_B + p["y"])
+        def within(first: Column, a: int, b: int, tag: str) -> Column:
+            return _let(permute_pair(F.floor((d - first) / b), (d - first) % b, a, b, key, tag), lambda p: first + p["x"] * b + p["y"])
+
+        first = d - F.pmod(d - DATE_HEAD, F.lit(DATE_SPAN))
+        moved = (
+            F.when(d < DATE_HEAD, within(F.lit(0).cast("long"), DATE_HEAD_A, DATE_HEAD_B, "date-head"))
+            .when(d >= DATE_TAIL, within(F.lit(DATE_TAIL).cast("long"), DATE_TAIL_A, DATE_TAIL_B, "date-tail"))
+            .otherwise(within(first, DATE_A, DATE_B, "date"))
+        )
         return F.date_format(F.date_add(F.lit(DATE_FIRST).cast("date"), moved.cast("int")), "yyyy-MM-dd")
 
-    return F.when(day.isNotNull() & (F.year(F.try_to_date(text, "yyyy-MM-dd")) < 9800), _let(day, change))
+    return F.when(day.between(0, DATE_TAIL + DATE_TAIL_A * DATE_TAIL_B - 1), _let(day, change))
 
 
 def _shift(half: Column, stream: Column, hexadecimal: bool) -> Column:
@@ -247,30 +260,44 @@ def pseudonym(found: Column, key: str) -> Column:
     return F.coalesce(new, found)
 
 
-def pseudonymise(docs: DataFrame, key: str = DEFAULT_KEY, text_col: str = "text", count_col: str | None = None, length_col: str | None = None) -> DataFrame:
+def session_key(spark: SparkSession) -> str:
+    """The key in ``spark.braidlog.pii.key``; where it is unset, a random one of this application.
+
+    With a key of its own every application makes pseudonyms of its own; set the key to link
+    values over several runs, and keep it: whoever has it can undo the permutations.
+    """
+    app = spark.sparkContext.applicationId
+    return spark.conf.get(KEY_SETTING, None) or _KEYS.setdefault(app, secrets.token_hex(32))
+
+
+def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: str | None = None, length_col: str | None = None) -> DataFrame:
     """``docs`` with personal values in ``text_col`` replaced.
 
     ``count_col`` gets the number replaced, ``length_col`` the new length in code points.
 
     A null text stays null, an empty one empty; numbers that fail their check (card
     checksum, address range, calendar, social security areas) are left as they are. Rows
-    are independent, so repeated rows give equal results; other columns pass through.
+    are independent, so null ids are rows like others and repeated rows give equal results;
+    an empty table gives an empty result; other columns pass through, whatever their names.
+    The two counting columns replace columns of their names.
     """
-    found = F.regexp_extract_all(F.col(text_col), F.lit(ANY), F.lit(0))
+    if not key:
+        raise ValueError("pseudonyms need a key")
+    own, found, made = quoted(text_col), free("found", docs.columns), free("made", docs.columns)
 
     def renew(value: Column) -> Column:
         new = F.transform(_pieces(value), lambda p: F.struct(p["text"].alias("old"), F.when(p["own"], pseudonym(p["text"], key)).otherwise(p["text"]).alias("new")))
         return _let(new, lambda ps: F.struct(F.array_join(ps["new"], "").alias("text"), F.size(F.filter(ps, lambda p: p["old"] != p["new"])).alias("n")))
 
-    df = docs.withColumn("__found", found)
-    df = df.withColumn("__new", F.when(F.size("__found") > 0, F.transform("__found", renew)))
-    gaps = F.split(F.col(text_col), ANY, -1)
-    parts = F.zip_with(gaps, F.col("__new.text"), lambda g, v: F.concat(g, F.coalesce(v, F.lit(""))))
-    changed = F.when(F.size("__found") > 0, F.array_join(parts, "")).otherwise(F.col(text_col))
+    df = docs.withColumn(found, F.regexp_extract_all(own, F.lit(ANY), F.lit(0)))
+    df = df.withColumn(made, F.when(F.size(found) > 0, F.transform(found, renew)))
+    gaps = F.split(own, ANY, -1)
+    parts = F.zip_with(gaps, F.col(made)["text"], lambda g, v: F.concat(g, F.coalesce(v, F.lit(""))))
+    changed = F.when(F.size(found) > 0, F.array_join(parts, "")).otherwise(own)
     out = {text_col: changed}
     if length_col:
         out[length_col] = F.length(changed).cast("long")
     if count_col:
-        total = F.aggregate(F.col("__new.n"), F.lit(0), lambda a, n: a + n)
-        out[count_col] = F.when(F.size("__found") > 0, total).otherwise(0).cast("long")
-    return df.withColumns(out).drop("__found", "__new")
+        total = F.aggregate(F.col(made)["n"], F.lit(0), lambda a, n: a + n)
+        out[count_col] = F.when(F.size(found) > 0, total).otherwise(0).cast("long")
+    return df.withColumns(out).drop(found, made)

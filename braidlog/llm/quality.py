@@ -63,15 +63,14 @@ def _bad_line(line: Column) -> Column:
     return navigation | symbols | shouting | ((n <= STOCK_WORDS) & line.rlike(STOCK))
 
 
-def clean(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``q_``-columns: counts, verdicts and ``q_text``, the lines that passed.
+#: Columns of the result.
+RESULTS = ("q_n_words", "q_chars", "q_symbols", "q_dup_lines", "q_repeat_words", "q_left", "q_text", "q_base_failed", "q_kept")
 
-    A null or empty text has no words and fails the base rules. Texts are read whole, and
-    every row is judged alone, so repeated rows and null ids are rows like others. Columns
-    of ``docs`` that begin with ``q_`` are replaced.
-    """
-    df = docs.drop(*[c for c in docs.columns if c.startswith("q_")])
-    text = F.coalesce(F.col(text_col), F.lit(""))
+
+def _judged(docs: DataFrame, text_col: str) -> DataFrame:
+    """The columns of ``docs``, named ``c0``, ``c1`` and so on, and the results."""
+    df = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    text = F.coalesce(F.col(f"c{docs.columns.index(text_col)}"), F.lit(""))
     df = df.withColumns({"q_words": _words(text), "q_lines": F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD)), "q_symbols": _count(text, SYMBOLS)})
     df = df.withColumns(
         {
@@ -98,13 +97,28 @@ def clean(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return df.withColumns({"q_base_failed": failed, "q_kept": ~failed & ~lost})
 
 
+def clean(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` with the columns ``RESULTS``: counts, verdicts and ``q_text``, the lines that passed.
+
+    A null or empty text has no words and fails the base rules. Texts are read whole, and
+    every row is judged alone, so repeated rows and null ids are rows like others, and an
+    empty table gives an empty result. Columns with the names of results are replaced, all
+    others pass through. Windows of words are compared by a 64-bit hash of 64-bit hashes:
+    two different ones of a text are taken for equal with a probability near 2**-63.
+    """
+    taken = {c.lower() for c in RESULTS}
+    own = [F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns) if c.lower() not in taken]
+    return _judged(docs, text_col).select(*own, *RESULTS)
+
+
 def keep_clean(docs: DataFrame, text_col: str = "text", length_col: str | None = None) -> DataFrame:
     """Rows that are kept, their text without the failing lines; ``length_col`` is brought up to date.
 
-    The verdict passes through a generator of one row, so that the filter is not pushed
-    down and the rules are not evaluated twice.
+    All other columns pass through, whatever their names. The verdict passes through a
+    generator of one row, so that the filter is not pushed down and the rules are not
+    evaluated twice.
     """
-    verdict = F.explode(F.array(F.struct("q_kept", "q_text"))).alias("__q")
-    kept = clean(docs, text_col).select(*[F.col(f"`{c}`") for c in docs.columns], verdict).where("__q.q_kept")
-    changed = {text_col: F.col("__q.q_text")} | ({length_col: F.length("__q.q_text").cast("long")} if length_col else {})
-    return kept.withColumns(changed).drop("__q")
+    verdict = F.explode(F.array(F.struct("q_kept", "q_text"))).alias("q")
+    kept = _judged(docs, text_col).select(*[f"c{i}" for i in range(len(docs.columns))], verdict).where("q.q_kept")
+    changed = {text_col: F.col("q.q_text")} | ({length_col: F.length("q.q_text").cast("long")} if length_col else {})
+    return kept.select(*[changed.get(c, F.col(f"c{i}")).alias(c) for i, c in enumerate(docs.columns)])

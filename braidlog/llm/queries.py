@@ -48,7 +48,7 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from braidlog.llm import pii
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pii.pseudonymise(docs, count_col="n_replaced")
+    return pii.pseudonymise(docs, pii.session_key(spark), count_col="n_replaced")
 
 
 def op5_shard(spark: SparkSession, sf_dir: str) -> DataFrame:

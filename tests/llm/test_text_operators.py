@@ -245,7 +245,7 @@ def test_pseudonyms_keep_formats(spark, empty):
         "born 1999-02-28, not 1999-02-30", "ssn 123-45-6789 and 000-12-3456", 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"', None, "", "4465758382889437 4465758382889437", "x" * 20000 + " 227.5.221.1",
     ]
     df = frame(spark, enumerate(texts)).coalesce(1)
-    out = {r.doc_id: r for r in pii.pseudonymise(df, count_col="n", length_col="size").collect()}
+    out = {r.doc_id: r for r in pii.pseudonymise(df, "k", count_col="n", length_col="size").collect()}
     new = {i: r.text for i, r in out.items()}
     cards = re.findall(r"\d[\d-]{14,18}", new[0])
     assert len(cards) == 2 and all(luhn(c.replace("-", "")) for c in cards) and cards[0] == cards[1].replace("-", "") != "4785380592391139"
@@ -260,7 +260,7 @@ def test_pseudonyms_keep_formats(spark, empty):
     assert re.fullmatch(r'token = "[0-9a-f]{40}"', new[7]) and new[7] != texts[7]
     assert (new[8], new[9]) == (None, "") and out[0].size == len(new[0])
     assert len(set(new[10].split())) == 1 and out[10].n == 2
-    assert pii.pseudonymise(empty).count() == 0
+    assert pii.pseudonymise(empty, "k").count() == 0
 
 
 def test_cards_beside_other_numbers(spark):
@@ -269,7 +269,7 @@ def test_cards_beside_other_numbers(spark):
         plain, f"{plain} 123", f"{grouped} 12/27", f"order 12 {plain}", f"{grouped} 743-555-3824", f"{plain} 227.5.221.1", f"12 743-555-3824 {plain} {grouped}",
         f"{plain} 743.555.3824", f"{plain} 12@example.com", "1234 743-555-3824", "1 2 3", f"{plain} 24be64439e3e49cf46b2d7c90f3602a3d0b907ff", "7 " * 5 + plain,
     ]
-    got = {r.doc_id: (r.text, r.n) for r in pii.pseudonymise(frame(spark, enumerate(texts)).coalesce(1), count_col="n").collect()}
+    got = {r.doc_id: (r.text, r.n) for r in pii.pseudonymise(frame(spark, enumerate(texts)).coalesce(1), "k", count_col="n").collect()}
     new, wide = got[0][0], " ".join(got[0][0][i : i + 4] for i in range(0, 16, 4))
     assert luhn(new) and new != plain
     assert [got[i] for i in (1, 2, 3)] == [(f"{new} 123", 1), (f"{wide} 12/27", 1), (f"order 12 {new}", 1)]
@@ -288,13 +288,77 @@ def test_permutations_are_one_to_one(spark):
     df = spark.range(7 * 11).select(pii.permute_pair(F.floor(F.col("id") / 11), F.col("id") % 11, 7, 11, "k", "t").alias("p"))
     assert df.distinct().count() == 77
     assert df.agg(F.max("p.x"), F.max("p.y"), F.min("p.x"), F.min("p.y")).first()[:] == (6, 10, 0, 0)
-    dates = spark.range(73000).select(F.date_format(F.date_add(F.lit("1900-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("d"))
-    moved = dates.select(pii.pseudonym(F.col("d"), "k").alias("d"))
-    assert moved.distinct().count() == 73000 and moved.exceptAll(dates).count() == 0
+    days = lambda first, n: spark.range(n).select(F.date_format(F.date_add(F.lit(first).cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("d"))
+    for first, n in (("0001-01-01", 36_595), ("1900-01-01", 73_000), ("9894-09-09", 38_464)):
+        dates = days(first, n)
+        moved = dates.select(pii._date(F.col("d"), "k").alias("d"))
+        assert moved.distinct().count() == n and moved.exceptAll(dates).count() == 0
+    assert days("9894-09-09", 38_464).agg(F.max("d")).first()[0] == "9999-12-31"
+    odd = spark.createDataFrame([("0000-01-01",), ("2023-02-29",), ("9999-12-32",)], "d string")
+    assert odd.select(pii.pseudonym(F.col("d"), "k").alias("d")).collect() == odd.collect()
     words = spark.createDataFrame([(a + b,) for a in "abcdefghij" for b in "0123456789"], "w string").select(pii.permute_text(F.col("w"), "k", "t").alias("w"))
     assert words.distinct().count() == 100 and words.where("w rlike '^[a-z][0-9]$'").count() == 100
 
 
+def test_pseudonyms_equal_plain_python(spark):
+    """Cards, addresses, social security numbers and dates by Feistel rounds in plain Python."""
+    from datetime import date, timedelta
+
+    def turn(tag, n, v):
+        return int(hashlib.sha256(f"k|{tag}|{n}|{v}".encode()).hexdigest()[:15], 16)
+
+    def permuted(x, y, a, b, tag):
+        for n in range(8):
+            x, y = (x, (y + turn(tag, n, x)) % b) if n % 2 else ((x + turn(tag, n, y)) % a, y)
+        return x, y
+
+    def card(d):
+        left = (len(d) - 1) // 2
+        right = len(d) - 1 - left
+        x, y = permuted(int(d[:left]), int(d[left:-1]), 10**left, 10**right, f"card{len(d)}")
+        body = f"{x:0{left}d}{y:0{right}d}"
+        return next(body + c for c in "0123456789" if luhn(body + c))
+
+    def address(text):
+        p = [int(v) for v in text.split(".")]
+        x, y = permuted(p[0] * 256 + p[1], p[2] * 256 + p[3], 1 << 16, 1 << 16, "address")
+        return f"{x >> 8}.{x & 255}.{y >> 8}.{y & 255}"
+
+    def social(text):
+        area, group, serial = (int(v) for v in text.split("-"))
+        x, y = permuted(area - (2 if area > 666 else 1), (group - 1) * 9999 + serial - 1, 898, 99 * 9999, "social")
+        return f"{x + (2 if x >= 665 else 1):03d}-{y // 9999 + 1:02d}-{y % 9999 + 1:04d}"
+
+    def day(text):
+        d = date.fromisoformat(text).toordinal() - 1
+        first, a, b, tag = (0, 65, 563, "date-head") if d < 36595 else (3613595, 64, 601, "date-tail") if d >= 3613595 else (d - (d - 36595) % 73000, 200, 365, "date")
+        x, y = permuted((d - first) // b, (d - first) % b, a, b, tag)
+        return (date(1, 1, 1) + timedelta(first + x * b + y)).isoformat()
+
+    rnd, rows = random.Random(6), []
+    for _ in range(60):
+        body = "".join(rnd.choice("0123456789") for _ in range(rnd.randint(12, 18)))
+        number = next(body + c for c in "0123456789" if luhn(body + c))
+        ip = ".".join(str(rnd.randrange(256)) for _ in range(4))
+        ssn = f"{rnd.choice([1, 665, 667, 899, rnd.randint(1, 665)]):03d}-{rnd.randint(1, 99):02d}-{rnd.randint(1, 9999):04d}"
+        when = date.fromordinal(rnd.choice([1, 36594, 36595, 36596, 3613596, 3652059, rnd.randint(1, 3652059)])).isoformat()
+        rows.append((f"a {number} b {ip}, c {ssn} d {when}", f"a {card(number)} b {address(ip)}, c {social(ssn)} d {day(when)}"))
+    df = spark.createDataFrame([(a, b, 1, "y", 0) for a, b in rows], "text string, want string, found int, Made string, n long")
+    out = pii.pseudonymise(df, "k", count_col="n").collect()
+    assert [r.text for r in out] == [r.want for r in out] and {r.n for r in out} == {4} and {(r.found, r.Made) for r in out} == {(1, "y")}
+    with pytest.raises(ValueError, match="key"):
+        pii.pseudonymise(df, "")
+
+
+def test_session_key(spark):
+    assert pii.session_key(spark) == pii.session_key(spark) and len(pii.session_key(spark)) == 64
+    spark.conf.set(pii.KEY_SETTING, "own")
+    try:
+        assert pii.session_key(spark) == "own"
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
+
+
 def test_other_keys_give_other_pseudonyms(spark):
     df = frame(spark, [(1, "227.5.221.1")])
     assert pii.pseudonymise(df, "a").first().text != pii.pseudonymise(df, "b").first().text
@@ -356,6 +420,14 @@ def test_quality_rules(spark):
     assert all(n == len(good) for _, n in kept.values())
 
 
+def test_quality_keeps_other_columns(spark):
+    good = "This is a plain sentence with more than ten words in it, and it ends."
+    df = spark.createDataFrame([(1, good, "a", "b", 3, "c")], "doc_id long, text string, q_source string, q_text string, Q_KEPT int, `x.y` string")
+    assert quality.keep_clean(df).collect() == df.collect() and quality.keep_clean(df).columns == df.columns
+    judged = quality.clean(df)
+    assert judged.columns == ["doc_id", "text", "q_source", "x.y", *quality.RESULTS] and judged.first().q_source == "a"
+
+
 # --- 7: packing -----------------------------------------------------------------------------
 
 
