@@ -4,12 +4,13 @@ Documents longer than a window are cut into whole windows first. Of the remainde
 the histogram of lengths matters: combinations of two or three lengths that fill a window
 exactly are enumerated, non-negative least squares finds how often to repeat each so that
 the histogram is used up, and the repeats are rounded to what is there. What is left over
-is packed greedily: laid end to end and cut at the windows' borders.
+is packed greedily: the longest length and then the longest that fits, as often as that
+fills a window; the rest is laid end to end and cut at the windows' borders.
 
-The histogram has as many bins as a window has tokens, so the plan's size is fixed. Every
-task numbers its own remainders by length; running totals over tasks turn these numbers
-into global ranks, and a rank decides its window. Nothing is sorted and no length, however
-frequent, is gathered in one task.
+The histogram has as many bins as a window has tokens, so the plan's size is fixed. Parts of
+bounded size number their own remainders by length; running totals over parts turn these
+numbers into global ranks, and a rank decides its window. Nothing is sorted and no length,
+however frequent, is gathered in one task.
 """
 
 from __future__ import annotations
@@ -33,8 +34,10 @@ from braidlog.functions.runtime import shuffle_partitions, written
 from braidlog.llm.bpe import BYTE_LEVEL, finder
 
 WINDOW, END = 1024, 0
-#: Rounds over the combinations that violate optimality; rows in an output batch; words that a task remembers.
-SWEEPS, TEXT_BATCH, MOST_WORDS = 12, 256, 400_000
+#: Gradient, as a share of the largest bin, up to which a solution counts as optimal.
+TOLERANCE = 1e-3
+#: Tokens after which a part ends; rows in an output batch; words that a task remembers.
+PART_TOKENS, TEXT_BATCH, MOST_WORDS = 1 << 21, 256, 400_000
 
 
 def read_tokenizer(tokenizer_json: str) -> dict[bytes, int]:
@@ -93,8 +96,12 @@ def combinations(window: int, present: np.ndarray) -> np.ndarray:
     return rows[known[rows].all(1)]
 
 
-def solve(counts: np.ndarray, combos: np.ndarray, sweeps: int = SWEEPS) -> np.ndarray:
-    """Repeats x >= 0 that minimise ``||A x - counts||`` by coordinate descent; counts[0] is ignored."""
+def solve(counts: np.ndarray, combos: np.ndarray, tolerance: float = TOLERANCE) -> np.ndarray:
+    """Repeats x >= 0 that minimise ``||A x - counts||`` by coordinate descent; counts[0] is ignored.
+
+    Every step lowers the objective, and the descent ends when the conditions of optimality
+    hold: no gradient is above ``tolerance`` times the largest bin (or half a document).
+    """
     rest = counts.astype(float).copy()
     rest[0] = 0.0
     weight = np.ones((len(combos), 3))
@@ -103,10 +110,10 @@ def solve(counts: np.ndarray, combos: np.ndarray, sweeps: int = SWEEPS) -> np.nd
     for i in range(3):
         same = (combos == combos[:, i : i + 1]) * weight
         norm += same.sum(1) * weight[:, i]
-    x = np.zeros(len(combos))
-    for _ in range(sweeps):
+    x, least = np.zeros(len(combos)), max(0.5, tolerance * float(rest.max(initial=0.0)))
+    while True:
         pull = (rest[combos] * weight).sum(1)
-        moves = np.flatnonzero((pull > 0.5) | ((pull < -0.5) & (x > 0)))
+        moves = np.flatnonzero((pull > least) | ((pull < -least) & (x > 0)))
         if not len(moves):
             break
         for k in moves[np.argsort(-np.abs(pull[moves]), kind="stable")].tolist():
@@ -122,10 +129,9 @@ def solve(counts: np.ndarray, combos: np.ndarray, sweeps: int = SWEEPS) -> np.nd
 
 def plan(counts: np.ndarray, window: int = WINDOW) -> list[tuple[tuple[int, ...], int]]:
     """``(lengths, repeats)`` whose use of every length stays within the histogram."""
-    combos = combinations(window, counts)
-    if not len(combos):
-        return []
-    x, left, out = solve(counts, combos), counts.astype(np.int64).copy(), []
+    combos, left, out = combinations(window, counts), counts.astype(np.int64).copy(), []
+    left[0] = 0
+    x = solve(counts, combos) if len(combos) else np.zeros(0)
     for k in np.argsort(-x, kind="stable").tolist():
         if x[k] < 0.5:
             break
@@ -136,6 +142,28 @@ def plan(counts: np.ndarray, window: int = WINDOW) -> list[tuple[tuple[int, ...]
             out.append((lengths, times))
             for v, n in need.items():
                 left[v] -= n * times
+    return out + best_fits(left, window)
+
+
+def best_fits(left: np.ndarray, window: int) -> list[tuple[tuple[int, ...], int]]:
+    """Windows filled by the longest length and then the longest that fits; ``left`` loses what they use."""
+    out, longest = [], window - 1
+    while longest > 0:
+        if not left[longest]:
+            longest -= 1
+            continue
+        need, gap = {longest: 1}, window - longest
+        while gap and len(fits := np.flatnonzero(left[: gap + 1] > [need.get(v, 0) for v in range(gap + 1)])):
+            v = int(fits[-1])
+            n = min(gap // v, int(left[v]) - need.get(v, 0))
+            need[v], gap = need.get(v, 0) + n, gap - n * v
+        if gap:
+            longest -= 1
+            continue
+        times = min(int(left[v]) // n for v, n in need.items())
+        for v, n in need.items():
+            left[v] -= n * times
+        out.append((tuple(v for v, n in need.items() for _ in range(n)), times))
     return out
 
 
@@ -170,7 +198,7 @@ def tokenised(docs: DataFrame, tokenizer_json: str, window: int, id_col: str, te
             pieces = cut(text)  # every second one is an added token
             return b"".join(array("I", [added[p]]).tobytes() if i % 2 else b"".join(map(words, find(p))) for i, p in enumerate(pieces))
 
-        part, seen, n, full = TaskContext.get().partitionId(), np.zeros(window, np.int64).tolist(), 0, 0
+        part, seen, n, full, size = TaskContext.get().partitionId() << 32, [0] * window, 0, 0, 0
         for batch in batches:
             for at in range(0, batch.num_rows, TEXT_BATCH):
                 own = batch.slice(at, TEXT_BATCH)
@@ -180,6 +208,9 @@ def tokenised(docs: DataFrame, tokenizer_json: str, window: int, id_col: str, te
                     whole = len(ids) // window
                     checks = np.array([crc32(ids[i * window : (i + 1) * window]) for i in range(whole)], "<u4")
                     rest = len(ids) - whole * window
+                    size += len(ids)
+                    if size > PART_TOKENS and n:
+                        part, seen, n, full, size = part + 1, [0] * window, 0, 0, len(ids)
                     out.append((part, n, key, len(ids), full, checks.tobytes(), rest, seen[rest], ids[whole * window :].tobytes()))
                     seen[rest] += 1
                     n, full = n + 1, full + whole
@@ -209,15 +240,14 @@ def pack(docs: DataFrame, tokenizer_json: str, window: int = WINDOW, id_col: str
     over = F.greatest(F.lit(0), F.col("before") + F.col("n") - F.greatest("before", limit)) * F.col("rest")
     fulls = rows.groupBy("part").agg(F.sum(F.octet_length("full_crc") / 4).cast("long").alias("n_full"))
     ranks = counts.groupBy("part").agg(F.sort_array(F.collect_list(F.struct("rest", "before"))).alias("ranks"), F.sum(over).alias("n_left"))
-    running = Window.orderBy("part")
-    starts = ranks.join(fulls, "part").select(
+    running = Window.orderBy("part")  # over two sums for each part
+    sums = ranks.select("part", "n_left").join(fulls, "part").select(
         F.col("part").alias("of_part"),
-        F.col("ranks.rest").alias("rests"),
-        F.col("ranks.before").alias("befores"),
         (F.sum("n_left").over(running) - F.col("n_left")).alias("left_first"),
         (F.sum("n_full").over(running) - F.col("n_full")).alias("full_first"),
         F.sum("n_full").over(Window.partitionBy()).alias("n_fulls"),
     )
+    starts = sums.join(ranks, F.col("of_part") == F.col("part")).select("of_part", F.col("ranks.rest").alias("rests"), F.col("ranks.before").alias("befores"), "left_first", "full_first", "n_fulls")
     names = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     kinds = [kind, *[LongType()] * 6]
     arrow = [to_arrow_type(k) for k in kinds]

@@ -496,6 +496,32 @@ def test_plan_uses_up_a_histogram_that_fits():
     assert used.tolist() == counts.tolist()
 
 
+def test_solution_is_optimal_and_residuals_fit_best():
+    import numpy as np
+
+    rnd = np.random.default_rng(3)
+    for window in (24, 60):
+        counts = rnd.integers(0, 400, window)
+        combos = packing.combinations(window, counts)
+        x = packing.solve(counts, combos)
+        rest = counts.astype(float)
+        rest[0] = 0
+        for k, row in enumerate(combos.tolist()):
+            for v in row:
+                if v:
+                    rest[v] -= x[k]
+        pull = np.array([sum(rest[v] for v in row if v) for row in combos.tolist()])
+        least = max(0.5, packing.TOLERANCE * counts[1:].max())
+        assert (x >= 0).all() and (pull <= least + 1e-6).all() and (pull[x > 0] >= -least - 1e-6).all()
+        chosen = packing.plan(counts, window)
+        _, used = packing.slots(chosen, window)
+        assert all(sum(lengths) == window and times > 0 for lengths, times in chosen) and (used[1:] <= counts[1:]).all()
+    left = np.zeros(16, np.int64)
+    left[[9, 7, 5, 2, 1]] = [3, 1, 2, 3, 1]
+    assert packing.best_fits(left, 16) == [((9, 7), 1), ((9, 5, 2), 2)]
+    assert left.tolist() == [0, 1, 1] + [0] * 13
+
+
 # --- 8: repeated strings --------------------------------------------------------------------
 
 
