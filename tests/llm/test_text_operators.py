@@ -14,6 +14,7 @@ public_tokenizers = pytest.importorskip("public_tokenizers")
 from braidlog.llm import bpe, cdc, ngram_join, packing, pii, quality, shard, substrings, warc  # noqa: E402
 from braidlog.llm import license as licences  # noqa: E402
 from braidlog.llm.suffix import suffix_array  # noqa: E402
+from plain import address, brute_components, card, day, luhn, social  # noqa: E402
 
 WORDS = re.compile("[^\x20\x09-\x0d]+")
 CLASH = "doc_id long, text string, id string, key string, payload string, row long, kind string, q_text string, shard int, part int, cell string, size long, component string"
@@ -93,28 +94,6 @@ def test_latin_finder_equals_the_general_one():
 # --- 2: n-gram join -------------------------------------------------------------------------
 
 
-def brute_components(rows, n, num, den):
-    sets = {}
-    for i, text in rows:
-        words = WORDS.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
-        sets[i] = {tuple(words[k : k + n]) for k in range(len(words) - n + 1)} if len(words) >= n else ({tuple(words)} if words else set())
-    parent = {i: i for i in sets}
-
-    def root(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    ids = sorted(sets)
-    for k, a in enumerate(ids):
-        for b in ids[:k]:
-            both = len(sets[a] & sets[b])
-            if both and den * both >= num * len(sets[a] | sets[b]):
-                ra, rb = root(a), root(b)
-                parent[max(ra, rb)] = min(ra, rb)
-    return {i: (len(sets[i]), root(i)) for i in ids}
-
-
 @pytest.mark.parametrize(("n", "share", "bounds"), [(3, (90, 100), {}), (5, (80, 100), {}), (2, (50, 100), {"part_postings": 2, "cell_postings": 3, "part_grams": 60, "part_rows": 3})])
 def test_components_equal_brute_force(docs, rows, n, share, bounds):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.components(docs, n, share, **bounds).collect()}
@@ -235,10 +214,6 @@ def test_licence_scan_uses_no_python(docs):
 # --- 4: PII ---------------------------------------------------------------------------------
 
 
-def luhn(digits):
-    return sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(int(c) for c in reversed(digits))) % 10 == 0
-
-
 def test_pseudonyms_keep_formats(spark, empty):
     texts = [
         "Card 4785380592391139, again 4785-3805-9239-1139.", "4785380592391138 is no card", "Call +1 (743) 555-3824 or 743-555-3824!", "ip 227.5.221.1### and 999.1.1.1", "hein.19@mail5.example.com",
@@ -302,38 +277,7 @@ def test_permutations_are_one_to_one(spark):
 
 def test_pseudonyms_equal_plain_python(spark):
     """Cards, addresses, social security numbers and dates by Feistel rounds in plain Python."""
-    from datetime import date, timedelta
-
-    def turn(tag, n, v):
-        return int(hashlib.sha256(f"k|{tag}|{n}|{v}".encode()).hexdigest()[:15], 16)
-
-    def permuted(x, y, a, b, tag):
-        for n in range(8):
-            x, y = (x, (y + turn(tag, n, x)) % b) if n % 2 else ((x + turn(tag, n, y)) % a, y)
-        return x, y
-
-    def card(d):
-        left = (len(d) - 1) // 2
-        right = len(d) - 1 - left
-        x, y = permuted(int(d[:left]), int(d[left:-1]), 10**left, 10**right, f"card{len(d)}")
-        body = f"{x:0{left}d}{y:0{right}d}"
-        return next(body + c for c in "0123456789" if luhn(body + c))
-
-    def address(text):
-        p = [int(v) for v in text.split(".")]
-        x, y = permuted(p[0] * 256 + p[1], p[2] * 256 + p[3], 1 << 16, 1 << 16, "address")
-        return f"{x >> 8}.{x & 255}.{y >> 8}.{y & 255}"
-
-    def social(text):
-        area, group, serial = (int(v) for v in text.split("-"))
-        x, y = permuted(area - (2 if area > 666 else 1), (group - 1) * 9999 + serial - 1, 898, 99 * 9999, "social")
-        return f"{x + (2 if x >= 665 else 1):03d}-{y // 9999 + 1:02d}-{y % 9999 + 1:04d}"
-
-    def day(text):
-        d = date.fromisoformat(text).toordinal() - 1
-        first, a, b, tag = (0, 65, 563, "date-head") if d < 36595 else (3613595, 64, 601, "date-tail") if d >= 3613595 else (d - (d - 36595) % 73000, 200, 365, "date")
-        x, y = permuted((d - first) // b, (d - first) % b, a, b, tag)
-        return (date(1, 1, 1) + timedelta(first + x * b + y)).isoformat()
+    from datetime import date
 
     rnd, rows = random.Random(6), []
     for _ in range(60):
