@@ -31,8 +31,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal values replaced by pseudonyms of the same format."""
-    return pii.pseudonymise(docs, length_col="n_chars")
+    """Personal values replaced by pseudonyms of the same format, under the session's key."""
+    return pii.pseudonymise(docs, pii.session_key(spark), length_col="n_chars")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +50,7 @@ STAGES = [
     ("private_data", private_data),
     ("packing", pack),
 ]
-#: SQL cannot express the Feistel rounds or the packing plan; a brute-force version tests them.
+#: SQL cannot express the Feistel rounds or the packing plan; the tests hold every stage against plain Python.
 ORACLE_SQL = None
 
 
