@@ -4,8 +4,8 @@ A row descends region, rack and shard. At every level each child draws
 ``ln(u) / weight`` from a hash of the row's key and the child's name, and the largest
 draw wins: a child is chosen in proportion to its weight, and raising one weight only
 attracts rows to that child. Movement is therefore confined to the subtrees whose weights
-change. Shards fill racks and racks fill regions in order, so a shard added to full
-racks opens a subtree of its own and takes rows only into itself.
+change. Shards fill racks and racks fill regions in order; a shard that is added later
+opens a region of its own, so it takes rows only into itself.
 """
 
 from __future__ import annotations
@@ -41,14 +41,15 @@ def _pick(key: Column, level: str, parent: Column, weights: Column) -> Column:
     return -F.array_max(F.transform(weights, draw))["i"]
 
 
-def place(key: Column, weights: Sequence[float], shards_per_rack: int = SHARDS_PER_RACK, racks_per_region: int = RACKS_PER_REGION) -> Column:
-    """Shard of a key, from 0."""
+def place(key: Column, weights: Sequence[float], shards_per_rack: int = SHARDS_PER_RACK, racks_per_region: int = RACKS_PER_REGION, added: Sequence[float] = ()) -> Column:
+    """Shard of a key, from 0; each weight of ``added`` is one more shard in a region of its own."""
     top, regions, racks = tree(weights, shards_per_rack, racks_per_region)
     real = lambda xs: F.array(*[F.lit(float(x)) for x in xs])
     nested = lambda xss: F.array(*[real(xs) for xs in xss])
-    region = _pick(key, "region", F.lit(0), real(top))
-    rack = region * racks_per_region + _pick(key, "rack", region, F.element_at(nested(regions), (region + 1).cast("int")))
-    return (rack * shards_per_rack + _pick(key, "shard", rack, F.element_at(nested(racks), (rack + 1).cast("int")))).cast("int")
+    region = _pick(key, "region", F.lit(0), real([*top, *added]))
+    rack = region * racks_per_region + _pick(key, "rack", region, F.get(nested(regions), region))
+    own = rack * shards_per_rack + _pick(key, "shard", rack, F.get(nested(racks), rack))
+    return F.when(region >= len(top), region - len(top) + len(weights)).otherwise(own).cast("int")
 
 
 def shard(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id", text_col: str = "text", weights: Sequence[float] | None = None) -> DataFrame:
@@ -68,7 +69,7 @@ def shard(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id", text_col:
         (F.octet_length("body") + OVERHEAD).cast("long").alias("size"),
         F.crc32("body").alias("text_crc32"),
         place(F.col("id"), weights).alias("shard"),
-        place(F.col("id"), [*weights, sum(weights) / len(weights)]).alias("grown_shard"),
+        place(F.col("id"), weights, added=[sum(weights) / len(weights)]).alias("grown_shard"),
         F.monotonically_increasing_id().alias("row"),
     )
     rows = written(rows.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(spread)).cast("int")), "shards")

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from braidlog.functions.runtime import shared_dir, shuffle_partitions, written
+from braidlog.functions.runtime import delete_at_exit, shared_dir, shuffle_partitions, written
 
 #: Payloads shorter than this are always stored; raw bytes after which a new archive begins.
 LEAST_REVISIT, ARCHIVE_BYTES = 100, 64 << 20
@@ -226,8 +226,12 @@ def read(index: DataFrame, folder: str) -> DataFrame:
 def round_trip(pages: DataFrame, folder: str | None = None) -> DataFrame:
     """Archive every page, normalise the archives and read them back: one row for every page.
 
-    An empty table gives no archive and no rows. Other columns are not read.
+    Ids must be integers. A null id is written and read back as null, repeated rows are
+    records of their own, and a null payload is empty. An empty table gives no archive and no
+    rows. Other columns are not read. A folder of our own is deleted when the driver ends.
     """
-    folder = folder or f"{shared_dir(pages.sparkSession)}/braidlog-warc-{uuid.uuid4().hex}"
+    if folder is None:
+        folder = f"{shared_dir(pages.sparkSession)}/braidlog-warc-{uuid.uuid4().hex}"
+        delete_at_exit(pages.sparkSession, folder)
     archives = write_monolithic(assign(pages), folder, writers_for(pages))
     return read(normalise(archives, folder), folder)

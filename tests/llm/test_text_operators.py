@@ -327,6 +327,40 @@ def test_shards(docs, rows, empty, odd):
         shard.tree([])
 
 
+@pytest.mark.parametrize("n", [1, 10, 40])
+def test_places_equal_plain_python(spark, n):
+    """Draws by the public hash, in plain Python; a shard added to racks that are not full takes rows only into itself."""
+    import math
+    import struct
+
+    import xxhash
+
+    weights = [1.0 + i % 3 for i in range(n)]
+
+    def pick(key, level, parent, own):
+        def draw(i):
+            h = xxhash.xxh64_intdigest(level.encode(), 42)
+            for data in (struct.pack("<i", parent), struct.pack("<i", i), struct.pack("<q", key)):
+                h = xxhash.xxh64_intdigest(data, h)
+            return math.log(((h & (1 << 53) - 1) + 1.0) / (1 << 53)) / own[i]
+
+        return max(range(len(own)), key=lambda i: (draw(i), -i))
+
+    def where(key, added):
+        racks = [weights[i : i + 4] for i in range(0, n, 4)]
+        regions = [racks[i : i + 2] for i in range(0, len(racks), 2)]
+        region = pick(key, "region", 0, [sum(map(sum, r)) for r in regions] + added)
+        if region == len(regions):
+            return n
+        rack = region * 2 + pick(key, "rack", region, [sum(r) for r in regions[region]])
+        return rack * 4 + pick(key, "shard", rack, racks[rack])
+
+    df = spark.range(-200, 200).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"), F.lit(1).alias("shard"))
+    got = {r.doc_id: (r.shard, r.grown_shard) for r in shard.shard(df, n, weights=weights).collect()}
+    assert got == {i: (where(i, []), where(i, [sum(weights) / n])) for i in range(-200, 200)}
+    assert all(b in (a, n) for a, b in got.values()) and any(b == n for _, b in got.values())
+
+
 def test_weights_and_movement(spark):
     ids = spark.range(20000)
     place = lambda w: {r.id: r.s for r in ids.select("id", shard.place(F.col("id"), w).alias("s")).collect()}
@@ -521,6 +555,8 @@ def test_warc_round_trip(spark, tmp_path):
         _, at, size = line.split("\t")
         assert zlib.decompress(first.read_bytes()[int(at) : int(at) + int(size)], 31).startswith(b"WARC/1.1")
     assert warc.round_trip(pages.limit(0)).count() == 0
+    twice = sorted((r.page_id, r.record_type) for r in warc.round_trip(pages.where("page_id = 1").union(pages.where("page_id in (1, 2)"))).collect())
+    assert twice == [(1, "response"), (1, "response"), (2, "revisit")]
 
 
 # --- 10: chunk recipes ----------------------------------------------------------------------
