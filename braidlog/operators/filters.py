@@ -111,25 +111,22 @@ def on_paths(log: Log, object_type: str, pairs: list[tuple[str, str]], positive:
     return own.join(hit, "event_id", "left_semi" if positive else "left_anti")
 
 
-def clean_rare_arcs(log: Log, object_type: str, least: int, rounds: int = 20) -> DataFrame:
+def clean_rare_arcs(log: Log, object_type: str, least: int) -> DataFrame:
     """Drop events until every directly-follows pair of the type occurs ``least`` times.
 
     An event that is only on rare pairs goes, which makes new pairs; a round that drops
     nothing ends the loop. The event set is written between rounds.
     """
     current = log
-    kept = log.events.select("event_id")
-    for _ in range(rounds):
+    while True:  # every round but the last drops events
         edges = follows(current).where(F.col("object_type") == object_type)
         common = edges.groupBy("src_activity", "dst_activity").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
         good = edges.join(F.broadcast(common), ["src_activity", "dst_activity"], "left_semi")  # pairs of activities are few
         ids = written(good.select(F.explode(F.array("src", "dst")).alias("event_id")).distinct(), "arcs")
         before, after = current.e2o.where(F.col("object_type") == object_type).select("event_id").distinct().count(), ids.count()
-        kept = ids
         if before == after:
-            break
+            return ids
         current = replace(log, events=log.events.join(ids, "event_id", "left_semi"), e2o=log.e2o.join(ids, "event_id", "left_semi"))
-    return kept
 
 
 def by_rules(log: Log, rules: DataFrame) -> Log:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from braidlog.model import Log
@@ -41,6 +41,22 @@ def matches(instances: DataFrame, pattern: tuple) -> DataFrame:
     return joined.select(F.concat("u1", "u2").alias("used"), F.least("s1", "s2").alias("start"), F.greatest("e1", "e2").alias("end"))
 
 
+def count_before(instances: DataFrame, left: str, right: str, bin_width: int = 3_600_000_000) -> DataFrame:
+    """One row ``(n, first)``: how many instance pairs satisfy ``("before", left, right)``, and the earliest start of one.
+
+    Counts what ``matches`` lists. Ends and starts are put in order within bins of time, and
+    running totals over the bins add what lies before: no pair is made.
+    """
+    ends = instances.where(F.col("name") == left).select(F.col("end").alias("at"), F.lit(1).alias("is_end"), F.col("start").alias("start"))
+    starts = instances.where(F.col("name") == right).select(F.col("start").alias("at"), F.lit(0).alias("is_end"), F.lit(None).cast("long").alias("start"))
+    points = ends.union(starts).withColumn("bin", F.floor(F.col("at") / bin_width))
+    bins = points.groupBy("bin").agg(F.sum(1 - F.col("is_end")).alias("k"))
+    bins = bins.select("bin", (F.sum("k").over(Window.orderBy("bin")) - F.col("k")).alias("earlier"), F.sum("k").over(Window.partitionBy()).alias("total"))  # a row for each bin
+    up_to = F.sum(1 - F.col("is_end")).over(Window.partitionBy("bin").orderBy("at", "is_end").rowsBetween(Window.unboundedPreceding, 0))
+    later = points.withColumn("up_to", up_to).where("is_end = 1").join(bins, "bin").select("start", (F.col("total") - F.col("earlier") - F.col("up_to")).alias("n"))
+    return later.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.min(F.when(F.col("n") > 0, F.col("start"))).alias("first"))
+
+
 def schedule(actions: list[tuple[str, float]], precedence: list[tuple[str, str]]) -> list[tuple[str, float, float]]:
     """Earliest ``(action, start, end)`` hours; the longest duration of an action counts, predecessors end first."""
     longest: dict[str, float] = {}

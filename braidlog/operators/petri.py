@@ -171,7 +171,7 @@ def process_tree(nodes: set[str], edges: set[tuple[str, str]], starts: set[str],
         merged = [g for g in groups if g & own]
         groups = [g for g in groups if not g & own] + [own.union(*merged)]
     if len(groups) > 1:
-        groups.sort(key=lambda g: sum(any(m in reach[n] for n in o for m in g) for o in groups if o is not g))
+        groups = sorted(groups, key=lambda g: sum(any(m in reach[n] for n in o for m in g) for o in groups if o is not g))
         children = []
         for i, g in enumerate(groups):
             into = {b for a, b in edges if a not in g and b in g} | (starts & g)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import json
 from collections import Counter, deque
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from braidlog.model import Log
@@ -119,13 +120,43 @@ def token_visits(log: Log, net: Net) -> DataFrame:
     return visits.select("event_id", "object_id", "object_type", "place", F.timestamp_micros("a").alias("arrived"), F.timestamp_micros("b").alias("left"))
 
 
+CONTEXT = "array<struct<object_type:string,activities:array<string>>>"
+
+
 def contexts(log: Log, pe_events: DataFrame) -> DataFrame:
-    """``(event_id, context)``: the multiset of its objects' activity prefixes in the execution, as a sorted string."""
-    w = Window.partitionBy("pe_id", "object_type", "object_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    timed = pe_events.join(log.timed(), "event_id")
-    prefix = F.concat_ws(">", F.collect_list("activity").over(w))
-    each = timed.select("pe_id", "event_id", F.concat("object_type", F.lit(":"), prefix).alias("p"))
-    return each.groupBy("pe_id", "event_id").agg(F.array_join(F.sort_array(F.collect_list("p")), "|").alias("context"))
+    """``(pe_id, event_id, context)``: a sorted multiset of the prefixes of all objects of an event and its ancestors.
+
+    An object's prefix holds its activities among the event's ancestors in the execution's
+    graph. Those are always the object's first events, so an event carries how many of each
+    object's came before it: the largest numbers of its direct predecessors, and those
+    themselves. Each execution is worked on by itself; ties in time are broken by event id.
+    """
+    own = F.sort_array(F.collect_set(F.struct("object_type", "object_id"))).alias("objects")
+    events = pe_events.join(log.timed(), "event_id").groupBy("pe_id", "ts", "event_id", "activity").agg(own)
+    packed = events.groupBy("pe_id").agg(F.to_json(F.sort_array(F.collect_list(F.struct("ts", "event_id", "activity", "objects")))).alias("events"))
+
+    def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for pe_id, text in zip(batch["pe_id"], batch["events"], strict=True):
+                acts: dict[tuple[str, str], list[str]] = {}
+                last: dict[tuple[str, str], dict] = {}  # what an object's next event has before it
+                for event in json.loads(text):
+                    objects = [(o["object_type"], o["object_id"]) for o in event["objects"]]
+                    before: dict[tuple[str, str], int] = {}
+                    for o in objects:
+                        for other, n in last.get(o, {}).items():
+                            before[other] = max(n, before.get(other, 0))
+                    context = sorted((kind, acts[kind, key][: before[kind, key]]) if (kind, key) in before else (kind, []) for kind, key in {*before, *objects})
+                    out.append((pe_id, event["event_id"], json.dumps([{"object_type": kind, "activities": prefix} for kind, prefix in context])))
+                    for o in objects:
+                        acts.setdefault(o, []).append(event["activity"])
+                    after = before | {o: len(acts[o]) for o in objects}
+                    last |= dict.fromkeys(objects, after)
+            yield pd.DataFrame(out, columns=["pe_id", "event_id", "context"])
+
+    found = packed.mapInPandas(kernel, f"pe_id {pe_events.schema['pe_id'].dataType.simpleString()}, event_id string, context string")
+    return found.withColumn("context", F.from_json("context", CONTEXT))
 
 
 def enabled_by_model(net: Net, prefixes: list[tuple[str, list[str]]]) -> set[str]:
@@ -159,14 +190,13 @@ def precision_fitness(log: Log, net: Net, pe_events: DataFrame) -> DataFrame:
     over the others, fitness the mean of common / log over all, skipped ones counting 0.
     """
     own = contexts(log, pe_events).join(log.events.select("event_id", "activity"), "event_id")
-    per = own.groupBy("context").agg(F.sort_array(F.collect_set("activity")).alias("in_log"), F.count(F.lit(1)).alias("n"))
+    per = own.groupBy("context").agg(F.sort_array(F.collect_set("activity")).alias("in_log"), F.count(F.lit(1)).alias("n")).withColumn("context", F.to_json("context"))
 
     def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for context, in_log, n in batch.itertuples(index=False):
-                prefixes = [(kind, acts.split(">") if acts else []) for kind, _, acts in (p.partition(":") for p in context.split("|"))]
-                model = enabled_by_model(net, prefixes)
+                model = enabled_by_model(net, [(c["object_type"], c["activities"]) for c in json.loads(context)])
                 out.append((n, len(set(in_log)), len(model), len(model & set(in_log))))
             yield pd.DataFrame(out, columns=["n", "n_log", "n_model", "n_both"])
 

@@ -91,10 +91,15 @@ def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.extract(log, user_executions(log), [("event_activity", {"activity": "view"}), ("elapsed_time", {})])
 
 
-@query("feature_sequences")
+@query(
+    "feature_sequences",
+    f"""{FEAT}, fv AS (SELECT pe_id, event_id, ts, CASE WHEN activity = 'view' THEN 1.0::DOUBLE ELSE 0 END AS v, CAST(us - min(us) OVER (PARTITION BY pe_id) AS DOUBLE) / 1e6 AS t FROM b)
+    SELECT pe_id, event_id, lag(v, 2) OVER w AS v0, lag(t, 2) OVER w AS t0, lag(v, 1) OVER w AS v1, lag(t, 1) OVER w AS t1, v AS v2, t AS t2 FROM fv WINDOW w AS (PARTITION BY pe_id ORDER BY ts, event_id) QUALIFY lag(v, 2) OVER w IS NOT NULL""",
+)
 def feature_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = stream_log(spark, sf_dir)
-    return features.sequences(log, features.extract(log, user_executions(log), [("event_activity", {"activity": "view"}), ("elapsed_time", {})]), 3)
+    out = features.sequences(log, features.extract(log, user_executions(log), [("event_activity", {"activity": "view"}), ("elapsed_time", {})]), 3)
+    return out.select("pe_id", "event_id", *[F.get(F.get("sequence", F.lit(i)), F.lit(k)).alias(f"{name}{i}") for i in range(3) for k, name in enumerate("vt")])
 
 
 @query("scaled_split")
@@ -421,17 +426,18 @@ def tree_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.quality(root, rows) if root else spark.createDataFrame([(status,)], "status string")
 
 
-CROSS_SQL = f"""WITH {A}, {U}, m AS (SELECT DISTINCT 'activity' AS tree, activity AS leaf, pe_id FROM pe JOIN ev USING (event_id) WHERE CAST(ev.event_id AS BIGINT) % 7 = 0 UNION SELECT DISTINCT 'user', right(pe_id, 1), pe_id FROM pe),
+CROSS_SQL = f"""WITH {A}, {U}, m AS (SELECT 'first' AS tree, arg_min(activity, (ts, event_id)) AS leaf, pe_id FROM pe JOIN ev USING (event_id) GROUP BY pe_id UNION SELECT DISTINCT 'user', right(pe_id, 1), pe_id FROM pe),
 x AS (SELECT a.tree AS tree_a, a.leaf AS leaf_a, b.tree AS tree_b, b.leaf AS leaf_b, count(*) AS n_both FROM m a JOIN m b ON a.pe_id = b.pe_id AND a.tree <> b.tree GROUP BY 1, 2, 3, 4),
 s AS (SELECT *, n_both / sum(n_both) OVER (PARTITION BY tree_a, leaf_a, tree_b) AS share FROM x)
 """
 
 
 def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two ways to split the users: by an activity of every seventh event, and by the last digit."""
+    """Two ways to split the users: by their first activity, and by the last digit."""
     log = stream_log(spark, sf_dir)
     pe = user_executions(log)
-    acts = pe.join(log.events, "event_id").where(F.col("event_id").cast("long") % 7 == 0).select(F.lit("activity").alias("tree"), F.col("activity").alias("leaf"), "pe_id")
+    first = F.min_by("activity", F.struct("ts", "event_id")).alias("leaf")
+    acts = pe.join(log.events, "event_id").groupBy("pe_id").agg(first).select(F.lit("first").alias("tree"), "leaf", "pe_id")
     return acts.union(pe.select(F.lit("user"), F.substring("pe_id", -1, 1), "pe_id")).distinct()
 
 
@@ -461,10 +467,18 @@ def situation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return explorer.situation(bundle, 0, ["click>view"], ["duration", "n_events"])
 
 
-@query("config_ranking", "SELECT config, gap, r2, pairs, CAST(score AS DOUBLE) AS score FROM (VALUES (1, 4.0::DOUBLE, 0.5::DOUBLE, CAST(2 AS BIGINT), 0.6 * 1.0 + 0.3 * 0.5 + 0.1 * 1.0), (2, 2.0, NULL, 1, 0.6 * 0.5 + 0.0 + 0.1 * 0.5), (3, 0.0, -1.0, 0, 0.0)) t(config, gap, r2, pairs, score)")
+@query(
+    "config_ranking",
+    f"""WITH {A}, k AS (SELECT activity, object_id, count(*) AS n FROM timed WHERE object_type = 'user' GROUP BY 1, 2),
+    c AS (SELECT activity AS config, CAST(max(n) - min(n) AS DOUBLE) AS gap, min(n) / max(n) AS r2, count(*) AS pairs FROM k GROUP BY 1)
+    SELECT config, gap, r2, pairs, round(0.6 * coalesce(gap / nullif(max(gap) OVER (), 0), 0) + 0.3 * r2 + 0.1 * pairs / max(pairs) OVER (), 6) AS score FROM c""",
+)
 def config_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, 4.0, 0.5, 2), (2, 2.0, None, 1), (3, 0.0, -1.0, 0)], "config int, gap double, r2 double, pairs long")
-    return tree.rank_configs(rows)
+    """Activities as configurations: the spread of their counts over users, how even they are, and how many users have them."""
+    n = stream_log(spark, sf_dir).timed().where("object_type = 'user'").groupBy(F.col("activity").alias("config"), "object_id").agg(F.count(F.lit(1)).alias("n"))
+    low, high = F.min("n"), F.max("n")
+    rows = n.groupBy("config").agg((high - low).cast("double").alias("gap"), (low / high).alias("r2"), F.count(F.lit(1)).alias("pairs"))
+    return tree.rank_configs(rows).withColumn("score", r6("score"))
 
 
 # --- variants, restructuring, nets ---------------------------------------------------------
@@ -537,14 +551,17 @@ def replay_performance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "contexts",
-    f"""WITH {B}, p AS (SELECT event_id, object_type || ':' || coalesce(string_agg(activity, '>') OVER (PARTITION BY object_type, object_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS p FROM timed WHERE object_type = 'order'),
-    c AS (SELECT event_id, string_agg(p, '|' ORDER BY p) AS context FROM p GROUP BY 1) SELECT context, count(*) AS n FROM c GROUP BY 1""",
+    f"""WITH {B}, t AS (SELECT p.object_id AS pe_id, timed.*, dense_rank() OVER (PARTITION BY p.object_id ORDER BY ts, timed.event_id) AS r FROM e2o p JOIN timed ON timed.event_id = p.event_id WHERE p.object_type = 'order'),
+    e AS (SELECT DISTINCT pe_id, event_id, r FROM t),
+    o AS (SELECT e.pe_id, e.event_id, t.object_type || ':' || coalesce(string_agg(t.activity, '>' ORDER BY t.r) FILTER (t.r < e.r), '') AS p FROM e JOIN t ON t.pe_id = e.pe_id AND t.r <= e.r GROUP BY e.pe_id, e.event_id, t.object_type, t.object_id),
+    c AS (SELECT pe_id, event_id, string_agg(p, '|' ORDER BY p) AS context FROM o GROUP BY 1, 2) SELECT context, count(*) AS n FROM c GROUP BY 1""",
 )
 def contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contexts in the executions of all orders, with all objects; an order's events all come before its next one."""
     log = commerce_log(spark, sf_dir)
-    own = log.with_relations(log.e2o.where("object_type = 'order'"))
-    pe = traces.flatten(own, "order").select(F.col("case_id").alias("pe_id"), "event_id")
-    return replay.contexts(own, pe).groupBy("context").agg(F.count(F.lit(1)).alias("n"))
+    pe = traces.flatten(log, "order").select(F.col("case_id").alias("pe_id"), "event_id")
+    text = F.transform("context", lambda c: F.concat(c["object_type"], F.lit(":"), F.array_join(c["activities"], ">")))
+    return replay.contexts(log, pe).groupBy(F.array_join(F.sort_array(text), "|").alias("context")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("precision_fitness")
@@ -572,14 +589,13 @@ def impact_performance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "interval_patterns",
-    f"""WITH {A}, i AS (SELECT activity AS name, us AS s, us + 60000000 AS e FROM ev WHERE activity IN ('signup', 'error') AND CAST(event_id AS BIGINT) < 300) SELECT count(*) AS n, min(a.s) AS first FROM i a JOIN i b ON a.name = 'signup' AND b.name = 'error' AND a.e < b.s""",
+    f"""WITH {A}, i AS (SELECT activity AS name, us AS s, us + 60000000 AS e FROM ev WHERE activity IN ('signup', 'error')) SELECT count(*) AS n, min(a.s) AS first FROM i a JOIN i b ON a.name = 'signup' AND b.name = 'error' AND a.e < b.s""",
 )
 def interval_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = stream_log(spark, sf_dir)
     us = traces.micros("ts")
-    few = log.events.where("activity in ('signup', 'error') and cast(event_id as bigint) < 300")
-    instances = few.select(F.col("activity").alias("name"), us.alias("start"), (us + 60_000_000).alias("end"))
-    return impact.matches(instances, ("before", "signup", "error")).agg(F.count(F.lit(1)).alias("n"), F.min("start").alias("first"))
+    instances = log.events.select(F.col("activity").alias("name"), us.alias("start"), (us + 60_000_000).alias("end"))
+    return impact.count_before(instances, "signup", "error")
 
 
 @query("workflow")
@@ -600,7 +616,7 @@ def metric_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return constraints.metric_table(stream_log(spark, sf_dir), "key", [("view", "click")])
 
 
-@query("correlated_graphs")
+@query("correlated_graphs", f"WITH {B} SELECT min(event_id) OVER (PARTITION BY object_id) AS pe_id, src, event_id AS dst FROM (SELECT object_id, event_id, lag(event_id) OVER (PARTITION BY object_id ORDER BY ts, event_id) AS src FROM timed WHERE object_type = 'order') QUALIFY src IS NOT NULL")
 def correlated_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = order_log(spark, sf_dir)
     return executions.correlated_graphs(log.with_relations(log.e2o.where("object_type = 'order'")))

@@ -213,6 +213,95 @@ def test_discovery_replay_and_reduction(spark, orders):
     assert (result.precision, result.fitness, result.n_skipped) == (1.0, 1.0, 0)
     tree_ = petri.process_tree({"a", "b", "c", "d"}, {("a", "b"), ("a", "c"), ("b", "c"), ("c", "b"), ("b", "d"), ("c", "d")}, {"a"}, {"d"})
     assert tree_ == ("seq", ("act", "a"), ("and", ("act", "b"), ("act", "c")), ("act", "d"))
+    assert petri.process_tree({"a", "z", "d"}, {("a", "z"), ("z", "d")}, {"a"}, {"d"}) == ("seq", ("act", "a"), ("act", "z"), ("act", "d"))
+
+
+def small_log(spark, rows):
+    """``rows(event, activity, time, objects as type:name)`` as a log."""
+    from datetime import datetime
+
+    from braidlog.model import Log
+
+    events = spark.createDataFrame([(e, a, datetime(2020, 1, 1, 0, t)) for e, a, t, _ in rows], "event_id string, activity string, ts timestamp").withColumns({"start_ts": F.lit(None).cast("timestamp"), "attrs": F.lit(None).cast("map<string,string>")})
+    e2o = spark.createDataFrame([(e, o, o.split(":")[0], None) for e, _, _, objects in rows for o in objects], "event_id string, object_id string, object_type string, qualifier string")
+    objects = e2o.select("object_id", "object_type").distinct().withColumn("attrs", F.lit(None).cast("map<string,string>"))
+    o2o = spark.createDataFrame([], "source_id string, target_id string, qualifier string")
+    return Log(events, objects, e2o, o2o, spark.createDataFrame([], "object_id string, object_type string, ts timestamp, field string, value string"))
+
+
+def test_contexts_hold_the_objects_of_ancestors(spark):
+    rows = [("1", "a", 1, ["item:1"]), ("2", "b>x|y:z", 2, ["item:1", "order:1"]), ("3", "c", 3, ["order:1"]), ("4", "d", 4, ["order:2"])]
+    log = small_log(spark, rows)
+    pe = log.events.select(F.lit("x").alias("pe_id"), "event_id")
+    got = {r.event_id: [(c.object_type, c.activities) for c in r.context] for r in replay.contexts(log, pe).collect()}
+    odd = "b>x|y:z"
+    assert got == {"1": [("item", [])], "2": [("item", ["a"]), ("order", [])], "3": [("item", ["a", odd]), ("order", [odd])], "4": [("order", [])]}
+
+
+def test_contexts_equal_plain_closure(spark):
+    import random
+
+    rnd = random.Random(2)
+    for seed in range(2):
+        rows = [(f"{k:02d}", rnd.choice("abc"), k, sorted({f"{t}:{rnd.randrange(3)}" for t in rnd.sample(["p", "q", "r"], 2)})) for k in range(25)]
+        log = small_log(spark, rows)
+        edges: dict = {}
+        for k, (e, _, _, objects) in enumerate(rows):
+            for o in objects:
+                earlier = [x[0] for x in rows[:k] if o in x[3]]
+                if earlier:
+                    edges.setdefault(e, set()).add(earlier[-1])
+
+        def ancestors(e, edges=edges):
+            return set().union(*[{p} | ancestors(p) for p in edges.get(e, ())])
+
+        want = {}
+        for e, _, _, own in rows:
+            past = ancestors(e)
+            objects = {o for x in rows if x[0] in past for o in x[3]} | set(own)
+            want[e] = sorted((o[0], [x[1] for x in rows if x[0] in past and o in x[3]]) for o in objects)
+        pe = log.events.select(F.lit("x").alias("pe_id"), "event_id")
+        assert {r.event_id: [(c.object_type, list(c.activities)) for c in r.context] for r in replay.contexts(log, pe).collect()} == want
+
+
+def test_names_with_marks_do_not_change_precision(spark):
+    results = set()
+    for name in ("b", "b>c", "b|c", "order:b"):
+        log = small_log(spark, [(str(i), a, i, ["order:1"]) for i, a in enumerate(["a", name, "d"])])
+        pe = log.events.select(F.lit("x").alias("pe_id"), "event_id")
+        r = replay.precision_fitness(log, petri.discover(log), pe).first()
+        results.add((r.precision, r.fitness, r.n_skipped))
+    assert results == {(1.0, 1.0, 0)}
+
+
+def test_before_is_counted_as_it_is_listed(spark):
+    import random
+
+    rnd = random.Random(5)
+    rows = [(rnd.choice("ab"), at := rnd.randrange(200), at + rnd.randrange(20)) for _ in range(300)]
+    df = spark.createDataFrame(rows, "name string, start long, end long").repartition(4)
+    listed = impact.matches(df, ("before", "a", "b")).agg(F.count(F.lit(1)), F.min("start")).first()
+    for width in (7, 1000):
+        assert impact.count_before(df, "a", "b", width).first()[:] == listed[:]
+    assert impact.count_before(df.limit(0), "a", "b").first()[:] == (0, None)
+
+
+def test_rare_arcs_go_until_none_is_left(spark):
+    import random
+    from collections import Counter
+
+    rnd = random.Random(9)
+    rows = [(f"{o}-{k:02d}", rnd.choice("aabbc"), k, [f"order:{o}"]) for o in range(6) for k in range(8)]
+    left = {r[0] for r in rows}
+    while True:
+        pairs = [(x, y) for o in range(6) for t in [[r for r in rows if r[0] in left and r[3] == [f"order:{o}"]]] for x, y in zip(t, t[1:], strict=False)]
+        n = Counter((x[1], y[1]) for x, y in pairs)
+        kept = {e for x, y in pairs if n[x[1], y[1]] >= 6 for e in (x[0], y[0])}
+        if kept == left:
+            break
+        left = kept
+    log = small_log(spark, rows)
+    assert {r.event_id for r in filters.clean_rare_arcs(log, "order", 6).collect()} == left
 
 
 def test_filters(spark, orders):
