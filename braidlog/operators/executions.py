@@ -32,6 +32,26 @@ def graph_executions(log: Log) -> DataFrame:
     return connected_components(edges, "src", "dst").select(F.col("component").alias("pe_id"), F.col("node").alias("event_id"))
 
 
+def selected_components(log: Log, types: list[str] | None = None, activities: list[str] | None = None) -> DataFrame:
+    """``(component, object_id, size, size_rank)``: objects connected through events of the chosen activities and types.
+
+    A component is named by its smallest object, its size is the number of its objects, and rank
+    1 is the largest; components of one size share a rank. Ranks come from the histogram of
+    sizes, so nothing is sorted as a whole. An object without a chosen event is not listed.
+    """
+    e2o = log.e2o if types is None else log.e2o.where(F.col("object_type").isin(types))
+    if activities is not None:
+        e2o = e2o.join(log.events.where(F.col("activity").isin(activities)).select("event_id"), "event_id", "left_semi")
+    low = e2o.groupBy("event_id").agg(F.min("object_id").alias("low"))
+    edges = e2o.join(low, "event_id").select(F.col("object_id").alias("a"), F.col("low").alias("b")).distinct()
+    found = written(connected_components(edges, "a", "b").select("component", F.col("node").alias("object_id")), "components")
+    sizes_ = found.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    larger = Window.orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)
+    ranks = sizes_.groupBy("size").agg(F.count(F.lit(1)).alias("n"))  # a row for each different size: n objects have at most sqrt(2 n)
+    ranks = ranks.select("size", (F.coalesce(F.sum("n").over(larger), F.lit(0)) + 1).alias("size_rank"))
+    return found.join(sizes_.join(ranks, "size"), "component").select("component", "object_id", "size", "size_rank")
+
+
 def leading_objects(log: Log, leading: str) -> DataFrame:
     """``(pe_id, object_id, object_type, level)``: objects reached from every object of the leading type.
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from braidlog.model import Log
-from braidlog.operators.traces import event_graph, micros, seconds
+from braidlog.operators.traces import event_graph, follows, micros, seconds
 
 AGGREGATES = {"avg": F.avg, "med": F.median, "std": F.stddev_samp, "sum": F.sum, "min": F.min, "max": F.max}
 
@@ -95,3 +95,46 @@ def replay_times(visits: DataFrame, log: Log) -> DataFrame:
         s(F.col("last") - F.col("first")).alias("synchronization"), s(F.col("type_last") - F.col("type_first")).alias("pooling"),
         s(F.col("type_last") - F.col("first")).alias("lagging"), s(F.col("us") - F.col("first")).alias("flow"),
     )
+
+
+def correlated_metrics(log: Log, pe_events: DataFrame, activities: list[str] | None = None, sync: tuple[str, str] | None = None) -> DataFrame:
+    """Times in seconds and frequencies of every correlated graph, or of its part with the given activities.
+
+    The context of a graph is the direct predecessors of its first event, whether of the part or
+    not. ``waiting`` runs from the latest of them to the first event, ``service`` from the first
+    to the last event, ``sojourn`` from the context (without one: the first event) to the last
+    event, and ``sync`` is the gap between the latest predecessors that share an object of either
+    of two types. Without a context, waiting and sync are null. Graphs without an event of the
+    part have no row. Events of equal time are ordered by id. ``n_interacting`` counts activities
+    with an event of several types. Two events of one graph may be far apart, so only the first
+    and last of each graph are compared with others.
+    """
+    at = log.events.select("event_id", "activity", micros("ts").alias("us"))
+    inner = pe_events.join(at, "event_id")
+    if activities is not None:
+        inner = inner.where(F.col("activity").isin(activities))
+    ends = inner.groupBy("pe_id").agg(F.min(F.struct("us", "event_id")).alias("lo"), F.max("us").alias("last"), F.count(F.lit(1)).alias("n_events"))
+    ends = ends.select("pe_id", F.col("lo.event_id").alias("dst"), F.col("lo.us").alias("first"), "last", "n_events")
+    linked = follows(log).join(ends.select("dst").distinct(), "dst", "left_semi").groupBy("src", "dst").agg(F.collect_set("object_type").alias("types"))
+    before = linked.join(at.select(F.col("event_id").alias("src"), F.col("us").alias("src_us")), "src")
+    latest = [F.max("src_us").alias("context")]
+    if sync is not None:
+        latest += [F.max(F.when(F.array_contains("types", t), F.col("src_us"))).alias(f"side_{i}") for i, t in enumerate(sync)]
+    context = before.groupBy("dst").agg(*latest)
+    own = inner.select("pe_id", "event_id", "activity").join(log.e2o, "event_id")
+    mixed = own.groupBy("pe_id", "event_id", "activity").agg(F.count_distinct("object_type").alias("n")).where("n > 1")
+    interacting = mixed.groupBy("pe_id").agg(F.count_distinct("activity").alias("n_interacting"))
+    objects = own.groupBy("pe_id").agg(F.count_distinct("object_id").alias("n_objects"), F.count_distinct("object_type").alias("n_types"))
+    out = ends.join(context, "dst", "left").join(objects, "pe_id", "left").join(interacting, "pe_id", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    gap = F.abs(F.col("side_0") - F.col("side_1")) if sync is not None else F.lit(None).cast("long")
+    return out.select(
+        "pe_id", seconds(F.col("first") - F.col("context")).alias("waiting"), seconds(F.col("last") - F.col("first")).alias("service"),
+        seconds(F.col("last") - F.coalesce("context", "first")).alias("sojourn"), seconds(gap).alias("sync"),
+        "n_events", zero("n_objects"), zero("n_types"), zero("n_interacting"),
+    )
+
+
+def correlated_objects(log: Log, pe_events: DataFrame) -> DataFrame:
+    """``(pe_id, object_type, n_objects)``: distinct objects of each type in every correlated graph."""
+    return pe_events.join(log.e2o, "event_id").groupBy("pe_id", "object_type").agg(F.count_distinct("object_id").alias("n_objects"))

@@ -209,3 +209,14 @@ def precision_fitness(log: Log, net: Net, pe_events: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.col("n") - used), F.lit(0)).alias("n_skipped"),
         F.coalesce(F.sum("n"), F.lit(0)).alias("n_events"),
     )
+
+
+def enhanced(log: Log, net: Net, pe_events: DataFrame) -> tuple[Net, DataFrame, DataFrame]:
+    """A net with its behaviour and diagnostics.
+
+    Behaviour is ``(sequence, n)``: every different activity sequence of an execution in time
+    order (ties by event id), and how many executions have it. Diagnostics are those of ``fitness``.
+    """
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "activity"))), lambda e: e["activity"])
+    runs = pe_events.join(log.events.select("event_id", "activity", "ts"), "event_id").groupBy("pe_id").agg(ordered.alias("sequence"))
+    return net, runs.groupBy("sequence").agg(F.count(F.lit(1)).alias("n")), fitness(log, net)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import io
 import json
 
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -115,6 +117,20 @@ def read_csv(spark: SparkSession, path: str, object_types: list[str], activity:
     return from_tables(spark, events.join(e2o.select("event_id").distinct(), "event_id", "left_semi"), objects, e2o)
 
 
+def write_csv(log: Log, path: str, object_types: list[str]) -> None:
+    """The wide table as a folder of CSV files that ``read_csv`` reads: attributes become columns, object ids list literals.
+
+    Attribute names are collected: there is one column for each. Ids must not hold quotes.
+    """
+    names = [r[0] for r in log.events.select(F.explode(F.map_keys("attrs"))).distinct().orderBy("col").collect()]
+    literal = lambda t: F.concat(F.lit("["), F.array_join(F.transform(F.col(f"`{t}`"), lambda o: F.concat(F.lit("'"), o, F.lit("'"))), ", "), F.lit("]")).alias(t)
+    wide = log.wide(object_types).join(log.events.select("event_id", "attrs"), "event_id")
+    wide.select(
+        "event_id", F.col("activity").alias("event_activity"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("event_timestamp"),
+        *[literal(t) for t in object_types], *[F.col("attrs")[n].alias(n) for n in names],
+    ).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+
+
 def read_parquet(spark: SparkSession, path: str) -> Log:
     """The five tables of the model: the format for large logs."""
     return Log(*[spark.read.parquet(f"{path}/{t}") for t in ("events", "objects", "e2o", "o2o", "object_changes")])
@@ -152,8 +168,12 @@ def _ocel2_rows(log: Log) -> tuple[DataFrame, DataFrame]:
 
 
 def _one_file(rows: list[tuple[str, DataFrame, str, str]], path: str) -> None:
-    """Stream rows into one text file: parts of ``(opening, one-column frame, separator, closing)``."""
-    with open(path, "w", encoding="utf-8") as out:
+    """Stream rows into one text file: parts of ``(opening, one-column frame, separator, closing)``.
+
+    ``path`` may name any file system that pyarrow knows by its scheme.
+    """
+    store, name = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    with store.open_output_stream(name, compression=None) as raw, io.TextIOWrapper(io.BufferedWriter(raw, 1 << 20), encoding="utf-8", newline="") as out:
         for opening, df, separator, closing in rows:
             out.write(opening)
             for i, r in enumerate(df.toLocalIterator()):

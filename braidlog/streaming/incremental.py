@@ -30,7 +30,9 @@ def windowed_activity(stream: DataFrame, width: str = "1 hour", slide: str | Non
 def directly_follows(stream: DataFrame) -> DataFrame:
     """Directly-follows pairs of every object as they arrive; the state is each object's last event.
 
-    Rows of one batch are put in time order; an object silent past the watermark is forgotten.
+    The rows of an object in one micro-batch are put in time order as a whole, however many
+    Arrow batches they come in, so ``maxFilesPerTrigger`` bounds the memory of a hot object. An
+    object silent past the watermark is forgotten.
     """
 
     def step(key: tuple[str, str], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -39,12 +41,11 @@ def directly_follows(stream: DataFrame) -> DataFrame:
             return
         last = state.get if state.exists else None
         out = []
-        for batch in batches:
-            for row in batch.sort_values(["ts", "event_id"]).itertuples(index=False):
-                now = row.ts.value // 1000
-                if last is not None:
-                    out.append((key[0], last[0], row.activity, (now - last[1]) / 1e6))
-                last = (row.activity, now)
+        for row in pd.concat(batches).sort_values(["ts", "event_id"]).itertuples(index=False):
+            now = row.ts.value // 1000
+            if last is not None:
+                out.append((key[0], last[0], row.activity, (now - last[1]) / 1e6))
+            last = (row.activity, now)
         state.update(last)
         state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, last[1] // 1000) + 86_400_000)
         yield pd.DataFrame(out, columns=["object_type", "src_activity", "dst_activity", "gap"])
