@@ -22,12 +22,12 @@ from braidlog.operators.hierarchy import Config, Lattice, relabel
 
 
 def node_labels(log: Log, pe_events: DataFrame, labels: DataFrame) -> DataFrame:
-    """``(pe_id, event_id, node)``: the activity with the event's object labels, each once (1) or more often (*)."""
+    """``(pe_id, event_id, node, ts)``: the activity with the event's object labels, each once (1) or more often (*)."""
     counts = log.e2o.join(labels.select("object_id", "label"), "object_id").groupBy("event_id", "label").agg(F.count_distinct("object_id").alias("n"))
     mark = F.concat("label", F.when(F.col("n") == 1, "^1").otherwise("^*"))
     sets = counts.groupBy("event_id").agg(F.sort_array(F.collect_list(mark)).alias("marks"))
-    named = log.events.join(sets, "event_id", "left").select("event_id", F.concat("activity", F.lit("{"), F.array_join(F.coalesce("marks", F.array().cast("array<string>")), ","), F.lit("}")).alias("node"))
-    return pe_events.join(named, "event_id").select("pe_id", "event_id", "node")
+    named = log.events.join(sets, "event_id", "left").select("event_id", "ts", F.concat("activity", F.lit("{"), F.array_join(F.coalesce("marks", F.array().cast("array<string>")), ","), F.lit("}")).alias("node"))
+    return pe_events.join(named, "event_id").select("pe_id", "event_id", "node", "ts")
 
 
 def edge_labels(log: Log, pe_events: DataFrame, labels: DataFrame) -> DataFrame:
@@ -35,31 +35,39 @@ def edge_labels(log: Log, pe_events: DataFrame, labels: DataFrame) -> DataFrame:
     return execution_edges(log, pe_events).join(labels.select("object_id", "label"), "object_id").select("pe_id", "src", "dst", "label").distinct()
 
 
-QUOTIENT = "pe_id string, n_nodes int, n_edges int, form string, nodes array<string>, edges array<struct<s:int,t:int,label:string>>"
+QUOTIENT = "digest string, n_nodes int, n_edges int, form string, nodes array<string>, edges array<struct<s:int,t:int,label:string>>"
 
 
 def behaviour(log: Log, pe_events: DataFrame, labels: DataFrame) -> DataFrame:
     """The quotient graph of every execution and its canonical form.
 
-    Nodes and edges of an execution meet as two packed rows, so a group is bounded by the
-    execution's own graph.
+    Events are numbered by label and time within their execution, so executions of the same
+    course have equal graphs; each different graph is reduced and brought into canonical form
+    once, and the executions join its result by digest. Nodes and edges of an execution meet
+    as two packed rows, so a group is bounded by the execution's own graph.
     """
-    nodes = node_labels(log, pe_events, labels).groupBy("pe_id").agg(F.sort_array(F.collect_list(F.struct("event_id", "node"))).alias("nodes"))
+    nodes = node_labels(log, pe_events, labels).groupBy("pe_id").agg(F.sort_array(F.collect_list(F.struct("node", "ts", "event_id"))).alias("nodes"))
     edges = edge_labels(log, pe_events, labels).groupBy("pe_id").agg(F.collect_list(F.struct("src", "dst", "label")).alias("edges"))
-    both = nodes.join(edges, "pe_id", "left").select("pe_id", F.to_json("nodes").alias("nodes"), F.to_json("edges").alias("edges"))
+    packed = nodes.join(edges, "pe_id", "left").select(
+        "pe_id", F.transform("nodes", lambda n: n["node"]).alias("nodes"), F.coalesce("edges", F.array().cast("array<struct<src:string,dst:string,label:string>>")).alias("edges"),
+        F.map_from_entries(F.transform("nodes", lambda n, i: F.struct(n["event_id"], i))).alias("at"),
+    )
+    links = F.array_sort(F.transform("edges", lambda e: F.struct(F.col("at")[e["src"]].alias("s"), F.col("at")[e["dst"]].alias("t"), e["label"].alias("label"))))
+    graph = packed.select("pe_id", F.to_json(F.struct("nodes", links.alias("links"))).alias("graph"))
+    graph = written(graph.withColumn("digest", F.sha2("graph", 256)), "executions")
+    different = graph.groupBy("digest").agg(F.max("graph").alias("graph"))
 
     def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for pe_id, nodes_json, edges_json in batch.itertuples(index=False):
-                rows = json.loads(nodes_json)
-                at = {r["event_id"]: i for i, r in enumerate(rows)}
-                links = [(at[e["src"]], at[e["dst"]], e["label"]) for e in json.loads(edges_json or "[]")]
-                names, abstract, _ = quotient([r["node"] for r in rows], links)
-                out.append((pe_id, len(names), len(abstract), canonical(names, abstract), names, [{"s": s, "t": t, "label": label} for s, t, label in abstract]))
-            yield pd.DataFrame(out, columns=["pe_id", "n_nodes", "n_edges", "form", "nodes", "edges"])
-
-    return both.mapInPandas(kernel, QUOTIENT)
+            for digest, text in batch[["digest", "graph"]].itertuples(index=False):
+                own = json.loads(text)
+                names, abstract, _ = quotient(own["nodes"], [(e["s"], e["t"], e["label"]) for e in own["links"]])
+                out.append((digest, len(names), len(abstract), canonical(names, abstract), names, [{"s": s, "t": t, "label": label} for s, t, label in abstract]))
+            yield pd.DataFrame(out, columns=["digest", "n_nodes", "n_edges", "form", "nodes", "edges"])
+
+    reduced = different.mapInPandas(kernel, QUOTIENT)
+    return graph.select("pe_id", "digest").join(reduced, "digest").select("pe_id", "n_nodes", "n_edges", "form", "nodes", "edges")
 
 
 def classes(graphs: DataFrame) -> DataFrame:

@@ -57,25 +57,24 @@ def leading_objects(log: Log, leading: str) -> DataFrame:
 
     A breadth-first search over co-occurring objects in which a type is admitted only at
     the level where it was first reached; the leading type is level 0, so other leading
-    objects never enter. There are fewer levels than types, each one join, and the state is
-    written after every level.
+    objects never enter. There are fewer levels than types. A level goes from objects to their
+    events and from there to objects, so an event of many objects makes no pairs, and only
+    the new level is written.
     """
     n_types = log.objects.select("object_type").distinct().count()
-    a = log.e2o.select("event_id", F.col("object_id").alias("from_id"))
-    b = log.e2o.select("event_id", "object_id", "object_type")
-    links = written(a.join(b, "event_id").where("from_id != object_id").select("from_id", "object_id", "object_type").distinct(), "links")
+    links = written(log.e2o.select("event_id", "object_id", "object_type"), "links")
+    hop = links.select("event_id", F.col("object_id").alias("from_id"))
     lead = log.objects.where(F.col("object_type") == leading).select(F.col("object_id").alias("pe_id"), "object_id", "object_type", F.lit(0).alias("level"))
-    state = lead.join(log.e2o.select("object_id").distinct(), "object_id", "left_semi").select("pe_id", "object_id", "object_type", "level")
-    state = written(state, "leading")
+    state = frontier = written(lead.join(links.select("object_id").distinct(), "object_id", "left_semi").select("pe_id", "object_id", "object_type", "level"), "leading")
     for level in range(1, n_types):
-        frontier = state.where(F.col("level") == level - 1).select("pe_id", F.col("object_id").alias("from_id"))
-        new = frontier.join(links, "from_id").select("pe_id", "object_id", "object_type").distinct()
+        events = frontier.select("pe_id", F.col("object_id").alias("from_id")).join(hop, "from_id").select("pe_id", "event_id").distinct()
+        new = events.join(links, "event_id").select("pe_id", "object_id", "object_type").distinct()
         seen = state.select("pe_id", "object_type").distinct()
         new = new.join(seen, ["pe_id", "object_type"], "left_anti").withColumn("level", F.lit(level))
-        grown = written(state.unionByName(new.select(*state.columns)), "leading")
-        if grown.where(F.col("level") == level).isEmpty():
+        frontier = written(new, "leading")
+        if frontier.isEmpty():
             break
-        state = grown
+        state = state.unionByName(frontier.select(*state.columns))
     return state
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from braidlog.model import Log
+from braidlog.operators import traces
 from braidlog.operators.traces import o2o_adjacency
 
 #: Labels in order of precision, for cardinalities and for lifespans.
@@ -23,42 +24,61 @@ def range_label(low: Column, high: Column) -> Column:
     )
 
 
+def _histogram(n: DataFrame, totals: DataFrame, types: DataFrame) -> DataFrame:
+    """For every pair of types the total, how many ``n`` are over 0 and how many 1, and the least and greatest of all.
+
+    ``n(source_type, target_type, n)`` lists counts over 0 only: zeros are what is left of the
+    totals ``(source_type, total)``, so they are never rows.
+    """
+    some = n.groupBy("source_type", "target_type").agg(
+        F.count(F.lit(1)).alias("hits"), F.sum(F.when(F.col("n") == 1, 1).otherwise(0)).alias("ones"), F.min("n").alias("least"), F.max("n").alias("most")
+    )
+    every = totals.join(F.broadcast(types)).join(some, ["source_type", "target_type"], "left")  # one row for each pair of types
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    every = every.select("source_type", "target_type", "total", zero("hits"), zero("ones"), zero("least"), zero("most"))
+    return every.withColumn("least", F.when(F.col("hits") < F.col("total"), F.lit(0)).otherwise(F.col("least")))
+
+
+def _buckets() -> list[Column]:
+    """How many counts fit each label, from a histogram."""
+    total, hits, ones = F.col("total"), F.col("hits"), F.col("ones")
+    counts = {"0": total - hits, "1": ones, "0..1": total - hits + ones, "1..*": hits, "0..*": total}
+    return [value.alias(f"n_{label}") for label, value in counts.items()]
+
+
 def _per_object(log: Log, pairs: DataFrame) -> DataFrame:
-    """Count of distinct neighbours of every object for every type, zeros included. ``pairs(source_id, source_type, target_id, target_type)``."""
+    """Histogram of distinct neighbours over all objects. ``pairs(source_id, target_id, target_type)`` may repeat."""
+    objects = log.objects.select(F.col("object_id").alias("source_id"), F.col("object_type").alias("source_type"))
+    n = pairs.groupBy("source_id", "target_type").agg(F.count_distinct("target_id").alias("n")).join(objects, "source_id")
     types = log.objects.select(F.col("object_type").alias("target_type")).distinct()
-    n = pairs.groupBy("source_id", "target_type").agg(F.count_distinct("target_id").alias("n"))
-    every = log.objects.select(F.col("object_id").alias("source_id"), F.col("object_type").alias("source_type")).join(F.broadcast(types))  # types are few
-    return every.join(n, ["source_id", "target_type"], "left").select("source_id", "source_type", "target_type", F.coalesce("n", F.lit(0)).alias("n"))
+    return _histogram(n, objects.groupBy("source_type").agg(F.count(F.lit(1)).alias("total")), types)
 
 
 def o2o_cardinality(log: Log) -> DataFrame:
     """Range label of object-to-object neighbours for every ordered pair of types."""
-    counts = _per_object(log, o2o_adjacency(log)).groupBy("source_type", "target_type").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    counts = _per_object(log, o2o_adjacency(log)).withColumnsRenamed({"least": "low", "most": "high"})
     return counts.select("source_type", "target_type", "low", "high", range_label(F.col("low"), F.col("high")).alias("label"))
 
 
-def _buckets(n: Column) -> list[Column]:
-    tests = {"0": n == 0, "1": n == 1, "0..1": n <= 1, "1..*": n >= 1, "0..*": F.lit(True)}
-    return [F.sum(F.when(test, 1).otherwise(0)).alias(f"n_{label}") for label, test in tests.items()]
-
-
 def event_cardinality(log: Log) -> DataFrame:
     """For every ordered pair of types, over the events with the first, how many objects of the second they have."""
-    types = log.e2o.select(F.col("object_type").alias("target_type")).distinct()
     n = log.e2o.groupBy("event_id", F.col("object_type").alias("target_type")).agg(F.count_distinct("object_id").alias("n"))
-    sources = log.e2o.select("event_id", F.col("object_type").alias("source_type")).distinct().join(F.broadcast(types))  # types are few
-    return sources.join(n, ["event_id", "target_type"], "left").groupBy("source_type", "target_type").agg(
-        F.count(F.lit(1)).alias("total"), *_buckets(F.coalesce(F.col("n"), F.lit(0)))
-    )
+    sources = n.select("event_id", F.col("target_type").alias("source_type"))
+    totals, types = sources.groupBy("source_type").agg(F.count(F.lit(1)).alias("total")), n.select("target_type").distinct()
+    return _histogram(sources.join(n, "event_id"), totals, types).select("source_type", "target_type", "total", *_buckets())
 
 
-def related_objects(log: Log, with_o2o: bool = True, with_self: bool = False) -> DataFrame:
-    """Distinct ordered pairs of objects that share an event (or an o2o relation)."""
+def _pairs(log: Log, with_self: bool) -> DataFrame:
+    """Ordered pairs of objects for every event that they share."""
     a = log.e2o.select("event_id", F.col("object_id").alias("source_id"), F.col("object_type").alias("source_type"))
     b = log.e2o.select("event_id", F.col("object_id").alias("target_id"), F.col("object_type").alias("target_type"))
     pairs = a.join(b, "event_id").select("source_id", "source_type", "target_id", "target_type")
-    if not with_self:
-        pairs = pairs.where(F.col("source_id") != F.col("target_id"))
+    return pairs if with_self else pairs.where(F.col("source_id") != F.col("target_id"))
+
+
+def related_objects(log: Log, with_o2o: bool = True, with_self: bool = False) -> DataFrame:
+    """Distinct ordered pairs of objects that share an event (or an o2o relation)."""
+    pairs = _pairs(log, with_self)
     if with_o2o:
         pairs = pairs.unionByName(o2o_adjacency(log))
     return pairs.distinct()
@@ -66,7 +86,10 @@ def related_objects(log: Log, with_o2o: bool = True, with_self: bool = False) ->
 
 def log_cardinality(log: Log, with_o2o: bool = True) -> DataFrame:
     """For every ordered pair of types, how many objects of the second an object of the first is related to."""
-    return _per_object(log, related_objects(log, with_o2o)).groupBy("source_type", "target_type").agg(F.count(F.lit(1)).alias("total"), *_buckets(F.col("n")))
+    pairs = _pairs(log, False)
+    if with_o2o:
+        pairs = pairs.unionByName(o2o_adjacency(log))
+    return _per_object(log, pairs).select("source_type", "target_type", "total", *_buckets())
 
 
 def lifespans(log: Log) -> DataFrame:
@@ -75,10 +98,11 @@ def lifespans(log: Log) -> DataFrame:
 
 def temporal_relations(log: Log, with_self: bool = True) -> DataFrame:
     """For related objects, how their lifespans lie: D during, Di contains, I before, Ii after, P any."""
-    spans = lifespans(log)
-    s = spans.select(F.col("object_id").alias("source_id"), F.col("start").alias("s1"), F.col("end").alias("e1"))
-    t = spans.select(F.col("object_id").alias("target_id"), F.col("start").alias("s2"), F.col("end").alias("e2"))
-    pairs = related_objects(log, False, with_self).join(s, "source_id").join(t, "target_id")
+    spans = lifespans(log).select("object_id", traces.micros("start").alias("s"), traces.micros("end").alias("e"))
+    own = log.e2o.join(spans, "object_id")
+    side = lambda name, i: own.select("event_id", F.col("object_id").alias(f"{name}_id"), F.col("object_type").alias(f"{name}_type"), F.col("s").alias(f"s{i}"), F.col("e").alias(f"e{i}"))
+    pairs = side("source", 1).join(side("target", 2), "event_id").drop("event_id")
+    pairs = (pairs if with_self else pairs.where("source_id != target_id")).distinct()
     s1, e1, s2, e2 = (F.col(c) for c in ("s1", "e1", "s2", "e2"))
     tests = {
         "D": (s2 <= s1) & (e1 <= e2),
