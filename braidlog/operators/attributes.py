@@ -189,3 +189,16 @@ def o2o_qualifier_conformance(log: Log, source_type: str, target_type: str, allo
     b = log.e2o.where(F.col("object_type") == target_type).select("event_id", F.col("object_id").alias("target_id"))
     pairs = a.join(b, "event_id").join(log.o2o, ["source_id", "target_id"], "left").select(F.coalesce("qualifier", F.lit("missing")).alias("qualifier"))
     return pairs.groupBy("qualifier").agg(F.count(F.lit(1)).alias("n")).withColumn("permitted", F.col("qualifier").isin(allowed))
+
+
+def over_time(log: Log, object_type: str, target: str, group: str) -> DataFrame:
+    """``(group, ts, n, mean)``: a numeric attribute's changes over time, by the value of another one.
+
+    An object's ``group`` value holds from the change that sets it until the next; changes of
+    the target before the first have a null group. Values that are not numbers are left out.
+    """
+    own = log.object_changes.where((F.col("object_type") == object_type) & F.col("field").isin(target, group))
+    until_now = Window.partitionBy("object_id").orderBy("ts").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    held = F.max_by(F.when(F.col("field") == group, F.col("value")), F.when(F.col("field") == group, F.struct("ts", "value"))).over(until_now)
+    changes = own.select("ts", "field", F.expr("try_cast(value AS double)").alias("number"), held.alias("group"))
+    return changes.where((F.col("field") == target) & F.col("number").isNotNull()).groupBy("group", "ts").agg(F.count(F.lit(1)).alias("n"), F.avg("number").alias("mean"))

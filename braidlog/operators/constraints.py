@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from braidlog.model import Log
+from braidlog.operators.petri import Net
 from braidlog.operators.traces import follows
 
 OPERATORS = {"<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b, "=": lambda a, b: a == b}
@@ -121,3 +122,55 @@ def metric_table(log: Log, object_type: str, pairs: list[tuple[str, str]]) -> Da
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
+
+
+def control_constraints(spark: SparkSession, rows: list[tuple]) -> DataFrame:
+    """``(name, kind, source, target)`` constraints on sequences, for ``on_behaviour``."""
+    return spark.createDataFrame(rows, "name string, kind string, source string, target string")
+
+
+def on_behaviour(behaviour: DataFrame, constraints: DataFrame) -> DataFrame:
+    """``(name, kind, source, target, detected)``: control-flow constraints against the ``(sequence, ...)`` of an enhanced net.
+
+    Activities are compared by their first place in a sequence. ``causal``: every sequence has
+    both, the source first; ``concur``: both orders occur; ``choice``: every sequence has
+    exactly one of them; ``skip``: source and target are the same, and some sequences have it and some
+    do not. Without any sequence, nothing is detected. Constraints are broadcast: they are
+    written by hand. Each sequence is read once and only flags are aggregated.
+    """
+    at_a, at_b = F.array_position("sequence", F.col("source")), F.array_position("sequence", F.col("target"))
+    both, first = (at_a > 0) & (at_b > 0), at_a < at_b
+    tested = behaviour.select("sequence").join(F.broadcast(constraints))  # a list of constraints, not a table
+    flags = tested.groupBy("name", "kind", "source", "target").agg(
+        F.min(both & first).alias("always"),
+        F.max(both & first).alias("before"),
+        F.max(both & (at_a > at_b)).alias("after"),
+        F.min((at_a > 0) != (at_b > 0)).alias("one"),
+        F.max(at_a > 0).alias("some"),
+        F.min(at_a > 0).alias("all"),
+    )
+    kind = lambda k: F.col("kind") == k
+    held = (
+        F.when(kind("causal"), F.col("always"))
+        .when(kind("concur"), F.col("before") & F.col("after"))
+        .when(kind("choice"), F.col("one"))
+        .when(kind("skip"), (F.col("source") == F.col("target")) & F.col("some") & ~F.col("all"))
+    )
+    found = flags.select("name", held.alias("held"))
+    return constraints.join(F.broadcast(found), "name", "left").select(*constraints.columns, F.coalesce("held", F.lit(False)).alias("detected"))
+
+
+def on_net(net: Net, rows: list[tuple[str, str, str, str]]) -> list[tuple[str, bool]]:
+    """``(name, detected)`` of ``(name, kind, object type, activity)`` constraints on a net's arcs.
+
+    ``inc``: the activity takes objects of the type; ``exc``: it does not; ``var``: it takes any
+    number of them. An activity without a transition takes none. Nets are small driver objects.
+    """
+    out = []
+    for name, kind, object_type, activity in rows:
+        labelled = {t.name for t in net.transitions.values() if t.label == activity}
+        arcs = [a for a in net.arcs if a.target in labelled and net.places[a.source].object_type == object_type]
+        if kind not in ("inc", "exc", "var"):
+            raise ValueError(f"constraint kind {kind!r} is none of inc, exc, var")
+        out.append((name, {"inc": bool(arcs), "exc": not arcs, "var": any(a.variable for a in arcs)}[kind]))
+    return out

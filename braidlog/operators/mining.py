@@ -12,7 +12,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from braidlog.functions.graphs import canonical, connected_subsets, induced_embeddings
@@ -148,3 +148,27 @@ def support_window(n_executions: int, low: float, high: float) -> tuple[int, int
 def behaviour_matrix(hits: DataFrame, signatures: list[str]) -> DataFrame:
     """``(pe_id, b1, b2, ...)`` 1/0 columns for the given patterns."""
     return hits.groupBy("pe_id").agg(*[F.max(F.when(F.col("signature") == s, 1).otherwise(0)).alias(f"b{i}") for i, s in enumerate(signatures, 1)])
+
+
+def write_graphs(graphs: DataFrame, path: str) -> None:
+    """Graphs ``(pe_id, nodes, edges)`` as the line format of graph miners: ``t # id``, ``v i label``, ``e s t label``.
+
+    One text record a graph, so files are written in parallel. Ids and labels may hold blanks
+    but no line ends, which become blanks.
+    """
+    line = lambda c: F.regexp_replace(c, r"[\r\n]+", " ")
+    head = F.concat(F.lit("t # "), line(F.col("pe_id")))
+    nodes = F.transform("nodes", lambda n, i: F.concat(F.lit("v "), i.cast("string"), F.lit(" "), line(n)))
+    edges = F.transform("edges", lambda e: F.concat(F.lit("e "), e["s"].cast("string"), F.lit(" "), e["t"].cast("string"), F.lit(" "), line(e["label"])))
+    graphs.select(F.array_join(F.concat(F.array(head), nodes, edges), "\n").alias("value")).write.mode("overwrite").text(path)
+
+
+def read_graphs(spark: SparkSession, path: str) -> DataFrame:
+    """``(pe_id, nodes, edges)`` of files in the line format; a graph is one record, wherever files are split."""
+    record = spark.read.option("lineSep", "\nt # ").text(path).select(F.split(F.regexp_replace("value", r"^t # |\n+$", ""), "\n").alias("lines")).where("lines[0] <> ''")
+    v, e = r"^v [0-9]+ (.*)$", r"^e ([0-9]+) ([0-9]+) (.*)$"
+    of = lambda tag: F.filter("lines", lambda x: x.startswith(tag))
+    edge = lambda x: F.struct(F.regexp_extract(x, e, 1).cast("int").alias("s"), F.regexp_extract(x, e, 2).cast("int").alias("t"), F.regexp_extract(x, e, 3).alias("label"))
+    body = F.slice("lines", F.lit(2), F.size("lines"))
+    named = record.select(F.col("lines")[0].alias("pe_id"), body.alias("lines"))
+    return named.select("pe_id", F.transform(of("v "), lambda x: F.regexp_extract(x, v, 1)).alias("nodes"), F.transform(of("e "), edge).alias("edges"))

@@ -221,3 +221,13 @@ def resource_types(log: Log, threshold: float = 0.9) -> tuple[dict[str, int], li
     activities = {r.object_type: set(r.activities) for r in type_activities(log).collect()}
     given = assign_activities(levels, activities, labels)
     return levels, sorted(t for t, acts in given.items() if not acts)
+
+
+def summary(log: Log) -> DataFrame:
+    """``(part, name, n, n_ids)``: events of every activity, objects and relations of every type, and object relations by qualifier."""
+
+    def count(df: DataFrame, part: str, name: str, key: str) -> DataFrame:
+        return df.groupBy(F.col(name).alias("name")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(key).alias("n_ids")).select(F.lit(part).alias("part"), "name", "n", "n_ids")
+
+    parts = count(log.events, "event", "activity", "event_id").unionByName(count(log.objects, "object", "object_type", "object_id"))
+    return parts.unionByName(count(log.e2o, "e2o", "object_type", "object_id")).unionByName(count(log.o2o, "o2o", "qualifier", "source_id"))

@@ -20,3 +20,8 @@ def top_html(scored: DataFrame, path: str, k: int = 20) -> None:
 def csv(table: DataFrame, path: str) -> None:
     """Any report table (timings, metrics, run statistics, situations) as CSV with a header."""
     table.write.mode("overwrite").option("header", True).csv(path)
+
+
+def csv_by(table: DataFrame, path: str, key: str) -> None:
+    """A report table of several configurations as one folder of CSV files for each value of ``key``."""
+    table.write.mode("overwrite").partitionBy(key).option("header", True).csv(path)

@@ -54,6 +54,7 @@ def directly_follows(stream: DataFrame) -> DataFrame:
     return keyed.applyInPandasWithState(step, PAIRS, "activity string, at long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def monitor(stream: DataFrame, check, checkpoint: str, interval: str = "10 seconds"):
-    """Run a batch check ``(DataFrame, batch id)`` on every micro-batch."""
-    return stream.writeStream.option("checkpointLocation", checkpoint).trigger(processingTime=interval).foreachBatch(check).start()
+def monitor(stream: DataFrame, check, checkpoint: str, interval: str | None = "10 seconds"):
+    """Run a batch check ``(DataFrame, batch id)`` on every micro-batch; without an interval, on what is there, then end."""
+    trigger = {"processingTime": interval} if interval else {"availableNow": True}
+    return stream.writeStream.option("checkpointLocation", checkpoint).trigger(**trigger).foreachBatch(check).start()

@@ -2,7 +2,7 @@
 
 import pytest
 
-from braidlog.plans import analysis, formats, views  # noqa: F401
+from braidlog.plans import analysis, formats, records, views  # noqa: F401
 from braidlog.plans.catalog import ORACLES, QUERIES
 from conftest import same
 
