@@ -260,7 +260,7 @@ def attribute_atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def small_lattice(spark: SparkSession, sf_dir: str) -> tuple[Log, DataFrame, hierarchy.Lattice]:
     """Orders with their customers: executions and the lattice over both types' attributes."""
-    log = order_log(spark, sf_dir)
+    log = commerce_log(spark, sf_dir)
     pe = traces.flatten(log, "order").select(F.col("case_id").alias("pe_id"), "event_id")
     return log, pe, hierarchy.Lattice(hierarchy.build(log, ["order", "customer", "item"]))
 
@@ -294,18 +294,18 @@ def _type_labels(log: Log) -> DataFrame:
 
 @query(
     "node_labels",
-    f"""WITH {B}, c AS (SELECT event_id, activity, object_type, count(DISTINCT object_id) AS n FROM timed WHERE object_type IN ('order', 'customer', 'item') GROUP BY 1, 2, 3),
+    f"""WITH {B}, c AS (SELECT event_id, activity, object_type, count(DISTINCT object_id) AS n FROM timed GROUP BY 1, 2, 3),
     l AS (SELECT event_id, activity || '{{' || string_agg(object_type || CASE WHEN n = 1 THEN '^1' ELSE '^*' END, ',' ORDER BY object_type) || '}}' AS node FROM c GROUP BY event_id, activity)
     SELECT node, count(*) AS n FROM l JOIN e2o USING (event_id) WHERE object_type = 'order' GROUP BY 1""",
 )
 def node_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = order_log(spark, sf_dir)
+    log = commerce_log(spark, sf_dir)
     pe = traces.flatten(log, "order").select(F.col("case_id").alias("pe_id"), "event_id")
     return abstraction.node_labels(log, pe, _type_labels(log)).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
 
 
 def order_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = order_log(spark, sf_dir)
+    log = commerce_log(spark, sf_dir)
     pe = traces.flatten(log, "order").select(F.col("case_id").alias("pe_id"), "event_id")
     return abstraction.behaviour(log, pe, _type_labels(log))
 
@@ -486,14 +486,14 @@ def config_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("variants")
 def variant_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = order_log(spark, sf_dir)
+    log = commerce_log(spark, sf_dir)
     pe = traces.flatten(log, "order").select(F.col("case_id").alias("pe_id"), "event_id")
     return variants.frequencies(written(variants.variants(log, pe), "variants"))
 
 
 @query("variant_layout")
 def variant_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = order_log(spark, sf_dir)
+    log = commerce_log(spark, sf_dir)
     pe = traces.flatten(log, "order").select(F.col("case_id").alias("pe_id"), "event_id")
     return variants.layout(log, pe)
 
@@ -528,23 +528,23 @@ def small_net(log: Log) -> petri.Net:
 
 @query("discovery")
 def discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return small_net(order_log(spark, sf_dir)).tables(spark)[2]
+    return small_net(commerce_log(spark, sf_dir)).tables(spark)[2]
 
 
 @query("net_reduction")
 def net_reduction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return petri.reduce(small_net(order_log(spark, sf_dir)).on_types(["order"])).tables(spark)[2]
+    return petri.reduce(small_net(commerce_log(spark, sf_dir)).on_types(["order"])).tables(spark)[2]
 
 
 @query("token_replay")
 def token_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = order_log(spark, sf_dir)
+    log = commerce_log(spark, sf_dir)
     return replay.fitness(log, small_net(log))
 
 
 @query("replay_performance")
 def replay_performance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = order_log(spark, sf_dir)
+    log = commerce_log(spark, sf_dir)
     times = performance.replay_times(replay.token_visits(log, small_net(log)), log)
     return performance.by_activity(times, "sojourn", ["avg", "max"])
 
@@ -566,7 +566,7 @@ def contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("precision_fitness")
 def precision_fitness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = order_log(spark, sf_dir)
+    log = commerce_log(spark, sf_dir)
     own = log.with_relations(log.e2o.where("object_type = 'order'"))
     pe = traces.flatten(own, "order").select(F.col("case_id").alias("pe_id"), "event_id")
     return replay.precision_fitness(own, petri.discover(own, ["order"]), pe)
@@ -618,7 +618,7 @@ def metric_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("correlated_graphs", f"WITH {B} SELECT min(event_id) OVER (PARTITION BY object_id) AS pe_id, src, event_id AS dst FROM (SELECT object_id, event_id, lag(event_id) OVER (PARTITION BY object_id ORDER BY ts, event_id) AS src FROM timed WHERE object_type = 'order') QUALIFY src IS NOT NULL")
 def correlated_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = order_log(spark, sf_dir)
+    log = commerce_log(spark, sf_dir)
     return executions.correlated_graphs(log.with_relations(log.e2o.where("object_type = 'order'")))
 
 
