@@ -308,8 +308,9 @@ def reduce(net: Net) -> Net:
         for t in sorted(net.transitions):  # a silent transition that gives back what it takes
             if safe_t(t) and net.pre(t) == net.post(t):
                 return net.drop({t})
-        for p in sorted(net.places):  # an initially marked place that every user gives back would be needed; others never fill
-            if safe_p(p) and net.pre(p) == net.post(p) and not net.pre(p):
+        for p in sorted(net.places):  # a place whose only user gives back what it takes, or without any
+            into, out = [x for x in net.arcs if x.target == p], [x for x in net.arcs if x.source == p]
+            if safe_p(p) and [(x.source, x.weight) for x in into] == [(x.target, x.weight) for x in out] and len(into) <= 1:
                 return net.drop({p})
         return None
 

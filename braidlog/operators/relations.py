@@ -145,43 +145,78 @@ def execution_relations(log: Log, pe_objects: DataFrame) -> DataFrame:
     return counts.withColumn("support", F.col("total") / F.sum("total").over(Window.partitionBy()))  # one row for each pair of types
 
 
+def _raised(n: int, weight: list[int], pairs: dict[tuple[int, int], float]) -> set[int]:
+    """The smallest set that minimises its weights plus ``pairs[i, j]`` for each i inside and j outside, by a minimum cut."""
+    source, sink = n, n + 1
+    room: dict[int, dict[int, float]] = {i: {} for i in range(n + 2)}
+    for i, w in enumerate(weight):
+        a, b = (source, i) if w < 0 else (i, sink)
+        room[a][b], room[b][a] = abs(w), room[b].get(a, 0)
+    for (i, j), c in pairs.items():
+        room[i][j] = room[i].get(j, 0) + c
+        room[j].setdefault(i, 0)
+    while True:
+        came, queue = {source: source}, [source]
+        for a in queue:
+            for b, left in room[a].items():
+                if left > 0 and b not in came:
+                    came[b] = a
+                    queue.append(b)
+        if sink not in came:
+            return set(came) - {source}
+        path, b = [], sink
+        while b != source:
+            path.append((came[b], b))
+            b = came[b]
+        least = min(room[a][b] for a, b in path)
+        for a, b in path:
+            room[a][b] -= least
+            room[b][a] = room[b].get(a, 0) + least
+
+
 def layering(labels: dict[tuple[str, str], str]) -> dict[str, int]:
     """Levels of object types from their temporal labels.
 
     ``D`` puts the second type at least one level above the first. Among such levels the sum
     of differences over ``D`` edges plus absolute differences over ``P`` and ``I`` edges is
-    least; of equally good solutions the smallest level vector by type name is taken.
-    The search is a branch and bound over levels below the number of types.
+    least; of equally good solutions the smallest level vector by type name is taken. A
+    cycle of ``D`` has no levels, and the result is empty.
+
+    The sum is convex on levels, and its best solutions have a smallest one. From the least
+    levels that ``D`` allows, the set of types whose rise by one saves most is found as a
+    minimum cut and raised, until no rise saves anything.
     """
     types = sorted({t for pair in labels for t in pair})
-    above = [(a, b) for (a, b), label in labels.items() if label == "D" and a != b and labels.get((b, a)) != "D"]
-    near = [(a, b) for (a, b), label in labels.items() if label in ("P", "I") and a != b]
-    best: tuple[float, tuple[int, ...]] = (float("inf"), ())
     at = {t: i for i, t in enumerate(types)}
-
-    def cost(levels: list[int], last: int) -> float | None:
-        total = 0
+    above = [(at[a], at[b]) for (a, b), label in labels.items() if label == "D" and a != b and labels.get((b, a)) != "D"]
+    near = [(at[a], at[b]) for (a, b), label in labels.items() if label in ("P", "I") and a != b]
+    levels = [0] * len(types)
+    for _ in range(len(types)):
+        higher = [max([levels[i], *(levels[a] + 1 for a, b in above if b == i)]) for i in range(len(types))]
+        if higher == levels:
+            break
+        levels = higher
+    if any(levels[b] < levels[a] + 1 for a, b in above):
+        return {}
+    while True:
+        weight = [0] * len(types)
+        pairs: dict[tuple[int, int], float] = {}
         for a, b in above:
-            if max(at[a], at[b]) <= last:
-                if levels[at[b]] < levels[at[a]] + 1:
-                    return None
-                total += levels[at[b]] - levels[at[a]]
-        return total + sum(abs(levels[at[b]] - levels[at[a]]) for a, b in near if max(at[a], at[b]) <= last)
-
-    def place(i: int, levels: list[int]) -> None:
-        nonlocal best
-        if i == len(types):
-            best = min(best, (cost(levels, i), tuple(levels)))
-            return
-        for level in range(len(types)):
-            levels.append(level)
-            so_far = cost(levels, i)
-            if so_far is not None and so_far <= best[0]:
-                place(i + 1, levels)
-            levels.pop()
-
-    place(0, [])
-    return dict(zip(types, best[1], strict=False))
+            weight[b] += 1
+            weight[a] -= 1
+            if levels[b] == levels[a] + 1:
+                pairs[a, b] = float("inf")
+        for a, b in near:
+            low, high = (a, b) if levels[a] < levels[b] else (b, a)
+            if levels[a] == levels[b]:
+                pairs[a, b], pairs[b, a] = pairs.get((a, b), 0) + 1, pairs.get((b, a), 0) + 1
+            else:
+                weight[high] += 1
+                weight[low] -= 1
+        raised = _raised(len(types), weight, pairs)
+        if not raised:
+            return dict(zip(types, levels, strict=True))
+        levels = [v + (i in raised) for i, v in enumerate(levels)]
 
 
 def assign_activities(levels: dict[str, int], activities: dict[str, set[str]], labels: dict[tuple[str, str], str]) -> dict[str, set[str]]:

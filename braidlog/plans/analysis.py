@@ -609,11 +609,31 @@ def workflow_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return explorer.lattice(bundle)
 
 
-@query("metric_table")
+@query(
+    "metric_table",
+    f"""WITH {A}, t AS (SELECT object_id, list(activity ORDER BY ts, event_id) AS acts FROM timed WHERE object_type = 'key' GROUP BY 1),
+    p AS (SELECT acts, coalesce(list_position(acts, 'view'), 0) AS a, coalesce(list_position(acts, 'click'), 0) AS b FROM t),
+    q AS (SELECT unnest([
+      {{'k': 'existence', 'ok': a > 0}}, {{'k': 'non_existence', 'ok': a = 0}}, {{'k': 'coexistence', 'ok': (a > 0) = (b > 0)}}, {{'k': 'exclusiveness', 'ok': NOT (a > 0 AND b > 0)}},
+      {{'k': 'choice', 'ok': a > 0 OR b > 0}}, {{'k': 'xor_choice', 'ok': (a > 0) <> (b > 0)}}, {{'k': 'followed_by', 'ok': a = 0 OR (b > 0 AND a < b)}},
+      {{'k': 'directly_followed_by', 'ok': a = 0 OR coalesce(acts[a + 1] = 'click', false)}}, {{'k': 'precedence', 'ok': b = 0 OR (a > 0 AND a < b)}}, {{'k': 'block', 'ok': NOT (a > 0 AND b > 0) OR b < a}}]) AS m FROM p),
+    s AS (SELECT CAST(count(*) FILTER (src_activity = 'view' AND dst_activity = 'click') AS DOUBLE) AS ab, CAST(count(*) FILTER (src_activity = 'click' AND dst_activity = 'view') AS DOUBLE) AS ba FROM fol WHERE object_type = 'key'),
+    h AS (SELECT CAST(count(*) FILTER (a > 0) AS DOUBLE) AS na, CAST(count(*) FILTER (b > 0) AS DOUBLE) AS nb, count(*) FILTER (a > 0 AND b > 0) AS nab FROM p),
+    i AS (SELECT ev.event_id, activity, count(DISTINCT object_id) AS n FROM ev LEFT JOIN e2o ON e2o.event_id = ev.event_id AND object_type = 'key' GROUP BY 1, 2),
+    x AS (SELECT activity, unnest([{{'k': 'absence', 'v': avg(CAST(n = 0 AS INT))}}, {{'k': 'singular', 'v': avg(CAST(n = 1 AS INT))}}, {{'k': 'multiple', 'v': avg(CAST(n > 1 AS INT))}}, {{'k': 'presence', 'v': avg(CAST(n > 0 AS INT))}}]) AS m FROM i GROUP BY 1),
+    n AS (SELECT eog.dst, s.us AS u, EXISTS (SELECT 1 FROM e2o WHERE e2o.event_id = eog.src AND object_type = 'key') AS has FROM eog JOIN ev s ON s.event_id = eog.src),
+    g AS (SELECT dst, min(u) AS f, max(u) AS l, min(CASE WHEN has THEN u END) AS tf, max(CASE WHEN has THEN u END) AS tl FROM n GROUP BY 1),
+    z AS (SELECT activity, unnest([{{'k': 'flow', 'v': avg(us - f)}}, {{'k': 'sojourn', 'v': avg(us - l)}}, {{'k': 'synchronization', 'v': avg(l - f)}}, {{'k': 'pooling', 'v': avg(tl - tf)}},
+      {{'k': 'lagging', 'v': avg(tl - f)}}, {{'k': 'readiness', 'v': avg(tf - f)}}, {{'k': 'elapsed', 'v': avg(us - l)}}]) AS m FROM g JOIN ev ON ev.event_id = g.dst GROUP BY 1)
+    SELECT m.k AS kind, 'key' AS object_type, 'view' AS source, 'click' AS target, round(avg(CAST(m.ok AS INT)), 3) AS value FROM q GROUP BY 1
+    UNION ALL SELECT 'strength_causal', 'key', 'view', 'click', round((ab - ba) / (ab + ba), 3) FROM s UNION ALL SELECT 'strength_concurrency', 'key', 'view', 'click', round(1 - abs(ab - ba) / (ab + ba), 3) FROM s
+    UNION ALL SELECT 'strength_choice', 'key', 'view', 'click', round(1 - 2 * nab / (na + nb), 3) FROM h
+    UNION ALL SELECT m.k, 'key', activity, NULL, round(m.v, 3) FROM x UNION ALL SELECT m.k, 'key', activity, NULL, round(m.v / 1e6, 3) FROM z WHERE m.v IS NOT NULL""",
+)
 def metric_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     from braidlog.operators import constraints
 
-    return constraints.metric_table(stream_log(spark, sf_dir), "key", [("view", "click")])
+    return constraints.metric_table(stream_log(spark, sf_dir), "key", [("view", "click")]).withColumn("value", F.round("value", 3))
 
 
 @query("correlated_graphs", f"WITH {B} SELECT min(event_id) OVER (PARTITION BY object_id) AS pe_id, src, event_id AS dst FROM (SELECT object_id, event_id, lag(event_id) OVER (PARTITION BY object_id ORDER BY ts, event_id) AS src FROM timed WHERE object_type = 'order') QUALIFY src IS NOT NULL")

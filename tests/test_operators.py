@@ -1,6 +1,8 @@
 """Operators on logs small enough to work out by hand."""
 
+import random
 from datetime import datetime, timedelta
+from itertools import permutations, product
 
 import pytest
 from pyspark.sql import functions as F
@@ -98,6 +100,28 @@ def test_layering():
     assert relations.layering({("a", "b"): "P", ("b", "a"): "P"}) == {"a": 0, "b": 0}
 
 
+def test_layering_equals_all_levels():
+    rng = random.Random(7)
+    for _ in range(300):
+        types = "abcde"[: rng.randint(2, 5)]
+        labels = {(a, b): rng.choice(["D", "P", "I", "None", "None"]) for a, b in permutations(types, 2) if rng.random() < 0.7}
+        names = sorted({t for pair in labels for t in pair})
+        best = None
+        for levels in product(range(len(names)), repeat=len(names)):
+            at = dict(zip(names, levels, strict=True))
+            must = [(a, b) for (a, b), k in labels.items() if k == "D" and labels.get((b, a)) != "D"]
+            if all(at[b] > at[a] for a, b in must):
+                cost = sum(at[b] - at[a] for a, b in must) + sum(abs(at[b] - at[a]) for (a, b), k in labels.items() if k in "PI")
+                best = min(best, (cost, levels)) if best else (cost, levels)
+        assert relations.layering(labels) == (dict(zip(names, best[1], strict=True)) if best else {})
+
+
+def test_layering_of_many_types():
+    chain = [f"t{i:02}" for i in range(30)]
+    labels = {(a, b): "D" for a, b in zip(chain, chain[1:], strict=False)} | {("x", "t29"): "P"}
+    assert relations.layering(labels) == {t: i for i, t in enumerate(chain)} | {"x": 29}
+
+
 def test_hierarchy_and_lattice(spark):
     data = {"nation": ["N1", "N1", "N2", "N3", None], "region": ["R1", "R1", "R1", "R2", None], "segment": ["S1", "S2", "S1", "S1", "S2"]}
     objects = [(f"c{i}", "customer", {k: v[i] for k, v in data.items() if v[i]}) for i in range(5)]
@@ -326,3 +350,48 @@ def test_intervals_and_schedule(spark):
     assert impact.schedule([("x", 1.0), ("y", 2.0), ("x", 3.0)], [("x", "y")]) == [("x", 0.0, 3.0), ("y", 3.0, 5.0)]
     with pytest.raises(ValueError):
         impact.schedule([("x", 1.0)], [("x", "x")])
+
+
+def test_constraints_on_behaviour_and_net(spark):
+    rows = [("c1", "causal", "a", "b"), ("c2", "concur", "a", "b"), ("c3", "choice", "a", "c"), ("c4", "skip", "c", "c"), ("c5", "skip", "a", "b")]
+    wanted = constraints.control_constraints(spark, rows)
+
+    def found(sequences):
+        behaviour = spark.createDataFrame([(s,) for s in sequences], "sequence array<string>")
+        return {r.name: r.detected for r in constraints.on_behaviour(behaviour, wanted).collect()}
+
+    assert found([["a", "b"], ["a", "c", "b"]]) == {"c1": True, "c2": False, "c3": False, "c4": True, "c5": False}
+    assert found([["a", "b"], ["b", "a"]]) == {"c1": False, "c2": True, "c3": True, "c4": False, "c5": False}
+    assert found([["a", "b", "c"], []])["c3"] is False
+    assert set(found([]).values()) == {False}
+    net = petri.Net({"p": petri.Place("p", "order", True), "q": petri.Place("q", "item")}, {"t": petri.Transition("t", "pack")}, {petri.Arc("p", "t"), petri.Arc("q", "t", True)})
+    kinds = [("i", "inc", "order", "pack"), ("v", "var", "item", "pack"), ("w", "var", "order", "pack"), ("e", "exc", "item", "pack"), ("n", "exc", "item", "send")]
+    assert constraints.on_net(net, kinds) == [("i", True), ("v", True), ("w", False), ("e", False), ("n", True)]
+    with pytest.raises(ValueError):
+        constraints.on_net(net, [("x", "other", "item", "pack")])
+
+
+def test_graph_files_hold_any_label(spark, tmp_path):
+    schema = "pe_id string, nodes array<string>, edges array<struct<s:int,t:int,label:string>>"
+    graphs = [("t # 1", ["v 0", "a b"], [(0, 1, "e 0 1"), (1, 0, "")]), ("lone", ["x"], []), ("none", [], [])]
+    mining.write_graphs(spark.createDataFrame(graphs, schema).repartition(2), str(tmp_path / "g"))
+    back = mining.read_graphs(spark, str(tmp_path / "g")).collect()
+    assert sorted((r.pe_id, r.nodes, [tuple(e) for e in r.edges]) for r in back) == sorted(graphs)
+
+
+def test_a_place_that_its_only_user_refills_goes():
+    net = petri.Net(
+        {"i": petri.Place("i", "x", True), "o": petri.Place("o", "x", False, True), "loop": petri.Place("loop", "x")},
+        {"a": petri.Transition("a", "a")},
+        {petri.Arc("i", "a"), petri.Arc("a", "o"), petri.Arc("a", "loop"), petri.Arc("loop", "a")},
+    )
+    assert set(petri.reduce(net).places) == {"i", "o"}
+
+
+def test_attributes_over_time(spark):
+    at = lambda s: START + timedelta(seconds=s)
+    rows = [("o1", "t", at(0), "size", "1"), ("o1", "t", at(1), "kind", "x"), ("o1", "t", at(2), "size", "3"), ("o2", "t", at(2), "kind", "x"), ("o2", "t", at(2), "size", "5"), ("o2", "t", at(3), "size", "many"), ("o3", "u", at(2), "size", "9")]
+    none = make(spark, [("e", "a", 0, {"o1": "t"})])
+    log = model.from_tables(spark, none.events, none.objects, none.e2o, None, spark.createDataFrame(rows, model.CHANGES))
+    found = {(r.group, r.ts, r.n, r["mean"]) for r in attributes.over_time(log, "t", "size", "kind").collect()}
+    assert found == {(None, at(0), 1, 1.0), ("x", at(2), 2, 4.0)}
