@@ -414,16 +414,31 @@ def _tree_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kpi.builtin(log, user_executions(log)).select("pe_id", F.col("n_events").cast("double").alias("y")).join(found, "pe_id", "left").select("pe_id", "y", F.coalesce("features", F.array().cast("array<string>")).alias("features"))
 
 
-@query("leaf_members")
+def _tree_level(i: int) -> str:
+    """One level of the tree in SQL: a leaf is a path of 0 (absent) and 1, so paths in order are leaves in order."""
+    return f"""t{i} AS (SELECT path, count(*) AS n, sum(y) AS s FROM v{i} GROUP BY 1),
+    o{i} AS (SELECT path, f, count(*) AS n1, sum(y) AS s1 FROM v{i} JOIN hits USING (pe_id), unnest([pattern_id]) u(f) GROUP BY 1, 2),
+    d{i} AS (SELECT path, f, round(s1 * s1 / n1 + (s - s1) * (s - s1) / (n - n1) - s * s / n, 9) AS gain FROM o{i} JOIN t{i} USING (path) WHERE n1 >= 5 AND n - n1 >= 5),
+    w{i} AS (SELECT path, f FROM d{i} WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY path ORDER BY gain DESC, f) = 1),
+    v{i + 1} AS MATERIALIZED (SELECT v.pe_id, y, v.path || CASE WHEN f IS NULL THEN '' WHEN h.pe_id IS NULL THEN '0' ELSE '1' END AS path FROM v{i} v LEFT JOIN w{i} w ON w.path = v.path LEFT JOIN hits h ON h.pe_id = v.pe_id AND h.pattern_id = f)"""
+
+
+TREE_SQL = KPI_SQL + f", {HITS_SQL}, v0 AS (SELECT pe_id, CAST(n_events AS DOUBLE) AS y, '' AS path FROM k), {', '.join(map(_tree_level, range(3)))}, leaves AS (SELECT pe_id, y, CAST(dense_rank() OVER (ORDER BY path) - 1 AS INT) AS leaf, avg(y) OVER (PARTITION BY path) AS p FROM v3)"
+
+
+@query("leaf_members", TREE_SQL + " SELECT pe_id, y, leaf, 'ok' AS status FROM leaves")
 def leaf_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     status, root, rows = tree.fit(_tree_rows(spark, sf_dir), 3, 5)
     return rows.select("pe_id", "y", "leaf").withColumn("status", F.lit(status))
 
 
-@query("tree_quality")
+@query("tree_quality", TREE_SQL + " SELECT round(1 - sum((y - p) ** 2) / (var_pop(y) * count(*)), 6) AS r2, round(avg(abs(y - p)), 6) AS mae, round(max(p) - min(p), 6) AS gap, count(*) AS n FROM leaves")
 def tree_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table that gives no tree has its status instead."""
     status, root, rows = tree.fit(_tree_rows(spark, sf_dir), 3, 5)
-    return tree.quality(root, rows) if root else spark.createDataFrame([(status,)], "status string")
+    if root is None:
+        return spark.createDataFrame([(status,)], "status string")
+    return tree.quality(root, rows).select(*[F.round(c, 6).alias(c) for c in ("r2", "mae", "gap")], "n")
 
 
 CROSS_SQL = f"""WITH {A}, {U}, m AS (SELECT 'first' AS tree, arg_min(activity, (ts, event_id)) AS leaf, pe_id FROM pe JOIN ev USING (event_id) GROUP BY pe_id UNION SELECT DISTINCT 'user', right(pe_id, 1), pe_id FROM pe),
