@@ -362,19 +362,46 @@ def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return written(mining.pattern_hits(user_graphs(spark, sf_dir), 3, 2), "hits")
 
 
-@query("patterns_k")
+#: Users' patterns of one to three pairs in SQL. A user's graph has one node for each activity, so a pattern is a set of pairs.
+PATTERN_SQL = f"""{HITS_SQL}, h AS (SELECT pe_id, pattern_id AS p, split_part(pattern_id, '>', 1) AS s, split_part(pattern_id, '>', 2) AS t FROM hits),
+u AS (SELECT h.* FROM h JOIN (SELECT p FROM h GROUP BY 1 HAVING count(*) >= 2) USING (p)),
+m AS (SELECT a.pe_id, a.p AS p, b.p AS q, list_has_any([a.s, a.t], [b.s, b.t]) AS near, [a.s, a.t, b.s, b.t] AS ns FROM u a JOIN u b ON a.pe_id = b.pe_id AND a.p < b.p),
+cand AS (
+  SELECT pe_id, [p] AS es, list_distinct([s, t]) AS ns FROM u UNION ALL SELECT pe_id, [p, q], list_distinct(ns) FROM m WHERE near
+  UNION ALL SELECT a.pe_id, [a.p, a.q, b.q], list_distinct(a.ns || b.ns) FROM m a JOIN m b ON a.pe_id = b.pe_id AND a.q = b.p JOIN m c ON c.pe_id = a.pe_id AND c.p = a.p AND c.q = b.q WHERE CAST(a.near AS INT) + CAST(b.near AS INT) + CAST(c.near AS INT) >= 2
+),
+ind AS (SELECT c.pe_id, es, ns FROM cand c JOIN h ON h.pe_id = c.pe_id AND list_contains(ns, h.s) AND list_contains(ns, h.t) WHERE len(ns) > 1 GROUP BY ALL HAVING count(*) = len(es)),
+pat AS (SELECT es, any_value(ns) AS ns, array_to_string(es, ',') AS pattern, CAST(any_value(len(ns)) AS INT) AS n_nodes, CAST(len(es) AS INT) AS n_edges, count(*) AS support, list(pe_id ORDER BY pe_id) AS pes FROM ind GROUP BY es)
+"""
+
+
+def _pairs(signature: str) -> F.Column:
+    """A signature's edges as sorted ``source>target`` names."""
+    nodes = F.from_json(F.get_json_object(signature, "$[0]"), "array<string>")
+    edges = F.from_json(F.get_json_object(signature, "$[1]"), "array<array<string>>")
+    return F.array_join(F.sort_array(F.transform(edges, lambda e: F.concat_ws(">", F.get(nodes, e[0].cast("int")), F.get(nodes, e[1].cast("int"))))), ",")
+
+
+@query("patterns_k", f"WITH {A}, {PATTERN_SQL} SELECT pattern, n_nodes, n_edges, support FROM pat WHERE support >= 2")
 def patterns_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mining.frequent_patterns(_hits(spark, sf_dir), 2)
+    return mining.frequent_patterns(_hits(spark, sf_dir), 2).select(_pairs("signature").alias("pattern"), "n_nodes", "n_edges", "support")
 
 
-@query("merged_patterns")
+@query("merged_patterns", f"WITH {A}, {PATTERN_SQL} SELECT pattern, n_nodes, n_edges, support, CAST(1 AS INT) AS n_signatures FROM pat")
 def merged_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mining.merge_labels(mining.hit_sets(_hits(spark, sf_dir)))
+    """Users' graphs have one edge label, so every merged pattern has one signature."""
+    merged = mining.merge_labels(mining.hit_sets(_hits(spark, sf_dir)))
+    return merged.select(_pairs(F.col("signatures")[0]).alias("pattern"), "n_nodes", "n_edges", "support", F.size("signatures").alias("n_signatures"))
 
 
-@query("subsumed_patterns")
+@query(
+    "subsumed_patterns",
+    f"""WITH {A}, {PATTERN_SQL}, inner_edges AS (SELECT a.pattern, b.pattern AS larger, len([e for e in b.es if list_contains(a.ns, split_part(e, '>', 1)) AND list_contains(a.ns, split_part(e, '>', 2))]) AS n
+      FROM pat a JOIN pat b ON a.pes = b.pes AND a.pattern <> b.pattern AND list_has_all(b.es, a.es))
+    SELECT pattern, NOT EXISTS (SELECT 1 FROM inner_edges i WHERE i.pattern = pat.pattern AND i.n = pat.n_edges) AS kept FROM pat""",
+)
 def subsumed_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mining.subsumed(mining.hit_sets(_hits(spark, sf_dir)))
+    return mining.subsumed(mining.hit_sets(_hits(spark, sf_dir))).select(_pairs("signature").alias("pattern"), "kept")
 
 
 @query(
@@ -385,11 +412,18 @@ def behaviour_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mining.behaviour_matrix(quick_pairs(stream_log(spark, sf_dir)).withColumnRenamed("pattern_id", "signature"), ["click>view", "view>view"])
 
 
-@query("pattern_scores")
+@query(
+    "pattern_scores",
+    KPI_SQL + f""", {PATTERN_SQL}, kp AS (SELECT pe_id, 'duration' AS kpi, duration AS value FROM k UNION ALL SELECT pe_id, 'n_events', CAST(n_events AS DOUBLE) FROM k), tot AS (SELECT kpi, count(*) AS n, sum(value) AS s FROM kp GROUP BY 1),
+    i AS (SELECT array_to_string(es, ',') AS pattern, kpi, count(*) AS support, sum(value) AS s_in FROM ind JOIN kp USING (pe_id) GROUP BY 1, 2)
+    SELECT pattern, kpi, support, round(s_in / support, 3) AS mu_in, round((s - s_in) / (n - support), 3) AS mu_out FROM i JOIN tot USING (kpi) WHERE support BETWEEN 2 AND 10000 AND support < n""",
+)
 def pattern_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all patterns, whatever their rank."""
     log = stream_log(spark, sf_dir)
     values = kpi.long(kpi.builtin(log, user_executions(log)), ["duration", "n_events"])
-    return mining.score(_hits(spark, sf_dir), values, 2, 10_000)
+    scored = mining.score(_hits(spark, sf_dir), values, 2, 10_000, 1 << 30)
+    return scored.select(_pairs("pattern_id").alias("pattern"), "kpi", "support", F.round("mu_in", 3).alias("mu_in"), F.round("mu_out", 3).alias("mu_out"))
 
 
 # --- trees and explorer --------------------------------------------------------------------
