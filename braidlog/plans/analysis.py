@@ -533,18 +533,34 @@ def config_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- variants, restructuring, nets ---------------------------------------------------------
 
 
-@query("variants")
+#: An order's events are a path, in which each has one place; graphs are isomorphic if they are equal by places.
+VARIANT_SQL = f"""WITH {B}, r AS (SELECT DISTINCT p.object_id AS pe_id, timed.event_id, timed.object_id, timed.object_type, timed.activity, timed.ts FROM e2o p JOIN timed ON timed.event_id = p.event_id WHERE p.object_type = 'order'),
+n AS (SELECT pe_id, event_id, activity || ': ' || string_agg(object_type, ': ' ORDER BY object_type) AS node, row_number() OVER (PARTITION BY pe_id ORDER BY ts, event_id) AS place FROM r GROUP BY pe_id, event_id, activity, ts),
+l AS (SELECT pe_id, object_type, lag(event_id) OVER w AS src, event_id AS dst FROM r WINDOW w AS (PARTITION BY pe_id, object_id ORDER BY ts, event_id)),
+e AS (SELECT pe_id, src, dst, string_agg(object_type, ': ' ORDER BY object_type) AS label FROM l WHERE src IS NOT NULL GROUP BY 1, 2, 3),
+g AS (SELECT e.pe_id, list({{'s': a.place, 't': b.place, 'label': label}} ORDER BY a.place, b.place) AS edges FROM e JOIN n a ON a.pe_id = e.pe_id AND a.event_id = src JOIN n b ON b.pe_id = e.pe_id AND b.event_id = dst GROUP BY 1),
+v AS (SELECT pe_id, nodes, edges FROM (SELECT pe_id, list(node ORDER BY place) AS nodes FROM n GROUP BY 1) LEFT JOIN g USING (pe_id))
+"""
+
+
+@query("variants", VARIANT_SQL + "SELECT count(*) AS n, min(pe_id) AS example, count(*) / (SELECT count(*) FROM v)::DOUBLE AS share FROM v GROUP BY nodes, edges")
 def variant_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = commerce_log(spark, sf_dir)
     pe = traces.flatten(log, "order").select(F.col("case_id").alias("pe_id"), "event_id")
-    return variants.frequencies(written(variants.variants(log, pe), "variants"))
+    return variants.frequencies(written(variants.variants(log, pe), "variants")).select("n", "example", "share")
 
 
-@query("variant_layout")
+@query(
+    "variant_layout",
+    VARIANT_SQL
+    + """, o AS (SELECT pe_id, event_id, object_type, object_id, dense_rank() OVER (PARTITION BY pe_id ORDER BY object_type, object_id) - 1 AS lane FROM r)
+    SELECT pe_id, event_id, activity, CAST(place - 1 AS INT) AS x, CAST(place - 1 AS INT) AS x_end, lanes FROM n JOIN (SELECT pe_id, event_id, string_agg(lane, ',' ORDER BY object_type, object_id) AS lanes FROM o GROUP BY 1, 2) USING (pe_id, event_id) JOIN ev USING (event_id)""",
+)
 def variant_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order's events are a path, so every event ends where it starts."""
     log = commerce_log(spark, sf_dir)
     pe = traces.flatten(log, "order").select(F.col("case_id").alias("pe_id"), "event_id")
-    return variants.layout(log, pe)
+    return variants.layout(log, pe).withColumn("lanes", F.array_join(F.col("lanes").cast("array<string>"), ","))
 
 
 @query(
