@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from braidlog import model
 from braidlog.functions.components import connected_components
-from braidlog.operators import abstraction, attributes, constraints, executions, filters, hierarchy, impact, kpi, mining, performance, petri, relations, replay, restructure, traces, tree, variants
+from braidlog.operators import abstraction, attributes, constraints, executions, features, filters, hierarchy, impact, kpi, mining, performance, petri, relations, replay, restructure, traces, tree, variants
 
 START = datetime(2024, 1, 1)
 
@@ -395,3 +395,19 @@ def test_attributes_over_time(spark):
     log = model.from_tables(spark, none.events, none.objects, none.e2o, None, spark.createDataFrame(rows, model.CHANGES))
     found = {(r.group, r.ts, r.n, r["mean"]) for r in attributes.over_time(log, "t", "size", "kind").collect()}
     assert found == {(None, at(0), 1, 1.0), ("x", at(2), 2, 4.0)}
+
+
+def test_split_keeps_executions_whole_and_scales_by_training_rows(spark):
+    rows = [(f"p{i // 3}", f"e{i}", float(i), 5.0) for i in range(300)]
+    table = spark.createDataFrame(rows, "pe_id string, event_id string, a double, b double")
+    train, test = features.split(table, 0.3, 7)
+    held = {r.pe_id for r in test.collect()}
+    assert not held & {r.pe_id for r in train.collect()} and 15 < len(held) < 45
+    assert train.count() + test.count() == 300
+    own = [a for p, _, a, _ in rows if p not in held]
+    mean = sum(own) / len(own)
+    deviation = (sum((a - mean) ** 2 for a in own) / len(own)) ** 0.5
+    plain = {e: a for _, e, a, _ in rows}
+    for part in features.scaled(train, test):
+        for r in part.collect():
+            assert r.a == pytest.approx((plain[r.event_id] - mean) / deviation) and r.b == pytest.approx(0.0)
