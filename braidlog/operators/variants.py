@@ -14,6 +14,10 @@ from braidlog.model import Log
 from braidlog.operators.executions import execution_edges, execution_objects
 
 
+#: Different graphs whose canonical form a task remembers at most.
+KNOWN_FORMS = 100_000
+
+
 def projected(log: Log, pe_events: DataFrame, pe_objects: DataFrame | None = None) -> DataFrame:
     """``(pe_id, nodes, edges)`` as JSON: activities with the types of the execution's objects, edges with the shared types.
 
@@ -30,6 +34,47 @@ def projected(log: Log, pe_events: DataFrame, pe_objects: DataFrame | None = Non
     return nodes.join(edges, "pe_id", "left")
 
 
+def _packed(rows: DataFrame) -> DataFrame:
+    """``(pe_id, events)``: the events of an execution in time order as JSON, each with its objects that have an id."""
+    objects = F.array_sort(F.filter(F.transform("objects", lambda o: F.struct(o["object_type"], o["object_id"])), lambda o: o["object_id"].isNotNull())).alias("objects")
+    each = rows.select("pe_id", "ts", "event_id", "activity", objects).where(F.size("objects") > 0)
+    return each.groupBy("pe_id").agg(F.to_json(F.sort_array(F.collect_list(F.struct("ts", "event_id", "activity", "objects")))).alias("events"))
+
+
+def _edges(events: list[dict]) -> dict[tuple[int, int], list[str]]:
+    """Types of the objects by which events, given in time order, follow each other."""
+    last: dict[tuple[str, str], int] = {}
+    out: dict[tuple[int, int], list[str]] = {}
+    for i, e in enumerate(events):
+        for o in e["objects"]:
+            key = o["object_type"], o["object_id"]
+            if key in last:
+                out.setdefault((last[key], i), []).append(o["object_type"])
+            last[key] = i
+    return out
+
+
+def seen_variants(rows: DataFrame) -> DataFrame:
+    """``variants`` of executions' events with all their objects (``executions.seen``): edges are found within the packed row."""
+
+    def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[tuple, str] = {}
+        for batch in batches:
+            forms = []
+            for text in batch["events"]:
+                events = json.loads(text)
+                nodes = [e["activity"] + ": " + ": ".join(sorted(o["object_type"] for o in e["objects"])) for e in events]
+                key = tuple(nodes), tuple((s, t, ": ".join(sorted(kinds))) for (s, t), kinds in sorted(_edges(events).items()))
+                if key not in known:
+                    if len(known) >= KNOWN_FORMS:
+                        known.clear()
+                    known[key] = canonical(nodes, key[1])
+                forms.append(known[key])
+            yield pd.DataFrame({"pe_id": batch["pe_id"], "form": forms})
+
+    return _packed(rows).mapInPandas(kernel, "pe_id string, form string").select("pe_id", F.sha2("form", 256).alias("variant"))
+
+
 def variants(log: Log, pe_events: DataFrame, pe_objects: DataFrame | None = None) -> DataFrame:
     """``(pe_id, variant)``; the variant is a hash of the canonical form, so classes are exact."""
 
@@ -58,6 +103,33 @@ def events_of_variants(table: DataFrame, pe_events: DataFrame) -> DataFrame:
     return pe_events.join(table, "pe_id").groupBy("event_id").agg(F.sort_array(F.collect_set("variant")).alias("variants"))
 
 
+def seen_layout(rows: DataFrame) -> DataFrame:
+    """``layout`` of executions' events with all their objects (``executions.seen``): edges are found within the packed row."""
+
+    def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for pe_id, text in zip(batch["pe_id"], batch["events"], strict=True):
+                events = json.loads(text)
+                follow: dict[int, list[int]] = {}
+                for s, t in _edges(events):
+                    follow.setdefault(s, []).append(t)
+                x = [0] * len(events)
+                for s in range(len(events)):  # time order is a topological order
+                    for t in follow.get(s, ()):
+                        x[t] = max(x[t], x[s] + 1)
+                lanes: dict[str, int] = {}
+                for _, key in sorted({(o["object_type"], o["object_id"]) for e in events for o in e["objects"]}):
+                    lanes[key] = len(lanes)
+                last = max(x, default=0)
+                for i, e in enumerate(events):
+                    end = min((x[t] - 1 for t in follow.get(i, ())), default=last)
+                    out.append((pe_id, e["event_id"], e["activity"], x[i], max(end, x[i]), [lanes[o["object_id"]] for o in e["objects"]]))
+            yield pd.DataFrame(out, columns=["pe_id", "event_id", "activity", "x", "x_end", "lanes"])
+
+    return _packed(rows).mapInPandas(kernel, "pe_id string, event_id string, activity string, x int, x_end int, lanes array<int>")
+
+
 def layout(log: Log, pe_events: DataFrame) -> DataFrame:
     """``(pe_id, event_id, activity, x, x_end, lanes)``: column by longest path, end before the next event, a lane for each object."""
     own = pe_events.join(log.e2o, "event_id").groupBy("pe_id", "event_id").agg(F.sort_array(F.collect_list(F.struct("object_type", "object_id"))).alias("objects"))
