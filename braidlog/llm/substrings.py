@@ -7,8 +7,9 @@ document cannot repeat and go no further; the others meet by anchor. There, cont
 no other segment of the anchor shares are trimmed off, equal rests are kept once, and the
 suffix array of all rests (built by linear grouping) puts equal windows side by side. The
 smallest document of each class of windows returns to the blocks, which mark and cut the
-covered bytes. Segments of an anchor that very many blocks have do not meet in one task:
-their windows are dealt out one by one by their own hash.
+covered bytes. Segments of an anchor that very many blocks have, or that has very many
+different ones, do not meet in one task: their windows are dealt out one by one by their
+own hash.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ from braidlog.llm.suffix import suffix_array
 LENGTH, ANCHOR = 50, 20
 #: Blocks (twice where several ids have it) with one anchor beyond which its windows are dealt out singly.
 MANY_BLOCKS = 4096
+#: The same for different segments of one anchor, counted in each block: they are compared in one array of one task.
+MANY_SEGMENTS = 8192
 #: Bytes hashed at once, bytes put into one suffix array at least, and the rank of a null id.
 PIECE, ARRAY_BYTES, LAST = 1 << 18, 1 << 16, np.iinfo(np.int64).max
 SEPARATOR = b"\xff"  # no byte of UTF-8
@@ -65,10 +68,14 @@ def string_hashes(data: np.ndarray, k: int) -> np.ndarray:
     return _mix(out)
 
 
-def segments(data: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """``(first window, end window, anchor, anchor hash)`` of the segments of ``data``, which holds one window at least."""
+def segments(data: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(first window, end window, anchor, anchor hash, mark)`` of the segments of ``data``, which holds one window at least.
+
+    The mark is a hash of a segment's two ends, its size and its anchor's place, which is all of
+    one of up to four anchors' length: equal segments have equal marks.
+    """
     low = np.uint64((1 << 24) - 1)
-    firsts, anchors, hashes = [], [], []
+    firsts, anchors, hashes, marks = [], [], [], []
     n, width = len(data) - length + 1, length - k + 1
     for at in range(0, n, PIECE):
         h = string_hashes(data[at : min(len(data), at + PIECE + length - 1)], k)
@@ -84,8 +91,13 @@ def segments(data: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndar
         firsts.append(first + at)
         anchors.append(spot[first] + at)
         hashes.append(h[spot[first]])
-    first, anchor, h = (np.concatenate(x) for x in (firsts, anchors, hashes))
-    return first, np.append(first[1:], n), anchor, h
+        last = np.append(first[1:], len(spot)) - 1
+        mark = ((spot[first] - first) << 16 | (last - first)).astype(np.uint64)
+        for at_string in (first, first + min(k, length - k), last + max(0, length - 2 * k), last + length - k):
+            mark = _mix(mark * np.uint64(_STEP) + h[at_string])
+        marks.append(mark)
+    first, anchor, h, mark = (np.concatenate(x) for x in (firsts, anchors, hashes, marks))
+    return first, np.append(first[1:], n), anchor, h, mark
 
 
 def common(a: bytes, b: bytes) -> int:
@@ -196,14 +208,14 @@ def first_owners(found: list, length: int) -> list[list[tuple[int, int]]]:
     return out
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", many_blocks: int = MANY_BLOCKS) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", many_blocks: int = MANY_BLOCKS, many_segments: int = MANY_SEGMENTS) -> DataFrame:
     """``(id, n_bytes, n_removed, n_spans, kept)`` of every row; ``kept`` is the UTF-8 text without the removed bytes.
 
     A byte goes if a string of ``length`` bytes over it also starts in a row of smaller id;
     strings are judged on the input and never cross rows. Texts shorter than ``length``
     stay whole, a null text is empty. Rows with equal ids do not remove each other's
     bytes; a null id counts as the largest. Other columns are not read; an empty table
-    gives an empty result. ``many_blocks`` only decides how work is dealt out.
+    gives an empty result. ``many_blocks`` and ``many_segments`` only decide how work is dealt out.
     """
     if length < ANCHOR:
         raise ValueError(f"strings of at least {ANCHOR} bytes are compared")
@@ -215,16 +227,21 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
             if len(text) >= length:
                 yield i, segments(np.frombuffer(text, np.uint8), length, ANCHOR)
 
-    def distinct(texts: list[bytes], owners: np.ndarray) -> tuple[list, np.ndarray, np.ndarray]:
-        """Segments of the block, its distinct anchors, and whether several ids of the block have them."""
+    def distinct(texts: list[bytes], owners: np.ndarray, count: bool = False) -> tuple[list, np.ndarray, np.ndarray, np.ndarray | None]:
+        """Segments of the block, its distinct anchors, whether several ids of the block have them, and on demand how many different segments."""
         own = list(scan(texts))
         hashes = np.concatenate([np.zeros(0, np.uint64), *[s[3] for _, s in own]])
         owner = np.repeat(owners[[i for i, _ in own]], [len(s[3]) for _, s in own]) if own else np.zeros(0, np.int64)
-        order = np.argsort(hashes, kind="stable")
+        mark = np.concatenate([np.zeros(0, np.uint64), *[s[4] for _, s in own]]) if count else None
+        order = np.lexsort((mark, hashes)) if count else np.argsort(hashes, kind="stable")
         hashes, owner = hashes[order], owner[order]
         first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])) if len(hashes) else np.zeros(0, np.int64)
         several = np.minimum.reduceat(owner, first) != np.maximum.reduceat(owner, first) if len(first) else np.zeros(0, bool)
-        return own, hashes[first], several
+        if not count:
+            return own, hashes[first], several, None
+        mark = mark[order]
+        new = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (mark[1:] != mark[:-1])]) if len(first) else np.zeros(0, bool)
+        return own, hashes[first], several, np.add.reduceat(new, first, dtype=np.uint32) if len(first) else np.zeros(0, np.uint32)
 
     def ranks(ids: list) -> np.ndarray:
         return np.array([LAST if i is None else i for i in ids], np.int64)
@@ -232,9 +249,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     def to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, ids, texts in B.gather(batches):
             out = [(f"b{block}", B.pack(B.pack_ids(ids), *B.pack_strings(texts)))]
-            _, anchors, several = distinct(texts, ranks(ids))
+            _, anchors, several, different = distinct(texts, ranks(ids), True)
             for bucket, at in B.by_bucket(anchors, width):
-                out.append((f"w{bucket}", B.pack(block.encode(), np.array([bucket]), anchors[at], np.packbits(several[at]))))
+                out.append((f"w{bucket}", B.pack(block.encode(), np.array([bucket]), anchors[at], np.packbits(several[at]), different[at])))
             yield B.rows(out)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,10 +261,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
         arrays = [np.frombuffer(x[2], np.uint64) for x in held]
         _, place = np.unique(np.concatenate(arrays), return_inverse=True)
         weight = np.concatenate([1 + np.unpackbits(np.frombuffer(x[3], np.uint8), count=len(a)).astype(np.int64) for x, a in zip(held, arrays, strict=True)])
-        total = np.bincount(place, weight)[place]
-        many, hot = total > 1, total > many_blocks
+        total = np.bincount(place, weight)
+        segments_of = np.bincount(place, np.concatenate([np.frombuffer(x[4], np.uint32) for x in held]))
+        many, hot = (total > 1)[place], ((total > many_blocks) | (segments_of > many_segments))[place]
         at = 0
-        for (block, bucket, _, _), anchors in zip(held, arrays, strict=True):
+        for (block, bucket, *_), anchors in zip(held, arrays, strict=True):
             yield B.rows([(f"b{block.decode()}", B.pack(bucket, *(np.packbits(x[at : at + len(anchors)]) for x in (many, hot))))])
             at += len(anchors)
 
@@ -256,7 +274,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
         for payload in B.payloads(left, "b"):
             ids, sizes, blob = B.unpack(payload)
             texts, owners, block = B.unpack_strings(sizes, blob), ranks(B.unpack_ids(ids)), left.column("key")[0].as_py()
-            own, anchors, _ = distinct(texts, owners)
+            own, anchors, _, _ = distinct(texts, owners)
             bits = {int(np.frombuffer(b, np.int64)[0]): (np.frombuffer(m, np.uint8), np.frombuffer(t, np.uint8)) for b, m, t in map(B.unpack, B.payloads(right, "b"))}
             many, hot = np.zeros(len(anchors), bool), np.zeros(len(anchors), bool)
             for bucket, at in B.by_bucket(anchors, width):
@@ -267,7 +285,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
             least: list[int] = []
             where: list[tuple[int, int, int]] = []
             offsets: list[int] = []
-            for i, (first, end, anchor, h) in own if len(chosen) else ():
+            for i, (first, end, anchor, h, _) in own if len(chosen) else ():
                 hit = chosen[np.minimum(np.searchsorted(chosen, h), len(chosen) - 1)] == h
                 text, owner = texts[i], int(owners[i])
                 spans = zip(first[hit].tolist(), end[hit].tolist(), anchor[hit].tolist(), h[hit].tolist(), strict=True)
@@ -348,8 +366,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
                 hit = owner[run] < ranks(ids)[doc]
                 run, at_byte = run[hit], (base[doc] + start)[hit]
                 at_byte = at_byte + begin[run]
-                edge = np.bincount(at_byte, minlength=len(gone)) - np.bincount(at_byte + windows[run] + length - 1, minlength=len(gone))
-                gone = np.cumsum(edge) > 0
+                edge = np.zeros(len(gone), np.int32)  # for each byte, so narrow and in place
+                np.add.at(edge, at_byte, np.int32(1))
+                np.add.at(edge, at_byte + windows[run] + length - 1, np.int32(-1))
+                gone = np.cumsum(edge, out=edge) > 0
             for key, text, a in zip(ids, texts, base.tolist(), strict=False):
                 mask = gone[a : a + len(text)]
                 keys.append(key)

@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -531,6 +532,22 @@ def test_repeats_equal_brute_force(docs, rows, empty, odd, many_blocks):
     assert sorted((r.doc_id is None, r.n_removed) for r in some) == [(False, 0)] * 4 + [(True, 0), (True, 49)]
 
 
+def test_repeats_of_one_anchor_by_windows(docs, spark):
+    """Many different segments around one string: dealt out by window, they remove the same bytes."""
+    key = lambda df: sorted(((r.doc_id, r.n_removed, r.n_spans, bytes(r.kept)) for r in df.collect()), key=repr)
+    assert key(substrings.remove_repeats(docs, many_segments=0)) == key(substrings.remove_repeats(docs))
+    rows = [(i, f"{i % 40:030d}" + "a phrase that every row has in its midst" + f"{i % 7:030d}") for i in range(400)]
+    around = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert key(substrings.remove_repeats(around, many_segments=10)) == key(substrings.remove_repeats(around))
+
+
+def test_different_segments_have_different_marks():
+    data = np.frombuffer(b"".join(b"%040d the same phrase for all of them %040d" % (i, i) for i in (1, 2, 1)), np.uint8)
+    first, end, anchor, _, mark = substrings.segments(data, 50, 20)
+    strings = [(data[a : b + 49].tobytes(), p - a) for a, b, p in zip(first.tolist(), end.tolist(), anchor.tolist(), strict=True)]
+    assert len(set(mark.tolist())) == len(set(strings)) < len(strings)
+
+
 # --- 9: WARC --------------------------------------------------------------------------------
 
 
