@@ -1,5 +1,6 @@
 """Round trips of every format, and streaming views."""
 
+import io
 import json
 from datetime import datetime, timedelta
 
@@ -113,3 +114,12 @@ def test_streaming_views(spark, tmp_path):
     assert pairs.count() == 9
     assert {r.gap for r in pairs.collect()} == {180.0}
     assert spark.table("windows").agg(F.sum("n")).first()[0] == 12
+
+
+def test_json_is_read_piece_by_piece():
+    text = '{"a": [{"x": "}],\\"é"}, 12, [1, {"y": 2}]], "n": 123, "e": [], "f": {}, "o": {"k\\"1": {"z": null}, "k2": "v"}}'
+    wanted = [("a", None, '{"x": "}],\\"é"}'), ("a", None, "12"), ("a", None, '[1, {"y": 2}]'), ("o", 'k"1', '{"z": null}'), ("o", "k2", '"v"')]
+    for chunk in (1, 3, 1000):
+        assert list(documents.members(io.StringIO(text), chunk)) == wanted
+    with pytest.raises(ValueError):
+        list(documents.members(io.StringIO(text[:-5])))
