@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Iterator
 
@@ -11,11 +12,7 @@ from pyspark.sql import functions as F
 
 from braidlog.functions.graphs import canonical
 from braidlog.model import Log
-from braidlog.operators.executions import execution_edges, execution_objects
-
-
-#: Different graphs whose canonical form a task remembers at most.
-KNOWN_FORMS = 100_000
+from braidlog.operators.executions import by_shape, execution_edges, execution_objects, packed, shapes
 
 
 def projected(log: Log, pe_events: DataFrame, pe_objects: DataFrame | None = None) -> DataFrame:
@@ -34,13 +31,6 @@ def projected(log: Log, pe_events: DataFrame, pe_objects: DataFrame | None = Non
     return nodes.join(edges, "pe_id", "left")
 
 
-def _packed(rows: DataFrame) -> DataFrame:
-    """``(pe_id, events)``: the events of an execution in time order as JSON, each with its objects that have an id."""
-    objects = F.array_sort(F.filter(F.transform("objects", lambda o: F.struct(o["object_type"], o["object_id"])), lambda o: o["object_id"].isNotNull())).alias("objects")
-    each = rows.select("pe_id", "ts", "event_id", "activity", objects).where(F.size("objects") > 0)
-    return each.groupBy("pe_id").agg(F.to_json(F.sort_array(F.collect_list(F.struct("ts", "event_id", "activity", "objects")))).alias("events"))
-
-
 def _edges(events: list[dict]) -> dict[tuple[int, int], list[str]]:
     """Types of the objects by which events, given in time order, follow each other."""
     last: dict[tuple[str, str], int] = {}
@@ -54,25 +44,23 @@ def _edges(events: list[dict]) -> dict[tuple[int, int], list[str]]:
     return out
 
 
-def seen_variants(rows: DataFrame) -> DataFrame:
-    """``variants`` of executions' events with all their objects (``executions.seen``): edges are found within the packed row."""
+def _events(shape: str) -> list[dict]:
+    """Events of a shape (``executions.shapes``) that have objects with an id, as ``_edges`` takes them."""
+    objects = lambda e: [{"object_type": o["t"], "object_id": o["k"]} for o in e["o"] if not o["z"]]
+    return [{"activity": e["a"], "objects": own} for e in json.loads(shape) if (own := objects(e))]
 
-    def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[tuple, str] = {}
-        for batch in batches:
-            forms = []
-            for text in batch["events"]:
-                events = json.loads(text)
-                nodes = [e["activity"] + ": " + ": ".join(sorted(o["object_type"] for o in e["objects"])) for e in events]
-                key = tuple(nodes), tuple((s, t, ": ".join(sorted(kinds))) for (s, t), kinds in sorted(_edges(events).items()))
-                if key not in known:
-                    if len(known) >= KNOWN_FORMS:
-                        known.clear()
-                    known[key] = canonical(nodes, key[1])
-                forms.append(known[key])
-            yield pd.DataFrame({"pe_id": batch["pe_id"], "form": forms})
 
-    return _packed(rows).mapInPandas(kernel, "pe_id string, form string").select("pe_id", F.sha2("form", 256).alias("variant"))
+def _variant(shape: str) -> tuple[str]:
+    events = _events(shape)
+    nodes = [e["activity"] + ": " + ": ".join(sorted(o["object_type"] for o in e["objects"])) for e in events]
+    form = canonical(nodes, tuple((s, t, ": ".join(sorted(kinds))) for (s, t), kinds in sorted(_edges(events).items())))
+    return (hashlib.sha256(form.encode()).hexdigest(),)
+
+
+def seen_variants(rows: DataFrame) -> DataFrame:
+    """``variants`` of executions' events with all their objects (``executions.seen``), or of packed executions: one canonical form for each shape."""
+    named = F.exists("events", lambda e: F.exists(e["objects"], lambda o: o["object_id"].isNotNull()))
+    return by_shape(shapes(packed(rows).where(named)), _variant, "variant string")
 
 
 def variants(log: Log, pe_events: DataFrame, pe_objects: DataFrame | None = None) -> DataFrame:
