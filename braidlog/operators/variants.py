@@ -7,12 +7,12 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from braidlog.functions.graphs import canonical
 from braidlog.model import Log
-from braidlog.operators.executions import by_shape, execution_edges, execution_objects, packed, shapes
+from braidlog.operators.executions import by_shape, execution_edges, execution_objects, in_order, let, packed, shapes
 
 
 def projected(log: Log, pe_events: DataFrame, pe_objects: DataFrame | None = None) -> DataFrame:
@@ -91,31 +91,39 @@ def events_of_variants(table: DataFrame, pe_events: DataFrame) -> DataFrame:
     return pe_events.join(table, "pe_id").groupBy("event_id").agg(F.sort_array(F.collect_set("variant")).alias("variants"))
 
 
-def seen_layout(rows: DataFrame) -> DataFrame:
-    """``layout`` of executions' events with all their objects (``executions.seen``): edges are found within the packed row."""
+def _columns(shape: str) -> tuple[list[int], list[int]]:
+    """Column and end of each event of a shape."""
+    events = json.loads(shape)
+    follow: dict[int, list[int]] = {}
+    for s, t in _edges([{"objects": [{"object_type": o["t"], "object_id": o["k"]} for o in e["o"]]} for e in events]):
+        follow.setdefault(s, []).append(t)
+    x = [0] * len(events)
+    for s in range(len(events)):  # time order is a topological order
+        for t in follow.get(s, ()):
+            x[t] = max(x[t], x[s] + 1)
+    last = max(x, default=0)
+    return x, [max(min((x[t] - 1 for t in follow.get(i, ())), default=last), x[i]) for i in range(len(events))]
 
-    def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for pe_id, text in zip(batch["pe_id"], batch["events"], strict=True):
-                events = json.loads(text)
-                follow: dict[int, list[int]] = {}
-                for s, t in _edges(events):
-                    follow.setdefault(s, []).append(t)
-                x = [0] * len(events)
-                for s in range(len(events)):  # time order is a topological order
-                    for t in follow.get(s, ()):
-                        x[t] = max(x[t], x[s] + 1)
-                lanes: dict[str, int] = {}
-                for _, key in sorted({(o["object_type"], o["object_id"]) for e in events for o in e["objects"]}):
-                    lanes[key] = len(lanes)
-                last = max(x, default=0)
-                for i, e in enumerate(events):
-                    end = min((x[t] - 1 for t in follow.get(i, ())), default=last)
-                    out.append((pe_id, e["event_id"], e["activity"], x[i], max(end, x[i]), [lanes[o["object_id"]] for o in e["objects"]]))
-            yield pd.DataFrame(out, columns=["pe_id", "event_id", "activity", "x", "x_end", "lanes"])
 
-    return _packed(rows).mapInPandas(kernel, "pe_id string, event_id string, activity string, x int, x_end int, lanes array<int>")
+def seen_layout(rows: DataFrame) -> DataFrame:
+    """``layout`` of executions' events with all their objects (``executions.seen``), or of packed executions: columns once for each shape.
+
+    Objects without an id, and events without others, do not count. A lane is an object's place by type and id.
+    """
+    own = lambda e: F.filter(e["objects"], lambda o: o["object_id"].isNotNull())
+    events = F.filter(F.transform("events", lambda e: e.withField("objects", own(e))), lambda e: F.size(e["objects"]) > 0)
+    cases = packed(rows).withColumn("events", events).where(F.size("events") > 0)
+
+    def placed(found: Column) -> Column:
+        each = lambda e: F.sort_array(F.transform(e["objects"], lambda o: F.struct(o["object_type"].alias("t"), o["object_id"].alias("i"))))
+        ids = F.transform(F.sort_array(F.array_distinct(F.flatten(F.transform(found, each)))), lambda o: o["i"])
+        # An id of two types has the lane of the last: looked for from the end.
+        at = lambda keys, o: (F.size(keys) - F.array_position(keys, o["i"])).cast("int")
+        return let(F.reverse(ids), lambda keys: F.transform(found, lambda e: F.struct(e["event_id"].alias("event_id"), e["activity"].alias("activity"), F.transform(each(e), lambda o: at(keys, o)).alias("lanes"))))
+
+    table = by_shape(shapes(cases, let(in_order(), placed).alias("placed")), _columns, "x array<int>, x_end array<int>")
+    flat = table.select("pe_id", F.explode(F.arrays_zip("placed", "x", "x_end")).alias("e"))
+    return flat.select("pe_id", "e.placed.event_id", "e.placed.activity", "e.x", "e.x_end", "e.placed.lanes")
 
 
 def layout(log: Log, pe_events: DataFrame) -> DataFrame:

@@ -40,6 +40,7 @@ def test_shuffle(spark, sf_dir, name):
 #: KB shuffled at sf0.001 that a query stays under when an order's events move once, with their order.
 ONCE = {
     "variants": 500,
+    "variant_layout": 500,
     "net_constraints": 400,
     "precision_fitness": 700,
 }
