@@ -41,6 +41,7 @@ def test_shuffle(spark, sf_dir, name):
 ONCE = {
     "variants": 500,
     "variant_layout": 500,
+    "quotient_size": 500,
     "iso_classes": 500,
     "net_constraints": 400,
     "precision_fitness": 700,
