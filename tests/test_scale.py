@@ -155,3 +155,46 @@ def test_total_workload(spark):
 
     twice = replace(log, events=log.events.unionByName(log.events.where("event_id = 'e3'")))
     assert [r.value for r in features.total_workload(twice, pe.where("event_id = 'e3'"), 10.0).collect()] == [5.0, 5.0]
+
+
+def test_later_events_of_one_object(spark):
+    """An object of many events makes no pairs that are no result."""
+    from datetime import datetime, timedelta
+
+    from braidlog.operators import traces
+
+    start = datetime(2024, 1, 1)
+    log = plain_log(spark, [(f"e{i:05}", start + timedelta(seconds=i // 2), "o") for i in range(30_000)])
+    before = task_seconds(spark)
+    found = sorted((r.src, r.dst) for r in traces.later_events(log).collect())
+    assert found == [(f"e{i:05}", f"e{i + 1:05}") for i in range(29_999)]
+    assert task_seconds(spark) - before < 60
+
+
+def test_later_events(spark):
+    """Later events by ranges are those by all pairs, with events of several objects and events listed at two times."""
+    import random
+    from datetime import datetime, timedelta
+
+    from braidlog.operators import traces
+
+    draw, start, rows = random.Random(5), datetime(2024, 1, 1), []
+    for i in range(60):
+        at = start + timedelta(seconds=draw.randrange(40))
+        rows += [(f"e{i:02}", at, f"o{k}") for k in draw.sample(range(6), draw.randrange(1, 4))]
+    rows += [("e03", start + timedelta(seconds=60), o) for _, _, o in [r for r in rows if r[0] == "e03"]]
+    log = plain_log(spark, rows)
+    times = {e: sorted({t for x, t, _ in rows if x == e}) for e, _, _ in rows}
+    own = {e: {o for x, _, o in rows if x == e} for e, _, _ in rows}
+    seq = {o: sorted((t, e) for e in own if o in own[e] for t in times[e]) for o in {o for _, _, o in rows}}
+    got = {(r.src, r.dst) for r in traces.later_events(log).collect()}
+    want = set()
+    for e in own:
+        if e == "e03":
+            continue
+        at = (times[e][0], e)
+        following = [next((x for x in seq[o] if x > at), None) for o in own[e]]
+        horizon = None if None in following else max(following)
+        want |= {(e, x[1]) for o in own[e] for x in seq[o] if x > at and (horizon is None or x <= horizon)}
+    assert {p for p in got if p[0] != "e03"} == want
+    assert len(traces.later_events(log).collect()) == len(got)
