@@ -209,3 +209,13 @@ def test_graphs_do_not_move(spark, sf_dir):
     plan = plan_of(entry.queries()["quotient_size"](spark, sf_dir))
     assert "Join" not in plan
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_classes_meet_by_digest(spark):
+    """The text of a form does not move when classes are named."""
+    from braidlog.operators import abstraction
+
+    graphs = spark.createDataFrame([("b", "x" * 50), ("a", "x" * 50), ("c", "y")], "pe_id string, form string")
+    found = abstraction.classes(graphs)
+    assert sorted(map(tuple, found.collect())) == [("a", "a"), ("b", "a"), ("c", "c")]
+    assert "sha2(" in plan_of(found)
