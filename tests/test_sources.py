@@ -123,3 +123,21 @@ def test_json_is_read_piece_by_piece():
         assert list(documents.members(io.StringIO(text), chunk)) == wanted
     with pytest.raises(ValueError):
         list(documents.members(io.StringIO(text[:-5])))
+
+
+def test_json_members_are_not_sorted(spark, tmp_path, monkeypatch):
+    """The task that streams a JSON document sends its members on without sorting them, and loses none."""
+    import json
+
+    from braidlog.sources import documents
+
+    path, seen = str(tmp_path / "log.json"), []
+    with open(path, "w") as out:
+        json.dump({"ocel:events": {f"e{i}": {} for i in range(3500)}, "ocel:o2o": [{"source": str(i)} for i in range(3)]}, out)
+    monkeypatch.setattr(documents, "written", lambda df, label: seen.append(df) or df)
+    found = documents._members(spark, path)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "RoundRobin" not in plan and "Sort" not in plan
+    rows = found.collect()
+    assert {r.key for r in rows if r.section == "ocel:events"} == {f"e{i}" for i in range(3500)}
+    assert len(rows) == 3503
