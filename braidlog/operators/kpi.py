@@ -67,8 +67,13 @@ def contrast(kpi_values: DataFrame, hits: DataFrame) -> DataFrame:
     totals less the inside sums, so no pattern meets an execution it does not occur in.
     Patterns of all or no executions are left out.
     """
-    total = kpi_values.groupBy("kpi").agg(F.count("value").alias("n_all"), F.sum("value").alias("sum_all"))
-    inside = hits.distinct().join(kpi_values, "pe_id").groupBy("pattern_id", "kpi").agg(F.count("value").alias("n_in"), F.sum("value").alias("sum_in"))
+    return contrast_sums(kpi_values.select("pe_id", "kpi", F.when(F.col("value").isNotNull(), 1).otherwise(0).alias("n"), F.col("value").alias("s")), hits)
+
+
+def contrast_sums(sums: DataFrame, hits: DataFrame) -> DataFrame:
+    """``contrast`` of ``(pe_id, kpi, n, s)``, where ``pe_id`` stands for executions with the same patterns: their number and sum."""
+    total = sums.groupBy("kpi").agg(F.sum("n").alias("n_all"), F.sum("s").alias("sum_all"))
+    inside = hits.distinct().join(sums, "pe_id").groupBy("pattern_id", "kpi").agg(F.sum("n").alias("n_in"), F.sum("s").alias("sum_in"))
     both = inside.join(F.broadcast(total), "kpi").where("n_in > 0 and n_in < n_all")  # one row for each figure
     mu_in, mu_out = F.col("sum_in") / F.col("n_in"), (F.col("sum_all") - F.col("sum_in")) / (F.col("n_all") - F.col("n_in"))
     return both.select("pattern_id", "kpi", F.col("n_in").alias("support"), mu_in.alias("mu_in"), mu_out.alias("mu_out"), (mu_in - mu_out).alias("delta"), F.abs(mu_in - mu_out).alias("abs_delta"))

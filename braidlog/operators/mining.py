@@ -28,8 +28,12 @@ def triples(graphs: DataFrame) -> DataFrame:
 
 
 def frequent_edges(graphs: DataFrame, min_support: int) -> DataFrame:
-    """One-edge patterns in at least ``min_support`` graphs, not necessarily induced."""
-    return triples(graphs).distinct().groupBy("source", "target", "label").agg(F.count(F.lit(1)).alias("support")).where(F.col("support") >= min_support)
+    """One-edge patterns in at least ``min_support`` graphs, not necessarily induced. A graph with a column ``n`` counts so often."""
+    found = triples(graphs).distinct()
+    times = F.count(F.lit(1))
+    if "n" in graphs.columns:
+        found, times = found.join(graphs.select("pe_id", "n"), "pe_id"), F.sum("n")
+    return found.groupBy("source", "target", "label").agg(times.alias("support")).where(F.col("support") >= min_support)
 
 
 def pattern_hits(graphs: DataFrame, max_edges: int, min_support: int) -> DataFrame:
@@ -68,9 +72,12 @@ def pattern_hits(graphs: DataFrame, max_edges: int, min_support: int) -> DataFra
     return rows.mapInPandas(kernel, HITS)
 
 
-def frequent_patterns(hits: DataFrame, min_support: int, max_support: int | None = None) -> DataFrame:
-    """Patterns within the support window, ranked by support, edges and nodes."""
-    n = hits.groupBy("signature", "n_nodes", "n_edges").agg(F.count_distinct("pe_id").alias("support")).where(F.col("support") >= min_support)
+def frequent_patterns(hits: DataFrame, min_support: int, max_support: int | None = None, sizes: DataFrame | None = None) -> DataFrame:
+    """Patterns within the support window, ranked by support, edges and nodes. ``sizes(pe_id, n)`` are graphs that count so often."""
+    times = F.count_distinct("pe_id")
+    if sizes is not None:
+        hits, times = hits.distinct().join(sizes, "pe_id"), F.sum("n")
+    n = hits.groupBy("signature", "n_nodes", "n_edges").agg(times.alias("support")).where(F.col("support") >= min_support)
     if max_support is not None:
         n = n.where(F.col("support") <= max_support)
     return n.orderBy(F.desc("support"), F.desc("n_edges"), F.desc("n_nodes"), "signature")

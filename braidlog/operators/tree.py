@@ -51,8 +51,19 @@ def fit(rows: DataFrame, max_depth: int = 3, min_leaf: int = 20) -> tuple[str, N
     and the rows with their leaf number. Squared error decides; ties go to the smallest name.
     """
     rows = written(rows.where("y is not null"), "tree")
-    whole = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("mean"), F.min("y").alias("low"), F.max("y").alias("high"), F.max(F.size("features")).alias("most")).first()
-    root = Node((), whole.n, whole.mean or 0.0)
+    status, root = grow(rows.select("features", F.lit(1).alias("n"), F.col("y").alias("s"), F.col("y").alias("low"), F.col("y").alias("high")), max_depth, min_leaf)
+    return status, root, leaf_of(rows, root)
+
+
+def leaf_of(rows: DataFrame, root: Node | None) -> DataFrame:
+    """Rows with ``features`` and the number of their leaf, 0 without a tree."""
+    return rows.withColumn("leaf", F.lit(0) if root is None else _assign(root))
+
+
+def grow(kinds: DataFrame, max_depth: int = 3, min_leaf: int = 20) -> tuple[str, Node | None]:
+    """The tree of ``(features, n, s, low, high)``: number, sum and extremes of y of rows with the same features."""
+    whole = kinds.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sum("s").alias("s"), F.min("low").alias("low"), F.max("high").alias("high"), F.max(F.size("features")).alias("most")).first()
+    root = Node((), whole.n, whole.s / whole.n if whole.n else 0.0)
     status = "ok" if whole.n else "too_few_samples"
     if whole.n and not whole.most:
         status = "no_patterns"
@@ -61,11 +72,11 @@ def fit(rows: DataFrame, max_depth: int = 3, min_leaf: int = 20) -> tuple[str, N
     elif whole.low == whole.high:
         status = "constant_y"
     if status != "ok":
-        return status, None, rows.withColumn("leaf", F.lit(0))
+        return status, None
     for _ in range(max_depth):
-        current = rows.withColumn("leaf", _assign(root))
-        totals = {r.leaf: (r.n, r.s) for r in current.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("s")).collect()}  # one row for each leaf
-        per = current.select("leaf", "y", F.explode(F.array_distinct("features")).alias("f")).groupBy("leaf", "f").agg(F.count(F.lit(1)).alias("n1"), F.sum("y").alias("s1"))
+        current = kinds.withColumn("leaf", _assign(root))
+        totals = {r.leaf: (r.n, r.s) for r in current.groupBy("leaf").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).collect()}  # one row for each leaf
+        per = current.select("leaf", "n", "s", F.explode(F.array_distinct("features")).alias("f")).groupBy("leaf", "f").agg(F.sum("n").alias("n1"), F.sum("s").alias("s1"))
         whole_leaf = F.create_map(*[x for k, (n, s) in totals.items() for x in (F.lit(k), F.struct(F.lit(n).alias("n"), F.lit(float(s)).alias("s")))])
         t = whole_leaf[F.col("leaf")]
         n0, s0 = t["n"] - F.col("n1"), t["s"] - F.col("s1")
@@ -80,7 +91,7 @@ def fit(rows: DataFrame, max_depth: int = 3, min_leaf: int = 20) -> tuple[str, N
             node, (n, s) = leaves[r.leaf], totals[r.leaf]
             node.feature = r.f
             node.children = (Node((*node.path, (r.f, False)), n - r.n1, (s - r.s1) / (n - r.n1)), Node((*node.path, (r.f, True)), r.n1, r.s1 / r.n1))
-    return "ok", root, rows.withColumn("leaf", _assign(root))
+    return "ok", root
 
 
 def quality(root: Node, rows: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from braidlog.model import Log
 from braidlog.operators import abstraction, executions, hierarchy, kpi, mining, relations, restructure, tree
 from braidlog.operators.explorer import Bundle
 from braidlog.operators.hierarchy import relabel
+from braidlog.operators.traces import seconds
 
 STAGES = "stage string, seconds double"
 
@@ -23,6 +24,40 @@ def prepare(log: Log, leading: str, threshold: float = 0.9, removed: list[str] |
     return restructure.absorb(log, removed)
 
 
+def courses(log: Log, leading: str) -> DataFrame | None:
+    """A written table ``(pe_id, course, attrs, <key figures>)`` of ``leading_executions`` if each is one object and the source knows its events.
+
+    ``course`` has the activities in time order as JSON, ``attrs`` the attributes of each row of the object.
+    """
+    if log.cases_of(leading) is None or not log.objects.where(F.col("object_type") != leading).isEmpty():
+        return None
+    cases = executions.cases_by(log, leading).where("pe_id is not null")
+    each = lambda field: F.transform("events", lambda e: e[field])
+    same = lambda o: o["object_id"].eqNullSafe(F.col("pe_id")) & o["object_type"].eqNullSafe(leading)
+    own = F.forall("events", lambda e: F.forall(e["objects"], same))
+    course = F.to_json(F.transform(executions.in_order(), lambda e: F.coalesce(e["activity"], F.lit(""))))
+    count = lambda field: F.size(F.array_distinct(F.array_compact(each(field)))).cast("long")
+    last, first = F.unix_micros(F.array_max(each("ts"))), F.unix_micros(F.array_min(each("ts")))
+    rows = cases.select("pe_id", course.alias("course"), own.alias("own"), seconds(last - first).alias("duration"), count("event_id").alias("n_events"), count("activity").alias("n_activities"), F.lit(1).cast("long").alias("n_objects"))
+    listed = log.objects.where(F.col("object_type") == leading).groupBy(F.col("object_id").alias("pe_id")).agg(F.collect_list("attrs").alias("attrs"))
+    density = F.when(F.col("duration") > 0, F.col("n_events") / F.col("duration")).otherwise(0.0)
+    found = written(rows.join(listed, "pe_id").withColumn("event_density", density), "courses")
+    return found.drop("own") if found.where("not own").isEmpty() else None
+
+
+def course_graphs(table: DataFrame, lattice: hierarchy.Lattice, config: hierarchy.Config) -> DataFrame:
+    """Written graphs of ``courses`` under a configuration of their type."""
+    h, level = lattice.hierarchies[0], config[0]
+    if level == 0:
+        labels = F.array("pe_id")
+    elif level == h.top:
+        labels = F.array(F.lit(h.object_type))
+    else:
+        name = h.names[level - 1]
+        labels = F.array_distinct(F.transform("attrs", lambda a: F.coalesce(F.try_element_at(a, F.lit(name)), F.concat(F.lit(f"?{name}="), F.col("pe_id")))))
+    return written(abstraction.of_courses(table.select("pe_id", "course", F.sort_array(labels).alias("labels"))), "graphs")
+
+
 def distinct_executions(log: Log, pe_events: DataFrame, lattice: hierarchy.Lattice) -> DataFrame:
     """One execution of every class that is isomorphic at the finest level."""
     graphs = written(abstraction.behaviour(log, pe_events, relabel(log, lattice, lattice.bottom)), "bottom")
@@ -36,7 +71,8 @@ def run(
     """The result bundle over the lattice of ``types`` and a table of stage times.
 
     Configurations are explored from the top down; the interesting ones are mined, their
-    patterns scored, subsumed ones dropped and each figure explained by a tree.
+    patterns scored, subsumed ones dropped and each figure explained by a tree. Executions of
+    a class have the same patterns, so one graph of each class is mined, and its executions count by their number and sums.
     """
     spark: SparkSession = log.spark
     times: list[tuple[str, float]] = []
@@ -48,16 +84,27 @@ def run(
         times.append((name, now - clock))
         clock = now
 
-    pe = written(executions.leading_executions(log, leading), "executions")
+    table = courses(log, leading) if types == [leading] else None
+    pe = written(executions.leading_executions(log, leading), "executions") if table is None else table
     lap("extraction")
     lattice = hierarchy.Lattice(hierarchy.build(log, types))
     lap("hierarchies")
-    pe = distinct_executions(log, pe, lattice)
-    values = written(kpi.long(kpi.builtin(log, pe), list(figures)), "figures")
-    n = pe.select("pe_id").distinct().count()
+    graphs_of = None
+    if table is None:
+        pe = distinct_executions(log, pe, lattice)
+        values = written(kpi.long(kpi.builtin(log, pe), list(figures)), "figures")
+        n = pe.select("pe_id").distinct().count()
+    else:
+        finest = course_graphs(table, lattice, lattice.bottom)
+        n, every = finest.agg(F.count_distinct("form"), F.count(F.lit(1))).first()
+        if n < every:
+            keep = written(executions.representatives(abstraction.class_of(finest).withColumnRenamed("form", "class_id")).select("pe_id"), "distinct")
+            finest, pe = (written(df.join(keep, "pe_id", "left_semi"), "distinct") for df in (finest, table))
+        graphs_of = lambda config: finest if config == lattice.bottom else course_graphs(pe, lattice, config)
+        values = kpi.long(pe, list(figures))
     low, high = mining.support_window(n, min_support, max_support)
     lap("figures")
-    found = abstraction.explore(log, pe, lattice)
+    found = abstraction.explore(log, pe, lattice, graphs_of)
     lap("abstraction")
     ids = {row["config"]: i for i, row in enumerate(found)}
     configs = spark.createDataFrame(
@@ -69,22 +116,28 @@ def run(
     for i, row in enumerate(found):
         if row["reason"] is not None:
             continue
-        all_hits = written(mining.pattern_hits(row["graphs"], max_edges, low), "hits")
-        window = mining.frequent_patterns(all_hits, low, high).select("signature")
-        kept = mining.subsumed(mining.hit_sets(all_hits.join(window, "signature", "left_semi"))).where("kept").select("signature")
+        # Of kinds, pe_id is the digest of a class; of its executions, form is.
+        kinds, form = written(abstraction.kinds(row["graphs"]), "kinds"), abstraction.class_of(row["graphs"])
+        all_hits = written(mining.pattern_hits(kinds.withColumn("pe_id", F.hex("pe_id")), max_edges, low).withColumn("pe_id", F.unhex("pe_id")), "hits")
+        window = mining.frequent_patterns(all_hits, low, high, kinds.select("pe_id", "n")).select("signature")
+        kept = mining.subsumed(mining.hit_sets(all_hits.join(window, "signature", "left_semi").withColumn("pe_id", F.hex("pe_id")))).where("kept").select("signature")
         own = written(all_hits.join(kept, "signature", "left_semi"), "hits")
         tag = F.lit(i).alias("config_id")
-        hits = add(hits, own.select(tag, F.col("signature").alias("pattern_id"), "pe_id"))
+        hits = add(hits, own.select(F.col("pe_id").alias("form"), "signature").join(form, "form").select(tag, F.col("signature").alias("pattern_id"), "pe_id"))
         patterns = add(patterns, own.select(tag, F.col("signature").alias("pattern_id"), "n_nodes", "n_edges").distinct())
-        contrast = add(contrast, kpi.contrast(values, own.select(F.col("signature").alias("pattern_id"), "pe_id")).select(tag, "*"))
+        valued = form.join(values, "pe_id").groupBy("form", "kpi")
+        sums = written(valued.agg(F.count("value").alias("n"), F.sum("value").alias("s"), F.min("value").alias("low"), F.max("value").alias("high")).withColumnRenamed("form", "pe_id"), "sums")
+        contrast = add(contrast, kpi.contrast_sums(sums.select("pe_id", "kpi", "n", "s"), own.select(F.col("signature").alias("pattern_id"), "pe_id")).select(tag, "*"))
         classes = add(classes, abstraction.classes(row["graphs"]).select(tag, "pe_id", "class_id"))
         features = own.groupBy("pe_id").agg(F.sort_array(F.collect_set("signature")).alias("features"))
         for figure in figures:
-            y = values.where(F.col("kpi") == figure).select("pe_id", F.col("value").alias("y"))
-            rows = y.join(features, "pe_id", "left").select("pe_id", "y", F.coalesce("features", F.array().cast("array<string>")).alias("features"))
-            status, root, placed = tree.fit(rows, max_depth, min_leaf)
+            rows = sums.where((F.col("kpi") == figure) & (F.col("n") > 0)).join(features, "pe_id", "left").withColumn("features", F.coalesce("features", F.array().cast("array<string>")))
+            rows = written(rows, "tree")
+            status, root = tree.grow(rows, max_depth, min_leaf)
             if root is not None:
                 labels = F.create_map(*[x for k, leaf in enumerate(root.leaves()) for x in (F.lit(k), F.lit(leaf.label()))])
+                placed = tree.leaf_of(rows, root).select(F.col("pe_id").alias("form"), "leaf").join(form, "form")
+                placed = placed.join(values.where((F.col("kpi") == figure) & F.col("value").isNotNull()).select("pe_id"), "pe_id", "left_semi")
                 members = add(members, placed.select(tag, F.lit(figure).alias("kpi"), "leaf", labels[F.col("leaf")].alias("label"), "pe_id"))
     lap("mining")
     none = lambda schema: spark.createDataFrame([], schema)
