@@ -454,3 +454,33 @@ def test_forms_of_courses(spark):
     for r in abstraction.of_courses(df).collect():
         names, edges, _ = quotient(*abstraction._course(r.course, r.labels))
         assert (bytes(r.form), r.n_nodes) == (hashlib.sha256(canonical(names, edges).encode()).digest(), len(names))
+
+
+def test_graph_executions_over_all_types(spark, sf_dir, tmp_path):
+    """Events are connected by objects of every type, parts and suppliers too; SQL finds the same."""
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    for name in ("customer", "part", "supplier", "nation", "region", "orders", "lineitem"):
+        df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        key = "o_orderkey" if name == "orders" else "l_orderkey"
+        (df.where(f"{key} < 12") if name in ("orders", "lineitem") else df).write.parquet(f"{tmp_path}/{name}.parquet")
+    found = {r.event_id: r.pe_id for r in entry.queries()["graph_executions"](spark, str(tmp_path)).collect()}
+    from braidlog.sources.tables import commerce_log
+
+    groups = {}
+    for e, o in commerce_log(spark, str(tmp_path)).e2o.select("event_id", "object_id").collect():
+        groups.setdefault(o, {e}).add(e)
+    label = {e: e for own in groups.values() for e in own}
+    for _ in label:
+        for own in groups.values():
+            low = min(label[e] for e in own)
+            label |= {e: low for e in own}
+    assert found == label
+    parts = {e: {o for o, own in groups.items() if e in own and o.startswith(("order", "customer", "item"))} for e in label}
+    assert any(found[a] == found[b] and not parts[a] & parts[b] for a in found if a.startswith("po-") for b in found if b.startswith("po-"))
+    con = duckdb.connect()
+    for name in ("customer", "part", "supplier", "nation", "region", "orders", "lineitem"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    assert sorted(con.execute(entry.oracle_sql()["graph_executions"]).fetchall()) == sorted((p, e) for e, p in found.items())
