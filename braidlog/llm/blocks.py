@@ -15,6 +15,7 @@ from __future__ import annotations
 import pickle
 import struct
 from collections.abc import Iterator
+from itertools import count
 from typing import Any
 
 import numpy as np
@@ -124,6 +125,39 @@ def by_bucket(keys: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
             yield b, order[cuts[b] : cuts[b + 1]]
 
 
+def _spark_hash(text: str) -> int:
+    """Spark's hash of an ASCII string, by which ``exchange`` deals out."""
+    data = text.encode()
+    cut = len(data) & ~3
+    h = 42
+    for k in (*struct.unpack_from(f"<{cut // 4}I", data), *data[cut:]):
+        k = k * 0xCC9E2D51 & 0xFFFFFFFF
+        k = (k << 15 | k >> 17) * 0x1B873593 & 0xFFFFFFFF
+        h ^= k
+        h = ((h << 13 | h >> 19) & 0xFFFFFFFF) * 5 + 0xE6546B64 & 0xFFFFFFFF
+    h ^= len(data)
+    h = (h ^ h >> 16) * 0x85EBCA6B & 0xFFFFFFFF
+    h = (h ^ h >> 13) * 0xC2B2AE35 & 0xFFFFFFFF
+    h ^= h >> 16
+    return h - (h >> 31 << 32)
+
+
+def bucket_keys(n: int) -> list[str]:
+    """A key for each of ``n`` buckets, which ``exchange`` puts into a partition of its own."""
+    found: dict[int, str] = {}
+    for i in count():
+        found.setdefault(_spark_hash(f"w{i}") % n, f"w{i}")
+        if len(found) == n:
+            return [found[b] for b in range(n)]
+
+
+def even_block(block: str, n: int) -> str:
+    """A name for the block by which ``exchange`` deals blocks out evenly over ``n`` partitions, whatever number of blocks a task has."""
+    part, seq = map(int, block.split("-"))
+    at = (int(part * 0.6180339887498949 % 1 * n) + seq) % n
+    return next(name for i in count() if _spark_hash(f"b{(name := f'{block}-{i}')}") % n == at)
+
+
 def payloads(table: pa.Table, kind: str) -> list[bytes]:
     """Payloads of a co-group's side whose keys are of one kind (any, if it is empty)."""
     if not table.num_rows or not (table.column("key")[0].as_py() or " ").startswith(kind):

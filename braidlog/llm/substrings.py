@@ -14,6 +14,7 @@ own hash.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -36,6 +37,8 @@ MANY_BLOCKS = 4096
 MANY_SEGMENTS = 8192
 #: Bytes hashed at once, bytes put into one suffix array at least, and the rank of a null id.
 PIECE, ARRAY_BYTES, LAST = 1 << 18, 1 << 16, np.iinfo(np.int64).max
+#: Segments that are decided at once, if no anchor has more.
+TOGETHER = 1 << 15
 SEPARATOR = b"\xff"  # no byte of UTF-8
 _STEP = 0x9E3779B97F4A7C15
 _TABLE = np.random.default_rng(50).integers(1, 1 << 63, 256, np.uint64)
@@ -221,6 +224,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
         raise ValueError(f"strings of at least {ANCHOR} bytes are compared")
     kind = docs.schema[id_col].dataType
     width = shuffle_partitions(docs.sparkSession)
+    bucket_key = B.bucket_keys(width)  # one bucket for each task, which holds it
 
     def scan(texts: list[bytes]) -> Iterator[tuple[int, tuple[np.ndarray, ...]]]:
         for i, text in enumerate(texts):
@@ -248,10 +252,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
 
     def to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, ids, texts in B.gather(batches):
+            block = B.even_block(block, width)
             out = [(f"b{block}", B.pack(B.pack_ids(ids), *B.pack_strings(texts)))]
             _, anchors, several, different = distinct(texts, ranks(ids), True)
             for bucket, at in B.by_bucket(anchors, width):
-                out.append((f"w{bucket}", B.pack(block.encode(), np.array([bucket]), anchors[at], np.packbits(several[at]), different[at])))
+                out.append((bucket_key[bucket], B.pack(block.encode(), np.array([bucket]), anchors[at], np.packbits(several[at]), different[at])))
             yield B.rows(out)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,10 +286,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
                 for flags, packed in zip((many, hot), bits[bucket], strict=True):
                     flags[at] = np.unpackbits(packed, count=len(at)).astype(bool)
             chosen, single = anchors[many], set(anchors[hot].tolist())
-            known: dict[tuple[int, bytes], int] = {}
-            least: list[int] = []
-            where: list[tuple[int, int, int]] = []
-            offsets: list[int] = []
+            known: dict[bytes, int] = {}  # equal strings have equal anchors
+            least, offsets, keys, where = array("q"), array("H"), array("Q"), array("i")
             for i, (first, end, anchor, h, _) in own if len(chosen) else ():
                 hit = chosen[np.minimum(np.searchsorted(chosen, h), len(chosen) - 1)] == h
                 text, owner = texts[i], int(owners[i])
@@ -292,22 +295,23 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
                 if single:
                     spans = ((a, b, p, x) for s, e, q, y in spans for a, b, p, x in (((w, w + 1, w, xxhash.xxh3_64_intdigest(text[w : w + length])) for w in range(s, e)) if y in single else ((s, e, q, y),)))
                 for a, b, p, x in spans:
-                    key = (x, text[a : b + length - 1])
-                    k = known.get(key)
+                    string = text[a : b + length - 1]
+                    k = known.get(string)
                     if k is None:
-                        k = known[key] = len(least)
+                        k = known[string] = len(least)
                         least.append(owner)
                         offsets.append(p - a)
+                        keys.append(x)
                     elif owner < least[k]:
                         least[k] = owner
-                    where.append((i, a, k))
+                    where.extend((i, a, k))
             if not where:
                 continue
-            out.append((block, B.pack(b"o", np.array(where, np.int32).T.copy())))
-            hashes, strings = np.array([x for x, _ in known], np.uint64), [s for _, s in known]
-            owner, offset = np.array(least, np.int64), np.array(offsets, np.uint16)
+            out.append((block, B.pack(b"o", np.frombuffer(where, np.int32).reshape(-1, 3).T.copy())))
+            hashes, strings = np.frombuffer(keys, np.uint64), list(known)
+            owner, offset = np.frombuffer(least, np.int64), np.frombuffer(offsets, np.uint16)
             for bucket, at in B.by_bucket(hashes, width):
-                out.append((f"w{bucket}", B.pack(block.encode(), at.astype(np.uint32), hashes[at], owner[at], offset[at], *B.pack_strings([strings[k] for k in at.tolist()]))))
+                out.append((bucket_key[bucket], B.pack(block.encode(), at.astype(np.uint32), hashes[at], owner[at], offset[at], *B.pack_strings([strings[k] for k in at.tolist()]))))
         return pa.table({"key": pa.array([k for k, _ in out], pa.string()), "payload": pa.array([v for _, v in out], pa.binary())})
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,26 +322,37 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
                     held.append([bytes(x) for x in B.unpack(payload)])
                 else:
                     yield B.rows([(key, payload)])  # occurrences go on to their block
-        number: dict[tuple[int, bytes], int] = {}
-        found: list[list] = []
-        spots = []
-        for _, _, hashes, owner, offset, sizes, blob in held:
-            mine = []
-            for h, o, p, text in zip(np.frombuffer(hashes, np.uint64).tolist(), np.frombuffer(owner, np.int64).tolist(), np.frombuffer(offset, np.uint16).tolist(), B.unpack_strings(sizes, blob), strict=True):
-                k = number.setdefault((h, text), len(found))
-                if k == len(found):
-                    found.append([h, p, text, o])
-                elif o < found[k][3]:
-                    found[k][3] = o
-                mine.append(k)
-            spots.append(mine)
-        number.clear()
-        answers = first_owners(found, length)
-        for (block, at, *_), mine in zip(held, spots, strict=True):
-            runs = [answers[k] for k in mine]
-            counts = np.fromiter(map(len, runs), np.uint32, len(runs))
-            flat = np.array([run for own in runs for run in own], np.int64).reshape(-1, 2)
-            yield B.rows([(block.decode(), B.pack(b"m", at, counts, flat[:, 0].astype(np.uint16), flat[:, 1]))])
+        n_parts = 1 + sum(len(x[2]) // 8 for x in held) // TOGETHER
+        places = [dict(B.by_bucket(np.frombuffer(x[2], np.uint64) // np.uint64(width), n_parts)) for x in held]  # segments of one anchor stay together
+        answered: list[list[tuple[np.ndarray, ...]]] = [[] for _ in held]
+        for part in range(n_parts):
+            number: dict[tuple[int, bytes], int] = {}
+            found: list[list] = []
+            spots = []
+            for (_, _, hashes, owner, offset, sizes, blob), place in zip(held, places, strict=True):
+                mine = []
+                if (own := place.get(part)) is not None:
+                    ends = np.cumsum(np.frombuffer(sizes, np.uint32), dtype=np.int64)[own]
+                    starts = ends - np.frombuffer(sizes, np.uint32)[own]
+                    for h, o, p, a, b in zip(*(x.tolist() for x in (np.frombuffer(hashes, np.uint64)[own], np.frombuffer(owner, np.int64)[own], np.frombuffer(offset, np.uint16)[own], starts, ends)), strict=True):
+                        text = blob[a:b]
+                        k = number.setdefault((h, text), len(found))
+                        if k == len(found):
+                            found.append([h, p, text, o])
+                        elif o < found[k][3]:
+                            found[k][3] = o
+                        mine.append(k)
+                spots.append(mine)
+            number.clear()
+            answers = first_owners(found, length)
+            for (_, at, *_), place, mine, done in zip(held, places, spots, answered, strict=True):
+                if mine:
+                    runs = [answers[k] for k in mine]
+                    counts = np.fromiter(map(len, runs), np.uint32, len(runs))
+                    flat = np.array([run for own in runs for run in own], np.int64).reshape(-1, 2)
+                    done.append((np.frombuffer(at, np.uint32)[place[part]], counts, flat[:, 0].astype(np.uint16), flat[:, 1].copy()))
+        for (block, *_), done in zip(held, answered, strict=True):
+            yield B.rows([(block.decode(), B.pack(b"m", *map(np.concatenate, zip(*done, strict=True))))])
 
     schema = StructType([StructField("id", kind), *[StructField(n, LongType()) for n in ("n_bytes", "n_removed", "n_spans")], StructField("kept", BinaryType())])
     arrow_kind = to_arrow_type(kind)

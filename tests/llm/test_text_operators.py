@@ -615,3 +615,31 @@ def test_chunks_do_not_depend_on_what_comes_before():
     assert len(set(own) & set(shifted)) > 0.9 * len(own)
     assert list(cdc.candidates(data, 1000)) == list(cdc.candidates(data))
     assert cdc.chunks(b"") == []
+
+
+def test_buckets_are_dealt_evenly(spark, monkeypatch):
+    """No task holds two buckets, and blocks lie evenly, however many there are."""
+    from pyspark.sql import functions as F
+
+    from braidlog.llm import blocks as B
+
+    sent = []
+    exchange = B.exchange
+    monkeypatch.setattr(B, "exchange", lambda df: sent.append(exchange(df)) or sent[-1])
+    docs = spark.createDataFrame([(i, f"text {i} and " + "one passage that all of the documents share, word by word " * 3) for i in range(300)], "doc_id long, text string")
+    assert substrings.remove_repeats(docs).where("n_removed > 0").count() == 299
+    held = sent[0].where("key like 'w%'").groupBy(F.spark_partition_id().alias("p")).agg(F.count_distinct("key").alias("n")).collect()
+    assert held and {r.n for r in held} == {1}
+    for n in (1, 5, 64, 600):
+        keys = spark.createDataFrame([(k,) for k in B.bucket_keys(n)], "key string").select(F.expr(f"pmod(hash(key), {n})").alias("p"))
+        assert [r.p for r in keys.collect()] == list(range(n))
+    for each in (1, 4):
+        names = spark.createDataFrame([("b" + B.even_block(f"{part}-{seq}", 64),) for part in range(64 // each * 2) for seq in range(each)], "key string")
+        most = names.groupBy(F.expr("pmod(hash(key), 64)")).count().agg(F.max("count")).first()[0]
+        assert most <= 4
+
+
+def test_segments_decided_in_parts(docs, rows, empty, odd, monkeypatch):
+    """Parts of a bucket give what the whole bucket gives."""
+    monkeypatch.setattr(substrings, "TOGETHER", 2)
+    test_repeats_equal_brute_force(docs, rows, empty, odd, substrings.MANY_BLOCKS)
