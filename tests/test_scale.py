@@ -288,3 +288,38 @@ def test_packed_numbers():
                 table = {"a": np.array(a, np.int64), "b": np.array(b, np.int64)}
                 found = unpack(pack(table))
                 assert {c: v.tolist() for c, v in found.items()} == {"a": a, "b": b}
+
+
+def stream_rows(spark, folder, rows):
+    """The stream log of ``(event_id, seconds, user_id, k)``."""
+    from braidlog.sources.tables import stream_log
+
+    df = spark.createDataFrame(rows, "event_id long, s long, user_id long, k string")
+    df.selectExpr("event_id", "timestamp_ntz '2024-01-01' + make_dt_interval(0, 0, 0, s) AS ts", "user_id", "'a' AS event_type", "1.0D AS value", "'{\"k\": ' || k || '}' AS props").write.parquet(f"{folder}/events.parquet")
+    return stream_log(spark, folder)
+
+
+def test_later_events_by_numbers(spark, tmp_path):
+    """Later events of numbered objects are those of the log's relations: ids are ordered as text, and odd rows go the other way."""
+    import random
+    from dataclasses import replace
+
+    from braidlog.operators import later, traces
+
+    draw = random.Random(8)
+    rows = [(i, draw.randrange(60), draw.randrange(7), str(draw.randrange(5))) for i in [*range(95, 230), 0, 7, 10**17, 10**18, 9 * 10**18]]
+    key = lambda log: sorted(map(tuple, traces.later_events(log).collect()))
+    odd = {"repeated": [(100, 3, 9, "1")], "negative": [(-5, 3, 1, "1")], "no key": [(900, 5, 1, None)], "no user": [(900, 5, None, "2")], "text": [(900, 5, 1, '"x"'), (901, 6, 1, '"x"')], "leading zero": [(900, 5, 1, '"01"')], "none": []}
+    for name, more in odd.items():
+        log = stream_rows(spark, str(tmp_path / name), rows + more)
+        assert later.sound(log.paired()) == (name == "none")
+        assert key(log) == key(replace(log, pairs=None))
+    assert later.later_events(log.paired()).count() == traces.later_events(log).distinct().count() > 300
+
+
+def test_later_events_move_as_blocks(spark, sf_dir):
+    """Pairs do not move, and events do as blocks of numbers."""
+    gc.collect()
+    before = written_bytes(spark)
+    entry.queries()["later_event_graph"](spark, sf_dir).collect()
+    assert written_bytes(spark) - before < 150_000
