@@ -141,3 +141,35 @@ def test_json_members_are_not_sorted(spark, tmp_path, monkeypatch):
     rows = found.collect()
     assert {r.key for r in rows if r.section == "ocel:events"} == {f"e{i}" for i in range(3500)}
     assert len(rows) == 3503
+
+
+def test_json_is_read_in_parts(spark, tmp_path, monkeypatch):
+    """Parts that begin anywhere, in strings, escapes and names too, give the members of the stream."""
+    text = '\ufeff {"a\\"x": ["}],\\\\\\"é", 12, [1, {"y": "[\\\\"}], "b:", true] , "n": 123,"s":"{[,", "e": [ ], "f": {}, "o" : {"k\\"1,": {"z": null}, "k2":"v,\\\\", "é": [1,2]}, "z":[{"s": 1}]}'
+    path = str(tmp_path / "log.json")
+    with open(path, "w", encoding="utf-8") as out:
+        out.write(text)
+    key = lambda rows: sorted(((a, b, c.strip()) for a, b, c in rows), key=str)
+    wanted = key(documents.members(io.StringIO(text[1:])))
+    assert len(wanted) == 9
+    for part in (1, 2, 3, 7, 40, 1 << 20):
+        monkeypatch.setattr(documents, "PART", part)
+        assert key(documents._members(spark, path).collect()) == wanted
+    with open(path, "w", encoding="utf-8") as out:
+        out.write(text[:-5])
+    with pytest.raises(ValueError):
+        documents._members(spark, path)
+
+
+def test_documents_are_not_streamed_by_the_driver(spark, log, tmp_path, monkeypatch):
+    """Tasks write a document's rows, and objects and events are parsed once each."""
+    from pyspark.sql import DataFrame
+
+    monkeypatch.setattr(DataFrame, "toLocalIterator", None)
+    seen, own = [], documents.written
+    monkeypatch.setattr(documents, "written", lambda df, label: seen.append(label) or own(df, label))
+    for name, dialect in (("a.jsonocel", "ocel1"), ("a.json", None), ("a.xml", None)):
+        documents.write_ocel(log, str(tmp_path / name), dialect)
+        found = documents.read_ocel(spark, str(tmp_path / name))
+        assert found.events.count() == log.events.count() and found.objects.count() == log.objects.count()
+    assert seen == ["json", "json"]
