@@ -172,4 +172,4 @@ def test_documents_are_not_streamed_by_the_driver(spark, log, tmp_path, monkeypa
         documents.write_ocel(log, str(tmp_path / name), dialect)
         found = documents.read_ocel(spark, str(tmp_path / name))
         assert found.events.count() == log.events.count() and found.objects.count() == log.objects.count()
-    assert seen == ["json", "json"]
+    assert seen == ["json", "json", "xml", "xml"]
